@@ -31,3 +31,4 @@ def load_all() -> None:
     """Import every catalog module so their queries register."""
     from tunesmith.plans import catalog_trials  # noqa: F401
     from tunesmith.plans import catalog_space  # noqa: F401
+    from tunesmith.plans import catalog_features  # noqa: F401
