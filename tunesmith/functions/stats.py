@@ -52,7 +52,7 @@ def expected_improvement(mu: Column, sigma: Column, best, xi: float = DEFAULT_XI
     """A1/A2: EI = d*Phi(d/sigma) + sigma*phi(d/sigma), d = mu - (best + xi); sigma <= 1e-5 -> -1."""
     best_c = best if isinstance(best, Column) else F.lit(float(best))
     d = mu - (best_c + F.lit(xi))
-    z = d / sigma
+    z = d / F.when(sigma > F.lit(DEGENERATE_SIGMA), sigma)  # never divide by a degenerate sigma
     ei = d * normal_cdf(z) + sigma * normal_pdf(z)
     return F.when(sigma <= F.lit(DEGENERATE_SIGMA), F.lit(-1.0)).otherwise(ei)
 
@@ -66,6 +66,7 @@ def effective_seconds(seconds: Column, min_time) -> Column:
 def ei_per_second(ei: Column, seconds: Column, min_time, root: bool = False) -> Column:
     """A3/A4: EI / seconds or EI / sqrt(seconds) (the -1 sentinel is divided as well)."""
     s = effective_seconds(seconds, min_time)
+    s = F.when(s > 0, s)  # a zero smallest-observed time cannot be divided by
     return ei / (F.sqrt(s) if root else s)
 
 

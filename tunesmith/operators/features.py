@@ -214,7 +214,7 @@ def stratified_folds(df: DataFrame, label: str, k: int, order: Sequence[str]) ->
     rem = F.col("__n") - q * k
     i = F.col("__i")
     big = rem * (q + 1)
-    fold = F.when(i <= big, F.floor((i - 1) / (q + 1))).otherwise(rem + F.floor((i - 1 - big) / q))
+    fold = F.when(i <= big, F.floor((i - 1) / (q + 1))).otherwise(rem + F.floor((i - 1 - big) / F.when(q > 0, q)))
     return r.withColumn("fold", fold.cast("int")).drop("__i", "__n")
 
 

@@ -124,7 +124,7 @@ def running(
     width = F.col("__hi") - F.col("__lo")
     chunk = (
         F.when((F.col("__k") <= 1) | (width <= 0) | F.col("__pos").isNull(), F.lit(0))
-        .otherwise(F.least(F.col("__k") - 1, F.floor((F.col("__pos") - F.col("__lo")) / width * F.col("__k"))))
+        .otherwise(F.least(F.col("__k") - 1, F.floor((F.col("__pos") - F.col("__lo")) / F.when(width > 0, width) * F.col("__k"))))
         .cast("long")
     )
     chunked = chunked.withColumn("__chunk", chunk).drop("__lo", "__hi", "__k", "__pos")

@@ -19,10 +19,10 @@ import uuid
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tunesmith.session import ensure_checkpoint_dir
+from tunesmith.session import ensure_checkpoint_dir, materialize
 
 MAX_LEAF_ROWS = 5_000_000  # leaves of a forest fit on a trial history; checked before broadcasting
 
@@ -55,7 +55,8 @@ def leaf_table(spark, model, min_variance: float = 0.0) -> DataFrame:
     leaves = nodes.where(F.col("leftChild") == -1)
     w = Window.partitionBy("treeID").orderBy("id")  # one tree's leaves (bounded by history size)
     s = F.col("impurityStats")
-    var = s[2] / s[0] - (s[1] / s[0]) * (s[1] / s[0])
+    n = F.when(s[0] > 0, s[0])  # a leaf can carry zero bootstrap weight: variance 0 then
+    var = F.coalesce(s[2] / n - (s[1] / n) * (s[1] / n), F.lit(0.0))
     return leaves.select(
         F.col("treeID").alias("tree"),
         (F.row_number().over(w) - 1).alias("leaf_ix"),
@@ -63,24 +64,37 @@ def leaf_table(spark, model, min_variance: float = 0.0) -> DataFrame:
         F.greatest(var, F.lit(float(min_variance))).alias("leaf_var"))
 
 
+class ForestScorer:
+    """M2 for a fitted forest: the leaf table is written once per fit (small: bounded by the
+    history) and reused for every candidate set of the step (sample, neighbours, realize)."""
+
+    def __init__(self, model, min_variance: float = 0.0):
+        spark = SparkSession.getActiveSession()
+        self.model = model
+        self.n_trees = model.getNumTrees
+        leaves = materialize(leaf_table(spark, model, min_variance), "forest-leaves")
+        n_leaves = leaves.count()
+        if n_leaves > MAX_LEAF_ROWS:
+            raise ValueError(f"{n_leaves} leaves: too many to broadcast; the forest was not fit on a trial history")
+        self.leaves = leaves
+
+    def mu_sigma(self, candidates: DataFrame, key: str = "grid_id", features: str = "features") -> DataFrame:
+        """(key, mu, sigma): posexplode leaf indices, broadcast-join leaf stats, aggregate per candidate."""
+        assigned = self.model.setLeafCol("leaf").transform(candidates.select(key, features))
+        per_tree = assigned.select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_ix"))
+        per_tree = per_tree.withColumn("leaf_ix", F.col("leaf_ix").cast("long"))
+        joined = per_tree.join(F.broadcast(self.leaves), ["tree", "leaf_ix"], "inner")
+        n = float(self.n_trees)
+        agg = joined.groupBy(key).agg(
+            (F.sum("leaf_mean") / n).alias("mu"),
+            (F.sum(F.col("leaf_var") + F.col("leaf_mean") * F.col("leaf_mean")) / n).alias("__m2"))
+        return agg.select(key, "mu", F.sqrt(F.greatest(F.col("__m2") - F.col("mu") * F.col("mu"), F.lit(0.0))).alias("sigma"))
+
+
 def forest_mu_sigma(model, candidates: DataFrame, key: str = "grid_id", features: str = "features",
                     min_variance: float = 0.0) -> DataFrame:
     """M2: (key, mu, sigma) for every candidate row."""
-    spark = candidates.sparkSession
-    leaves = leaf_table(spark, model, min_variance)
-    n_leaves = leaves.count()
-    if n_leaves > MAX_LEAF_ROWS:
-        raise ValueError(f"{n_leaves} leaves: too many to broadcast; the forest was not fit on a trial history")
-    leaves = F.broadcast(leaves)
-    n_trees = model.getNumTrees
-    assigned = model.setLeafCol("leaf").transform(candidates.select(key, features))
-    per_tree = assigned.select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_ix"))
-    per_tree = per_tree.withColumn("leaf_ix", F.col("leaf_ix").cast("long"))
-    joined = per_tree.join(leaves, ["tree", "leaf_ix"], "inner")
-    agg = joined.groupBy(key).agg(
-        (F.sum("leaf_mean") / n_trees).alias("mu"),
-        (F.sum(F.col("leaf_var") + F.col("leaf_mean") * F.col("leaf_mean")) / n_trees).alias("__m2"))
-    return agg.select(key, "mu", F.sqrt(F.greatest(F.col("__m2") - F.col("mu") * F.col("mu"), F.lit(0.0))).alias("sigma"))
+    return ForestScorer(model, min_variance).mu_sigma(candidates, key, features)
 
 
 # ---- M8 registry ---------------------------------------------------------------------------

@@ -33,3 +33,4 @@ def load_all() -> None:
     from tunesmith.plans import catalog_space  # noqa: F401
     from tunesmith.plans import catalog_features  # noqa: F401
     from tunesmith.plans import catalog_models  # noqa: F401
+    from tunesmith.plans import catalog_search  # noqa: F401
