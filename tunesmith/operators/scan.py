@@ -10,8 +10,8 @@ into one task, so a single hot run (a third of the log) would land on one execut
 scans the chunks in parallel with a window partitioned by ``(group, chunk)``, then
 prefix-combines the per-chunk totals (a table of ``sum_g k_g`` rows) and adds them back.
 Shuffles: one small aggregate (per-group count/min/max) and one hash exchange on
-``(group, chunk)``; the chunk totals reuse that exchange. Small groups get one chunk, so
-the plan degenerates to the plain window.
+``(group, chunk)``; the chunk totals reuse that exchange. The per-group stats are looked at
+first (one small job): if no group exceeds ``rows_per_chunk`` the plain window is used.
 """
 
 from __future__ import annotations
@@ -120,6 +120,10 @@ def running(
     stats = prepared.groupBy(*gkeys).agg(
         F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi")
     ).withColumn("__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target))).cast("long"))
+    # Adaptive plan (decided on the per-group stats, one small job): when no group needs more
+    # than one chunk, a plain per-group window is exact and needs one shuffle only.
+    if stats.agg(F.max("__k")).first()[0] in (None, 1):
+        return plain_running(df, by, order, specs)
     chunked = prepared.join(stats.drop("__n"), on=gkeys, how="inner")
     width = F.col("__hi") - F.col("__lo")
     chunk = (

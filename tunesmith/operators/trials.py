@@ -156,22 +156,26 @@ def step_fill(trials: DataFrame, runs: DataFrame, npoints: int, step: float, tim
     """T13/T14 as-of step fill: for every run in ``runs`` and point p in [0, npoints), the score of
     the last trial (by time, then ``order``) with time <= p*step, else 0.
 
-    Trials are first reduced to the last one per (run, bucket) with a partially aggregated
-    ``max_by`` (map-side combine), so only <= npoints rows per run are shuffled; the points grid
-    is generated per run with ``sequence`` (no join fan-out), and the forward fill is a chunked
-    prefix scan.
+    1. Trials are reduced to the last one per (run, bucket) with a partially aggregated
+       ``max_by`` (map-side combine): a run keeps <= npoints rows however many trials it has.
+    2. Each run gets a score-0 row at p = 0 (ranked below a real trial in bucket 0).
+    3. ``lead(p)`` over a run's bucket rows (bounded by npoints) gives the span each bucket row
+       holds, and ``explode(sequence(p, next - 1))`` emits the points: no points grid, no join.
     """
     by = list(by)
     b = trials.select(*by, bucket_index(F.col(time_col), step).alias("p"), time_col, order, score_col)
     b = b.where(F.col("p") < npoints)
     last = b.groupBy(*by, "p").agg(
-        F.max_by(F.col(score_col), F.struct(F.col(time_col), F.col(order))).alias("__bucket_score"))
-    points = runs.select(*by).distinct().select(
-        *by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(npoints - 1).cast("long"))).alias("p"))
-    grid = points.join(last, on=[*by, "p"], how="left")
-    filled = running(grid, by, ["p"], [("__filled", "last", "__bucket_score")])
-    return filled.select(*by, "p", (F.col("p") * F.lit(float(step))).alias("t"),
-                         F.coalesce(F.col("__filled"), F.lit(0.0)).alias("score"))
+        F.max_by(F.col(score_col), F.struct(F.col(time_col), F.col(order))).alias("score")
+    ).withColumn("__prio", F.lit(1))
+    start = runs.select(*by).distinct().select(*by, F.lit(0).cast("long").alias("p"), F.lit(0.0).alias("score"),
+                                               F.lit(0).alias("__prio"))
+    rows = last.unionByName(start)
+    w = Window.partitionBy(*by).orderBy("p", "__prio")  # <= npoints + 1 rows per run
+    spans = rows.withColumn("__end", F.coalesce(F.lead("p").over(w), F.lit(npoints).cast("long")))
+    spans = spans.where(F.col("__end") > F.col("p"))
+    pts = spans.select(*by, "score", F.explode(F.sequence(F.col("p"), F.col("__end") - 1)).alias("p"))
+    return pts.select(*by, "p", (F.col("p") * F.lit(float(step))).alias("t"), "score")
 
 
 def seed_average(curves: DataFrame, digits: int | None = None) -> DataFrame:
