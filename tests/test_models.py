@@ -38,3 +38,33 @@ def test_time_models_fit(spark):
     _, grid, hist = _history(spark)
     lm = M.time_model("linear").fit(hist)
     assert lm.transform(grid).count() == grid.count()
+
+
+def test_extra_trees_mu_sigma(spark):
+    sp, grid, hist = _history(spark)
+    model = M.fit_score_surrogate("extra forest", hist, "label")
+    ms = model.mu_sigma(grid)
+    assert ms.count() == sp.size
+    lo, hi = hist.agg(F.min("label"), F.max("label")).first()
+    st = ms.agg(F.min("mu"), F.max("mu"), F.max("sigma")).first()
+    assert lo - 1e-9 <= st[0] and st[1] <= hi + 1e-9 and st[2] > 0
+
+
+def test_gaussian_process_interpolates(spark):
+    sp, grid, hist = _history(spark)
+    small = hist.where(F.col("grid_id") % 4 == 0)
+    model = M.fit_score_surrogate("gp", small, "label")
+    at_train = model.mu_sigma(small).join(small.select("grid_id", "label"), "grid_id")
+    err = at_train.agg(F.max(F.abs(F.col("mu") - F.col("label"))), F.max("sigma")).first()
+    assert err[0] < 1e-3 and err[1] < 1e-3
+    away = model.mu_sigma(grid.where(F.col("grid_id") % 4 == 1)).agg(F.max("sigma")).first()[0]
+    assert away > 1e-3
+
+
+def test_adaboost_time_model(spark):
+    _, grid, hist = _history(spark)
+    model = M.fit_time_surrogate("adaboost", hist, "label")
+    pred = model.predict(grid, "grid_id", "seconds")
+    lo, hi = hist.agg(F.min("label"), F.max("label")).first()
+    st = pred.agg(F.count("seconds"), F.min("seconds"), F.max("seconds")).first()
+    assert st[0] == grid.count() and lo - 1e-9 <= st[1] and st[2] <= hi + 1e-9

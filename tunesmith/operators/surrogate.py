@@ -99,30 +99,55 @@ def forest_mu_sigma(model, candidates: DataFrame, key: str = "grid_id", features
 
 # ---- M8 registry ---------------------------------------------------------------------------
 
-SCORE_MODELS = ("forest",)
-TIME_MODELS = ("forest", "linear", "gradient")
-NOT_BUILT = {
-    "gp": "Gaussian-process surrogate is not built yet",
-    "extra forest": "extra-trees surrogate is not built yet",
-    "adaboost": "AdaBoost time model is not built yet",
-}
+SCORE_MODELS = ("forest", "extra forest", "gp")
+TIME_MODELS = ("forest", "extra forest", "gp", "linear", "gradient", "adaboost")
+MAX_GP_HISTORY = 5_000  # exact GP is O(n^3) in the history
 
 
 def score_model(name: str, seed: int = 42):
+    """The regressor behind a score surrogate name (estimator with ``fit``)."""
     if name == "forest":
         return forest_regressor(seed)
-    if name in NOT_BUILT:
-        raise NotImplementedError(NOT_BUILT[name])
+    if name == "extra forest":
+        from tunesmith.operators.extra_trees import ExtraTreesRegressor
+        return ExtraTreesRegressor(seed=seed)
+    if name == "gp":
+        from tunesmith.operators.gaussian_process import GaussianProcessRegressor
+        return GaussianProcessRegressor(seed=seed)
     raise ValueError(f"The value '{name}' is not a valid value for 'score_regression'")
 
 
 def time_model(name: str, seed: int = 42):
-    if name == "forest":
-        return forest_regressor(seed)
+    if name in ("forest", "extra forest", "gp"):
+        return score_model(name, seed)
     if name == "linear":
         return linear_regressor()
     if name == "gradient":
         return boosted_regressor(seed)
-    if name in NOT_BUILT:
-        raise NotImplementedError(NOT_BUILT[name])
+    if name == "adaboost":
+        from tunesmith.operators.boosting import AdaBoostR2
+        return AdaBoostR2(seed=seed)
     raise ValueError(f"The value '{name}' is not a valid value for 'time_regression'")
+
+
+def fit_score_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
+    """Fit a score surrogate; the result has ``mu_sigma(candidates, key, features)``."""
+    if name == "gp" and hist.count() > MAX_GP_HISTORY:
+        raise ValueError("history too large for an exact Gaussian process")
+    model = score_model(name, seed).setLabelCol(label).fit(hist)
+    return ForestScorer(model) if name == "forest" else model
+
+
+class _SparkPredictor:
+    def __init__(self, model):
+        self.model = model
+
+    def predict(self, df: DataFrame, key: str = "grid_id", out: str = "prediction") -> DataFrame:
+        m = self.model.copy().setPredictionCol(out)
+        return m.transform(df.select(key, m.getFeaturesCol())).select(key, out)
+
+
+def fit_time_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
+    """Fit a running-time model; the result has ``predict(candidates, key, out)``."""
+    model = time_model(name, seed).setLabelCol(label).fit(hist)
+    return model if hasattr(model, "predict") and not hasattr(model, "transform") else _SparkPredictor(model)

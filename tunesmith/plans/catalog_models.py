@@ -67,3 +67,31 @@ def linear_time_model(spark, sf_dir):
 def boosted_time_model(spark, sf_dir):
     """M6: gradient-boosted time model (100 rounds, depth 20, min leaf 3) on the same history."""
     return _time_fit(spark, sf_dir, M.boosted_regressor())
+
+
+@query("extra_trees_mu_sigma")
+def extra_trees_mu_sigma(spark, sf_dir):
+    """M3 (+M2 law of total variance): extra-trees surrogate on the per-setting history, every grid setting."""
+    sp = G.load_space(part_space(spark, sf_dir), "part")
+    hist = setting_history(spark, sf_dir, sp, ["p_brand", "p_type", "p_size"], F.col("l_discount") * 10)
+    model = M.fit_score_surrogate("extra forest", hist, "label")
+    return model.mu_sigma(ix_features(G.enumerate_grid(spark, sp)))
+
+
+@query("gp_mu_sigma")
+def gp_mu_sigma(spark, sf_dir):
+    """M4: Gaussian process (constant x Matern-5/2 ARD, 2 restarts) on the per-(brand, type)
+    history; mu and sigma over that grid."""
+    sp = _sub_space(spark, sf_dir, TIME_DIMS)
+    hist = setting_history(spark, sf_dir, sp, TIME_DIMS, F.col("l_discount") * 10)
+    model = M.fit_score_surrogate("gp", hist, "label")
+    return model.mu_sigma(ix_features(G.enumerate_grid(spark, sp)))
+
+
+@query("adaboost_time_model")
+def adaboost_time_model(spark, sf_dir):
+    """M7: AdaBoost.R2 time model (50 rounds of depth-3 trees, weighted median) on the per-(brand, type) history."""
+    sp = _sub_space(spark, sf_dir, TIME_DIMS)
+    hist = setting_history(spark, sf_dir, sp, TIME_DIMS, F.col("l_quantity") / 10)
+    model = M.fit_time_surrogate("adaboost", hist, "label")
+    return model.predict(ix_features(G.enumerate_grid(spark, sp)), "grid_id", "seconds")
