@@ -47,3 +47,20 @@ def test_refit_and_predict(spark):
     s = ModelSearch(cfg, spec, inner_cv=3, n_iter=2, random_search=True, n_classes=10).fit(df)
     out = s.predict(df)
     assert {"prediction", "probability"} <= set(out.columns) and out.count() == df.count()
+
+
+def test_neural_network_config(spark):
+    """The network entry of the registry fits and scores through the same CV path."""
+    df, spec = embedding_data(spark, SF001)
+    cfg = ModelConfig("NeuralNetwork", {"layer_size": [16], "n_layers": [1], "epochs": [2]})
+    s = ModelSearch(cfg, spec, inner_cv=3, n_iter=1, random_search=True, n_classes=10).setup(df)
+    t = s.evaluate(0)
+    assert t.success and 0.0 <= t.score <= 1.0
+
+
+def test_grid_sample_is_seeded_and_untried(spark):
+    from tunesmith.plans.registry import QUERIES, load_all
+    load_all()
+    a = [r["grid_id"] for r in QUERIES["grid_sample"](spark, SF001).collect()]
+    b = [r["grid_id"] for r in QUERIES["grid_sample"](spark, SF001).collect()]
+    assert a == b and len(set(a)) == len(a) == 150

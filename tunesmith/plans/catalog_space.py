@@ -382,3 +382,13 @@ def local_search_paths(spark, sf_dir):
     starts = part_settings(spark, sf_dir, sp).select("grid_id").distinct().join(scored, "grid_id")
     paths = A.local_search(starts, scored, sp, value="score")
     return paths.select("start_id", F.col("step").cast("int").alias("step"), "grid_id", F.round("score", D).alias("score"))
+
+
+@query("grid_sample")
+def grid_sample(spark, sf_dir):
+    """G3/G4 + G13: 150 settings drawn without replacement from the untried part grid with a fixed
+    seed (distributed top-n by a seeded hash; rows only: DuckDB has no xxhash64)."""
+    sp = G.load_space(part_space(spark, sf_dir), "part")
+    untried = G.untried(G.enumerate_grid(spark, sp), part_settings(spark, sf_dir, sp))
+    n = min(150, sp.size)
+    return G.decode(G.sample(untried, n, 2589731706), sp).drop("ix")
