@@ -79,8 +79,11 @@ def space_from_columns(df: DataFrame, model: str, columns: Sequence[str]) -> Dat
         numeric = isinstance(dtype, T.NumericType)
         vt = "int" if isinstance(dtype, T.IntegralType) else ("float" if numeric else "str")
         vals = df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct()
+        # a dimension's values are few by definition of a space; the cap bounds the ordering
+        # window below (load_space rejects a space that reaches it)
+        vals = vals.limit(MAX_SPACE_ROWS + 1)
         key = F.col("__v").cast("double") if numeric else F.col("__v").cast("string")
-        w = Window.orderBy(key)  # one dimension's distinct values: small by definition of a space
+        w = Window.orderBy(key)
         parts.append(vals.select(
             F.lit(model).alias("model"), F.lit(d).alias("dim"), F.lit(c).alias("param"),
             (F.row_number().over(w) - 1).cast("int").alias("ix"),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tunesmith.session import ensure_checkpoint_dir, materialize
 
-MAX_LEAF_ROWS = 5_000_000  # leaves of a forest fit on a trial history; checked before broadcasting
+MAX_LEAF_ROWS = 1_000_000  # leaves of a forest fit on a trial history (~32 MB); checked before broadcasting
 
 
 def forest_regressor(seed: int = 42, num_trees: int = 100, max_depth: int = 20, min_instances: int = 3,

@@ -125,7 +125,7 @@ WITH cats AS (
   UNION ALL SELECT 'o_orderpriority', v FROM (SELECT DISTINCT o_orderpriority AS v FROM orders))
 SELECT o.o_orderkey, c.col || '=' || c.v AS feature,
        CASE WHEN (c.col = 'o_orderstatus' AND o.o_orderstatus = c.v) OR (c.col = 'o_orderpriority' AND o.o_orderpriority = c.v)
-            THEN 1.0 ELSE 0.0 END AS value
+            THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value
 FROM orders o, cats c""")
 def one_hot(spark, sf_dir):
     """dense one-hot encoding of the categorical order columns (long form)."""
@@ -137,7 +137,7 @@ POLY_COLS = ["l_quantity", "l_discount"]
 
 
 @query("polynomial", """
-SELECT l_orderkey, l_linenumber, 1.0 AS bias, l_quantity, l_discount,
+SELECT l_orderkey, l_linenumber, CAST(1 AS DOUBLE) AS bias, l_quantity, l_discount,
        round(l_quantity * l_quantity, 6) AS l_quantity_pow2, round(l_quantity * l_discount, 6) AS l_quantity_x_l_discount,
        round(l_discount * l_discount, 6) AS l_discount_pow2
 FROM lineitem""")
