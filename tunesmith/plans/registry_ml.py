@@ -26,7 +26,9 @@ SPARK_MAX_DEPTH = 30  # "no limit" in the reference; Spark ML rejects depth 31
 
 
 def _rf(p: Mapping, seed: int) -> RandomForestClassifier:
-    est = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
+    # cacheNodeIds / maxMemoryInMB only change how many tree nodes a pass splits (speed), not the model
+    est = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
+                                 cacheNodeIds=True, maxMemoryInMB=1024)
     if "n_estimators" in p:
         est.setNumTrees(int(p["n_estimators"]))
     if "criterion" in p:
