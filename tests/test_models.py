@@ -20,15 +20,13 @@ def test_forest_mu_sigma_invariants(spark):
     sp, grid, hist = _history(spark)
     model = M.forest_regressor(num_trees=20, max_depth=6, min_instances=2).fit(hist)
     scorer = M.ForestScorer(model)
-    ms = scorer.mu_sigma(grid)
     pred = model.transform(grid).select("grid_id", "prediction")
-    j = ms.join(pred, "grid_id")
+    j = scorer.mu_sigma(grid).join(pred, "grid_id")
     assert j.count() == sp.size
     assert j.agg(F.max(F.abs(F.col("mu") - F.col("prediction")))).first()[0] < 1e-9
     assert j.agg(F.max("sigma")).first()[0] > 0
-    # negative control: shift every leaf index by one -> mu no longer equals the prediction
-    bad = scorer.leaves.withColumn("leaf_ix", F.col("leaf_ix") + 1)
-    scorer.leaves = bad
+    # negative control: mis-paired leaf indices break mu == prediction
+    scorer.leaves = scorer.leaves.withColumn("leaf_ix", F.col("leaf_ix") + 1)
     wrong = scorer.mu_sigma(grid).join(pred, "grid_id")
     err = wrong.agg(F.max(F.abs(F.col("mu") - F.col("prediction")))).first()[0]
     assert wrong.count() < sp.size or err > 1e-3

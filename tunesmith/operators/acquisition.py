@@ -74,7 +74,7 @@ def local_search(starts: DataFrame, scored: DataFrame, sp: Space, max_steps: int
     One join per step over the current frontier only; the frontier is written to the
     checkpoint folder each step so the lineage stays one step long.
     """
-    spark = starts.sparkSession
+    scored = materialize(scored.select("grid_id", value), "ls-scored")  # joined once per step
     path = starts.select(F.col("grid_id").alias("start_id"), F.lit(0).alias("step"), "grid_id", F.col(value))
     frontier = materialize(path, "ls-frontier")
     steps = [frontier]
