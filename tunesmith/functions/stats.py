@@ -58,9 +58,9 @@ def expected_improvement(mu: Column, sigma: Column, best, xi: float = DEFAULT_XI
 
 
 def effective_seconds(seconds: Column, min_time) -> Column:
-    """A5: predicted run time <= 0 falls back to the smallest observed evaluation time."""
+    """A5: predicted run time <= 0 (or not a number) falls back to the smallest observed evaluation time."""
     m = min_time if isinstance(min_time, Column) else F.lit(float(min_time))
-    return F.when(seconds <= 0, m).otherwise(seconds)
+    return F.when(seconds.isNull() | F.isnan(seconds) | (seconds <= 0), m).otherwise(seconds)
 
 
 def ei_per_second(ei: Column, seconds: Column, min_time, root: bool = False) -> Column:

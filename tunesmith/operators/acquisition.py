@@ -33,8 +33,10 @@ def score(cands: DataFrame, best, mode: str = "ei", min_time=None, xi: float = D
 
 def argmax(cands: DataFrame, value: str = "ei", key: str = "grid_id", by: Sequence[str] = (),
            carry: Sequence[str] = ()) -> DataFrame:
-    """The candidate with the highest value per group; ties -> smallest ``key``."""
-    order = F.struct(F.col(value), (-F.col(key)).alias("__neg"))
+    """The candidate with the highest value per group; ties -> smallest ``key``. NaN values
+    (which Spark orders above every number) never win."""
+    v = F.when(~F.isnan(F.col(value)), F.col(value))
+    order = F.struct(v.alias("__v"), (-F.col(key)).alias("__neg"))
     payload = F.struct(*[F.col(c) for c in (key, value, *carry)])
     best = cands.groupBy(*by).agg(F.max_by(payload, order).alias("__best"))
     return best.select(*by, "__best.*")

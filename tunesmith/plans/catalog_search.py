@@ -9,6 +9,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +46,7 @@ def live_config(spark: SparkSession, df: DataFrame, spec: FeatureSpec) -> ModelC
     cols = [*spec.numeric, *spec.categorical]
     meta = G.meta_features(df.select(*cols), categorical=list(spec.categorical)) if cols else \
         spark.createDataFrame([(False, False)], "any_missing boolean, any_categorical boolean")
-    pre = [None if r["value_type"] == "none" else __import__("json").loads(r["value"])
+    pre = [None if r["value_type"] == "none" else json.loads(r["value"])
            for r in G.conditional_preprocessors(meta).orderBy("ix").collect()]  # <= 4 alternatives
     return ModelConfig("RandomForestClassifier", {**G.RF_PARAMS, "@preprocessor": pre}, init={})
 

@@ -13,7 +13,7 @@ from tunesmith.functions import readable as R
 from tunesmith.operators import trials as T
 from tunesmith.plans.registry import query
 from tunesmith.session import materialize
-from tunesmith.sources.trial_log import RUN_KEYS, fixture_configs, raw_trials_from_events
+from tunesmith.sources.trial_log import FIXTURE_CONFIGS, RUN_KEYS, fixture_configs, raw_trials_from_events
 
 D = 6  # output rounding
 
@@ -122,8 +122,7 @@ def time_buckets_logwide(spark, sf_dir):
 
 PIVOT_STEP = 10.0
 _NAMES = [n for _, n in R.METHOD_DISPLAY_NAMES]
-_CFG_VALUES = ", ".join(f"('{e}', '{m}', '{s}', '{t}')" for e, m, s, t in
-                        __import__("tunesmith.sources.trial_log", fromlist=["FIXTURE_CONFIGS"]).FIXTURE_CONFIGS)
+_CFG_VALUES = ", ".join(f"('{e}', '{m}', '{s}', '{t}')" for e, m, s, t in FIXTURE_CONFIGS)
 _NAME_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in R.METHOD_DISPLAY_NAMES)
 PIVOT_SQL = TRIAL_LOG_SQL + f""",
 cfg(event_type, method_name, score_regressor, time_regressor) AS (VALUES {_CFG_VALUES}),
