@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,26 +18,26 @@ from tunesmith.operators import space as G
 from tunesmith.plans.registry import query
 from tunesmith.plans.registry_ml import FeatureSpec, ModelConfig
 from tunesmith.plans.search import Method, ModelSearch, MultiModelSearch, benchmark
+from tunesmith.sources.features import labelled_table
 from tunesmith.sources.tables import table
 
 SEED = 2589731706  # first seed of the reference's cluster run
 
 
 def embedding_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FeatureSpec]:
-    e = table(spark, sf_dir, "embeddings")
-    df = e.select(F.col("vec_id").alias("row_id"), array_to_vector("embedding").alias("emb"),
-                  F.col("label").cast("double").alias("label"))
-    return df, FeatureSpec(numeric=[], vectors={"emb": 64}, label="label", row_id="row_id")
+    """The embeddings as a 10-class task (64-dim vector feature)."""
+    return labelled_table(table(spark, sf_dir, "embeddings"), label="label", row_id="vec_id")
 
 
 def document_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, FeatureSpec]:
+    """Labelled documents; n_chars with punched holes, lang/source categorical from the schema."""
     d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     df = d.join(lab, "doc_id").select(
-        F.col("doc_id").alias("row_id"),
+        "doc_id",
         F.when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(F.col("n_chars").cast("double")).alias("n_chars"),
-        "lang", "source", F.col("quality").cast("double").alias("label"))
-    return df, FeatureSpec(numeric=["n_chars"], categorical=["lang", "source"], label="label", row_id="row_id")
+        "lang", "source", "quality")
+    return labelled_table(df, label="quality", row_id="doc_id")
 
 
 def live_config(spark: SparkSession, df: DataFrame, spec: FeatureSpec) -> ModelConfig:
