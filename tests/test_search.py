@@ -64,3 +64,16 @@ def test_grid_sample_is_seeded_and_untried(spark):
     a = [r["grid_id"] for r in QUERIES["grid_sample"](spark, SF001).collect()]
     b = [r["grid_id"] for r in QUERIES["grid_sample"](spark, SF001).collect()]
     assert a == b and len(set(a)) == len(a) == 150
+
+
+def test_multi_model_fit_predict(spark):
+    """Two models, preparation then EI-driven rounds; refit best predicts."""
+    from tunesmith.plans.search import MultiModelSearch
+    df, spec = embedding_data(spark, SF001)
+    configs = [ModelConfig("RandomForestClassifier", {"n_estimators": [4, 8], "max_depth": [3, 5]}),
+               ModelConfig("LogisticRegression", {"C": [0.1, 1.0]})]
+    m = MultiModelSearch(configs, spec, n_rounds=1, inner_cv=3, n_prep_rounds=1, n_classes=10).fit(df)
+    res = m.cv_results(spark).collect()
+    assert len(res) == 3 and {r["param_model"] for r in res[:2]} == {"RandomForestClassifier", "LogisticRegression"}
+    out = m.predict(df)
+    assert {"prediction", "probability"} <= set(out.columns) and out.count() == df.count()
