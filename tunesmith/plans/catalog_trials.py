@@ -363,3 +363,25 @@ def param_columns(spark, sf_dir):
     if len(keys) > 10_000:
         raise ValueError("more than 10,000 parameter names: not a parameter map")
     return tl.select(*RUN_KEYS, "iteration", *[F.col("__params")[k].alias(f"param_{k}") for k in keys])
+
+
+LOGWIDE_RANKED_SQL = LOGWIDE_SQL.rsplit("SELECT method, t, round(score, 6) AS score FROM taskavg", 1)[0] + """,
+ranked AS (
+  SELECT method, t, score,
+         CAST(rank() OVER (PARTITION BY t ORDER BY score) AS DOUBLE)
+           + (count(*) OVER (PARTITION BY t, score) - 1) / 2.0 AS rank
+  FROM taskavg)
+SELECT method, t, round(score, 6) AS score, rank,
+       round(avg(rank) OVER (PARTITION BY method ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS avg_rank
+FROM ranked"""
+
+
+@query("logwide_ranked", LOGWIDE_RANKED_SQL)
+def logwide_ranked(spark, sf_dir):
+    """T13 + T15-T18 + T11, log-wide report with ranking and averaging: curves without start-up
+    removal, methods ranked ascending at each point (K10), then the running mean of the rank."""
+    curves = T.time_buckets_logwide(trial_log(spark, sf_dir), step=LOGWIDE_STEP)
+    curves = curves.withColumn("p", (F.col("t") / LOGWIDE_STEP).cast("long"))
+    ranked = T.rank_methods(curves, ascending=True)
+    smoothed = T.running_mean(ranked, "rank", "avg_rank")
+    return smoothed.select("method", "t", _r("score"), "rank", _r("avg_rank"))
