@@ -385,3 +385,31 @@ def logwide_ranked(spark, sf_dir):
     ranked = T.rank_methods(curves, ascending=True)
     smoothed = T.running_mean(ranked, "rank", "avg_rank")
     return smoothed.select("method", "t", _r("score"), "rank", _r("avg_rank"))
+
+
+FILTERED_SQL = TRIAL_LOG_SQL + """,
+st AS (SELECT method, iteration, avg(evaluation_time) AS evaluation_time, avg(best_score) AS best_score
+       FROM trial_log WHERE task = '1' GROUP BY method, iteration)
+SELECT method, iteration,
+       round(sum(evaluation_time) OVER (PARTITION BY method ORDER BY iteration ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6)
+         AS cumulative_evaluation_time,
+       round(best_score, 6) AS best_score
+FROM st"""
+
+
+@query("filtered_curve", FILTERED_SQL)
+def filtered_curve(spark, sf_dir):
+    """S3 + S4 + P1 + T8/T10/T12: the log is appended through the sink (Parquet partitioned by
+    task) under the checkpoint folder, read back with the filter document {"task": "1"} (partition
+    pruning), and drawn as the per-method curve of mean best score vs cumulative evaluation time."""
+    import uuid
+
+    from tunesmith.session import ensure_checkpoint_dir
+    from tunesmith.sources.trial_log import append_trials, scan_trials
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tunesmith-logs/log-{uuid.uuid4().hex}"
+    append_trials(trial_log(spark, sf_dir), path)
+    log = scan_trials(spark, path, {"task": "1"})
+    st = T.iteration_stats(log, "mean", ["evaluation_time", "best_score"])
+    c = T.method_curve(st, x="cumulative_evaluation_time", y="best_score")
+    return c.select("method", "iteration", _r("cumulative_evaluation_time"), _r("best_score"))
