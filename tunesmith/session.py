@@ -63,6 +63,12 @@ def rows_per_chunk(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_PER_CHUNK_KEY, str(DEFAULT_ROWS_PER_CHUNK)))
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder and reading it back.
 
@@ -70,9 +76,24 @@ def materialize(df, name: str = "table"):
     twice), so the upstream plan runs once, and a lost executor re-reads files instead of
     recomputing from the raw tables. Unlike ``Dataset.checkpoint`` the plan is computed
     once (no count-then-write double pass) and re-reads get column pruning and pushdown.
+
+    The table goes when the driver ends, or earlier through ``release``.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/tunesmith-tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    fs, hpath = _hadoop_path(spark, path)
+    fs.deleteOnExit(hpath)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized_at = path
+    return out
+
+
+def release(*tables) -> None:
+    """Delete materialized tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_materialized_at", None)
+        if path is not None:
+            fs, hpath = _hadoop_path(df.sparkSession, path)
+            fs.delete(hpath, True)
