@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunesmith.llm.features import text_groups
+
 # Fixed values of the vocabulary's format: its white space class and its word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -173,12 +175,6 @@ def decode(vocabulary: Vocabulary, ids: bytes) -> bytes:
     return b" ".join([token[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-def _blocks(batch: pa.RecordBatch, rows: int = 64):
-    """(first row, texts) of a few rows at a time, so that only they exist as Python strings."""
-    for at in range(0, batch.num_rows, rows):
-        yield at, [t or "" for t in batch.column(1).slice(at, rows).to_pylist()]
-
-
 def vocabulary_from(path: str) -> Vocabulary:
     with open(path, encoding="utf-8") as f:
         return Vocabulary(f.read())
@@ -200,7 +196,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     def run(batches):
         enc = Encoder(shared.value)
         for batch in batches:
-            for at, texts in _blocks(batch):
+            for at, texts in text_groups(batch.column(1)):
                 enc.prime(texts)
                 ids = [np.frombuffer(enc.encode(t), "<u4").astype(np.int32) for t in texts]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
@@ -237,7 +233,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "d
         v = shared.value
         enc = Encoder(v)
         for batch in batches:
-            for at, texts in _blocks(batch):
+            for at, texts in text_groups(batch.column(1)):
                 enc.prime(texts)
                 n, a, b = [], [], []
                 for t in texts:
@@ -268,7 +264,7 @@ def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end_id:
     def run(batches):
         enc = Encoder(shared.value)
         for batch in batches:
-            for at, texts in _blocks(batch):
+            for at, texts in text_groups(batch.column(1)):
                 enc.prime(texts)
                 row, piece, length, crc, ids = [], [], [], [], []
                 for i, t in enumerate(texts):

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunesmith.llm import bpe, exact_dedup, packing, simhash
+from tunesmith.llm import bpe, exact_dedup, packing, quality, simhash, topk, toxicity
 from tunesmith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ ORACLES: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
 SEQUENCE_TOKENS = 2048
 SIMHASH_SHINGLE, SIMHASH_BITS = 3, 2
+QUALITY_BAR, TOXICITY_BAR = 0.7, 0.5
 
 
 def query(name: str, sql: str | None = None):
@@ -62,3 +64,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces with their sequence and offset."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary(), SEQUENCE_TOKENS)
+
+
+@query("op1_exact_topk", r"""
+with e as (
+  select vec_id, list_transform(embedding, x -> floor(64 * cast(x as double))) as w from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.w, e.w) as bigint) as score
+  from e q join e on e.vec_id <> q.vec_id where q.vec_id % 20 = 0
+), r as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every vector whose id is divisible by 20."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def not_held_out(parts: int, held: int):
+    """Rows whose crc32 of the id as text leaves another remainder than ``held``."""
+    return lambda c: F.crc32(c.cast("string").cast("binary")) % parts != held
+
+
+def _scored(found: DataFrame, parts: int, held: int, bar: float) -> DataFrame:
+    out = F.coalesce(~not_held_out(parts, held)(F.col("doc_id")), F.lit(False))
+    more = [c for c in found.columns if c not in ("doc_id", "score")]
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= bar).cast("int").alias("predicted"), *more)
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; labels with crc32(doc_id) mod 4 = 2 are held out (no SQL: a trained model)."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, "quality", not_held_out(4, 2))
+    return _scored(quality.score(docs, model), 4, 2, QUALITY_BAR)
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; labels with crc32(doc_id) mod 5 = 0 are held out (no SQL: a trained model)."""
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity_model(spark, docs, sf_dir)), 5, 0, TOXICITY_BAR)
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", not_held_out(5, 0))
