@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunesmith.llm import bpe, exact_dedup, packing, quality, simhash, topk, toxicity
+from tunesmith.llm import bpe, exact_dedup, line_dedup, packing, quality, simhash, topk, toxicity
 from tunesmith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), "toxic", not_held_out(5, 0))
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dropped lines of every document (no SQL: MinHash candidates and union-find)."""
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
