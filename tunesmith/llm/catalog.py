@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunesmith.llm import bpe, exact_dedup, line_dedup, packing, quality, simhash, topk, toxicity
+from tunesmith.llm import bpe, exact_dedup, language, line_dedup, packing, quality, simhash, topk, toxicity
 from tunesmith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,11 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicit
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dropped lines of every document (no SQL: MinHash candidates and union-find)."""
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every web page; the text model learns from the labelled documents (no SQL: a trained model)."""
+    model = language.fit(table(spark, sf_dir, "documents"))
+    found = language.identify(language.pages(table(spark, sf_dir, "pages")), model, markup=True)
+    return found.withColumnRenamed("id", "page_id")
