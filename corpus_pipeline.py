@@ -1,28 +1,61 @@
 """Corpus pipeline over ``documents``: each stage reads what the one before has kept and written.
 
-Stages so far: SimHash near-dedup (one document of each group stays), best-fit packing.
+1. toxicity: documents that the classifier rejects go.
+2. language ID: documents whose language the fused evidence leaves open go.
+3. line dedup: of near-equal lines the first stays; texts lose the others.
+4. SimHash near-dedup: one document of each group stays.
+5. best-fit packing: the token pieces of what is left, in sequences.
+
+All stages but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tunesmith.llm import catalog, packing, simhash
+from tunesmith.llm import catalog, language, line_dedup, packing, simhash, toxicity
 from tunesmith.session import materialize
 from tunesmith.sources.tables import table
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go (operator 3); null and empty texts are clean."""
+    model = catalog.toxicity_model(spark, docs, sf_dir)
+    return toxicity.keep_clean(docs, model, catalog.TOXICITY_BAR)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identified language go (operator 5): no letters, or a posterior under the bar."""
+    key = F.md5(F.to_json(F.struct("doc_id", "text", "lang", "source")))
+    rows = language.labelled_documents(docs.withColumn("doc_id", key))
+    found = language.identify(rows, language.fit(docs))
+    rejected = materialize(found.where(~F.col("accepted")).select(F.col("id").alias("_rejected")).distinct(), "pipeline-rejected")
+    return docs.join(rejected, key == F.col("_rejected"), "left_anti")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near-equal lines but the first go from the texts (operator 7); n_chars follows the text."""
+    return line_dedup.deduplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays (operator 4)."""
     return simhash.keep_one(docs, shingle=catalog.SIMHASH_SHINGLE, max_bits=catalog.SIMHASH_BITS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of what is left, packed into sequences (operator 10)."""
+    """The token pieces of all documents, packed into sequences (operator 10)."""
     return packing.pack_documents(docs, catalog.vocabulary(), catalog.SEQUENCE_TOKENS)
 
 
-STAGES = [("simhash_near_dedup", simhash_stage), ("best_fit_packing", packing_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("best_fit_packing", packing_stage),
+]
 
 #: Classifiers, MinHash and BPE have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None

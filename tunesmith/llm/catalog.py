@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunesmith.llm import bpe, exact_dedup, language, line_dedup, packing, quality, simhash, topk, toxicity
+from tunesmith.llm import bpe, exact_dedup, language, licenses, line_dedup, packing, quality, simhash, topk, toxicity
 from tunesmith.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.fit(table(spark, sf_dir, "documents"))
     found = language.identify(language.pages(table(spark, sf_dir, "pages")), model, markup=True)
     return found.withColumnRenamed("id", "page_id")
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, stored under source/lang/id.txt (no SQL: windows of lines and TF-IDF vectors)."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")),
+                       F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")))
+    found = licenses.scan(docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text"))
+    return found.withColumnRenamed("id", "doc_id")

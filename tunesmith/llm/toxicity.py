@@ -16,9 +16,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -361,3 +363,21 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
                            T.StructField("evidence", T.StringType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) \
         .mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel, bar: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below ``bar``, all columns kept.
+
+    Only texts travel to Python; rows stay where they are. Null and empty texts are clean.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = shared.value
+        scorer = Scorer(m)
+        for batch in batches:
+            found = [m.probability(np.array(scorer(texts)[0], np.float64)) for _, texts in text_groups(pa.array(batch, pa.string()))]
+            yield pd.Series(np.concatenate(found) if found else np.empty(0))
+
+    return docs.where(toxicity(F.col(text_col).cast("string")) < bar)
