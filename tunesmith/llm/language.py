@@ -141,11 +141,12 @@ def text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
                        F.regexp_extract("host", r"\.([^.0-9][^.]*)$", 1).alias("suffix"), "declared", "n", "ll")
 
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    exps = [F.exp(s - top) for s in scores]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+def _softmax(df: DataFrame, scores: list[str], out: list[str]) -> DataFrame:
+    """Columns ``out``: the scores' share of probability. Each step is a projection of its own, so none is computed twice."""
+    df = df.withColumn("_top", F.greatest(*scores) if len(scores) > 1 else F.col(scores[0]))
+    df = df.withColumns({c: F.exp(F.col(s) - F.col("_top")) for s, c in zip(scores, out)})
+    df = df.withColumn("_sum", sum((F.col(c) for c in out[1:]), F.col(out[0])))
+    return df.withColumns({c: F.col(c) / F.col("_sum") for c in out}).drop("_top", "_sum")
 
 
 def identify(rows: DataFrame, model: TextModel, markup: bool = False, accept: float = ACCEPT) -> DataFrame:
@@ -166,9 +167,10 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False, accept: fl
     if not langs:
         return base.select("id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"),
                            F.lit("und").alias("text_language"), "declared", F.col("n").alias("n_trigrams"))
-    posterior = _softmax([F.col("ll")[k] for k in range(len(langs))])
-    p = [f"p{k}" for k in range(len(langs))]
-    ev = materialize(base.select("*", *[F.when(F.col("n") > 0, x).otherwise(1.0 / len(langs)).alias(c) for c, x in zip(p, posterior)]), "evidence")
+    # without trigrams all log likelihoods are zero, and the posterior of the text is even
+    p, ll = [f"p{k}" for k in range(len(langs))], [f"ll{k}" for k in range(len(langs))]
+    base = base.select("id", "host", "domain", "suffix", "declared", "n", *[F.col("ll")[k].alias(c) for k, c in enumerate(ll)])
+    ev = materialize(_softmax(base, ll, p), "evidence")
     sums = [F.sum(c).alias(c) for c in p]
     whole = ev.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     glob = [((whole[c] or 0) + 1) / (whole["n"] + len(langs)) for c in p]
@@ -192,20 +194,20 @@ def identify(rows: DataFrame, model: TextModel, markup: bool = False, accept: fl
             F.log((F.col(f"{key}_{c}") + 1.0 / (values + 1)) / ((got[c] or 0) + 1)).alias(f"{key}_l{k}") for k, c in enumerate(p)]), f"log-{key}")
 
     out = ev.join(hosts, "host", "left").join(likelihood("declared"), "declared", "left").join(likelihood("suffix"), "suffix", "left")
-    scores = []
+    scores = {}
     for k, (c, g) in enumerate(zip(p, glob)):
         # the row's own text counts once, so it is taken out of its host's sums
         prior = (F.col(f"host_{c}") - F.col(c) + HOST_ROWS * F.col(f"d_{c}")) / (F.col("host_n") - 1 + HOST_ROWS)
-        text = F.when(F.col("n") > 0, F.col("ll")[k]).otherwise(0.0)
-        scores.append(text + F.log(F.coalesce(F.greatest(prior, F.lit(1e-9)), F.lit(g)))
-                      + F.coalesce(f"declared_l{k}", F.lit(0.0)) + F.coalesce(f"suffix_l{k}", F.lit(0.0)))
-    fused = _softmax(scores)
+        scores[f"s{k}"] = F.col(f"ll{k}") + F.log(F.coalesce(F.greatest(prior, F.lit(1e-9)), F.lit(g))) \
+            + F.coalesce(f"declared_l{k}", F.lit(0.0)) + F.coalesce(f"suffix_l{k}", F.lit(0.0))
+    fused = [f"f{k}" for k in range(len(langs))]
+    out = _softmax(out.select("id", "declared", "n", *p, *[x.alias(s) for s, x in scores.items()]), list(scores), fused)
 
-    def best(columns: list[Column]) -> Column:
-        ranked = [F.struct(x.alias("p"), F.lit(-k).alias("first"), F.lit(lang).alias("lang")) for k, (x, lang) in enumerate(zip(columns, langs))]
+    def best(columns: list[str]) -> Column:
+        ranked = [F.struct(F.col(x).alias("p"), F.lit(-k).alias("first"), F.lit(lang).alias("lang")) for k, (x, lang) in enumerate(zip(columns, langs))]
         return F.greatest(*ranked) if len(ranked) > 1 else ranked[0]
 
-    out = out.select("id", "declared", "n", best(fused).alias("best"), best([F.col(c) for c in p]).alias("text"))
+    out = out.select("id", "declared", "n", best(fused).alias("best"), best(p).alias("text"))
     has_text = F.col("n") > 0
     return out.select(
         "id", F.when(has_text, F.col("best.lang")).otherwise("und").alias("language"), F.col("best.p").alias("confidence"),
