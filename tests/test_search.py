@@ -77,3 +77,79 @@ def test_multi_model_fit_predict(spark):
     assert len(res) == 3 and {r["param_model"] for r in res[:2]} == {"RandomForestClassifier", "LogisticRegression"}
     out = m.predict(df)
     assert {"prediction", "probability"} <= set(out.columns) and out.count() == df.count()
+
+
+def small_search(spark, **more):
+    df, spec = embedding_data(spark, SF001)
+    cfg = ModelConfig("RandomForestClassifier", {"n_estimators": [2, 3], "max_depth": [2, 3]})
+    return df, ModelSearch(cfg, spec, inner_cv=2, n_classes=10, **more)
+
+
+def planted(search, values):
+    """Replaces the evaluation by given scores, so that a test needs no model fits."""
+    from tunesmith.plans.search import Trial
+
+    def evaluate(grid_id, max_eval_time=None):
+        score = values(grid_id)
+        search.current_best_score = max(score, search.current_best_score)
+        search.trials.append(Trial(len(search.trials), grid_id, {}, score, True, 1.0, best_score=search.current_best_score))
+        return search.trials[-1]
+
+    search.evaluate = evaluate
+
+
+def test_folds_read_the_stored_table(spark):
+    df, s = small_search(spark)
+    s.setup(df)
+    assert s.cv.data is s.data and "Window" not in s.data._jdf.queryExecution().executedPlan().toString()
+
+
+def test_predefined_splits_do_not_leak(spark):
+    from tunesmith.operators.features import predefined_splits
+    df, s = small_search(spark)
+    splits = predefined_splits(df, "row_id", F.col("row_id") % 4, 4)
+    s.setup(df, splits)
+    assert s.cv.folds == [0, 1, 2, 3]
+    for f in s.cv.folds:
+        train, test = s.cv.sides(f)
+        a, b = ({r["row_id"] for r in x.select("row_id").collect()} for x in (train, test))
+        assert not a & b and len(a) + len(b) == df.count() and all(i % 4 == f for i in b)
+
+
+def test_random_search_goes_on_where_it_stopped(spark):
+    df, s = small_search(spark)
+    s.setup(df)
+    planted(s, lambda g: 0.1 * g)
+    s.run_random(2, seed=7)
+    s.run_random(2, seed=7)
+    assert sorted(t.grid_id for t in s.trials) == [0, 1, 2, 3]
+
+
+def test_used_up_grid_ends_the_search_and_nothing_is_tried_twice(spark):
+    df, s = small_search(spark)
+    s.setup(df)
+    planted(s, lambda g: 0.2 + 0.1 * g)
+    s.run_random(1)
+    s.run_bayesian(10)
+    assert sorted(t.grid_id for t in s.trials) == [0, 1, 2, 3]
+    assert s.maximize() is None
+
+
+def test_unknown_scorer_is_an_error_at_setup(spark):
+    import pytest
+    df, s = small_search(spark, scoring="no_such_metric")
+    with pytest.raises(ValueError):
+        s.setup(df)
+    df, s = small_search(spark, scoring=lambda pred, label: pred.count() * 1.0)
+    s.setup(df)
+    assert s.evaluate(0).score > 1
+
+
+def test_text_labels_come_back_in_predictions(spark):
+    from tunesmith.sources.features import labelled_table
+    raw = spark.createDataFrame([(i, float(i % 2), "yes" if i % 2 else "no") for i in range(40)], "id long, x double, y string")
+    df, spec = labelled_table(raw, "y", "id")
+    cfg = ModelConfig("RandomForestClassifier", {"n_estimators": [3], "max_depth": [2]})
+    s = ModelSearch(cfg, spec, inner_cv=2, n_iter=1, random_search=True).fit(df)
+    assert {(r["x"], r["predicted_label"]) for r in s.predict(df).collect()} == {(0.0, "no"), (1.0, "yes")}
+    assert s.cv_results().first()["mean_test_score"] == 1.0

@@ -25,7 +25,7 @@ def test_grid_roundtrip_and_neighbors(spark):
 def test_untried_leaves_no_tried(spark):
     sp = G.load_space(G.space_from_dict(spark, "m", {"a": list(range(10)), "b": list(range(7))}), "m")
     grid = G.enumerate_grid(spark, sp)
-    tried = G.sample(grid, 5, 3)
+    tried = G.draw(spark, sp, 5, 3)
     left = G.untried(grid, tried)
     assert left.count() == 65 and left.join(tried, "grid_id").count() == 0
 
@@ -44,3 +44,30 @@ def test_experiment_matrix(spark):
                                     "seed": spark.createDataFrame([(1,), (2,), (3,)], "s long"),
                                     "method": spark.createDataFrame([("A",), ("B",)], "m string")})
     assert m.count() == 12 and m.distinct().count() == 12
+
+
+def test_a_dimension_of_150000_values(spark):
+    df = spark.range(150_000).select(F.col("id").alias("a"), F.concat(F.lit("v"), (F.col("id") % 7)).alias("b"))
+    space = G.space_from_columns(df, "m", ["a", "b"])
+    assert G.grid_size(space).first()["grid_size"] == 150_000 * 7
+    sp = G.load_space(space, "m")
+    got = G.decode(G.draw(spark, sp, 20, 1), sp).collect()
+    assert all(int(r["a"]) == r["ix"][0] and r["b"] == f"v{r['ix'][1]}" for r in got)
+
+
+def test_ids_beyond_doubles_and_draws_from_a_huge_grid(spark):
+    sp = G.load_space(G.space_from_dict(spark, "m", {f"p{k}": list(range(1000)) for k in range(5)} | {"q": list(range(100))}), "m")
+    assert sp.size == 10**17
+    gid = 12345678901234567
+    ix = spark.createDataFrame([(gid,)], "g long").select(sp.digits(F.col("g"))).first()[0]
+    assert ix == [123, 456, 789, 12, 345, 67] and sp.setting(gid)["q"] == ("67", "int")
+    tried = G.draw(spark, sp, 3, 9)
+    rows = G.draw(spark, sp, 150, 9, tried).collect()
+    assert len({r["grid_id"] for r in rows}) == 150
+    assert [r["grid_id"] for r in G.draw(spark, sp, 153, 9).orderBy("draw").collect()][3:] == [r["grid_id"] for r in sorted(rows, key=lambda r: r["draw"])]
+
+
+def test_draws_of_a_used_up_grid(spark):
+    sp = G.load_space(G.space_from_dict(spark, "m", {"a": [1, 2, 3]}), "m")
+    assert sorted(r["grid_id"] for r in G.draw(spark, sp, 10, 1).collect()) == [0, 1, 2]
+    assert G.draw(spark, sp, 1, 1, G.draw(spark, sp, 3, 5)).count() == 0

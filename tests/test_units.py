@@ -86,3 +86,39 @@ def test_stratified_fold_sizes(spark):
         by_label.setdefault(r["label"], []).append(r["count"])
     for counts in by_label.values():
         assert len(counts) == 4 and max(counts) - min(counts) <= 1
+
+
+def test_readable_values_of_null_and_booleans(spark):
+    from tunesmith.functions import readable as R
+    df = spark.createDataFrame([('{"a":"1","max_depth":null,"bootstrap":true,"name":"true","l":[1,null]}',)], "p string")
+    text = df.select(R.readable_parameters(R.params_from_json(F.col("p")))).first()[0]
+    assert text == 'a = 1, max_depth = None, bootstrap = True, name = true, l = [1,null]'
+    vals = spark.createDataFrame([("x", "str"), ("true", "bool"), (None, "none"), ("null", "none"), ("0.5", "float")], "v string, t string")
+    assert [r[0] for r in vals.select(R.python_str(F.col("v"), F.col("t"))).collect()] == ["x", "True", "None", "None", "0.5"]
+
+
+def test_startup_removal_keeps_runs_with_null_keys(spark):
+    rows = [("m", None, 0, i, float(i + 1), 0.1) for i in range(7)]
+    df = spark.createDataFrame(rows, "method string, task string, seed long, iteration int, cumulative_time double, best_score double")
+    out = T.remove_startup(df, nr=5)
+    assert out.columns == df.columns and sorted(r["cumulative_time"] for r in out.collect()) == [1.0, 2.0]
+
+
+def test_dual_imputer_on_strings_saves_and_loads(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    df = spark.createDataFrame([("b", 1.0), ("a", None), (None, 3.0), ("a", 5.0), ("b", 2.0)], "s string, x double")
+    model = Pipeline(stages=[FE.DualImputer(categorical=["s"], numerical=["x"])]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = PipelineModel.load(str(tmp_path / "m"))
+    assert [tuple(r) for r in again.transform(df).collect()] == [("b", 1.0), ("a", 2.5), ("a", 3.0), ("a", 5.0), ("b", 2.0)]
+
+
+def test_labelled_table_types(spark):
+    import datetime
+    from tunesmith.sources.features import labelled_table
+    df = spark.createDataFrame([(1, True, datetime.date(1970, 1, 3), datetime.datetime(1970, 1, 1, 0, 1), "no"),
+                                (2, False, None, None, "yes")], "id long, flag boolean, d date, t timestamp, y string")
+    out, spec = labelled_table(df, "y", "id")
+    assert spec.numeric == ["flag", "d", "t"] and spec.classes == ["no", "yes"]
+    first = out.orderBy("row_id").first()
+    assert (first["flag"], first["d"], first["t"], first["label"]) == (1.0, 2.0, 60.0, 0.0)

@@ -32,9 +32,17 @@ def rename_methods(df: DataFrame, method_col: str = "method") -> DataFrame:
     return df.join(names, df[method_col] == names["__label"], "inner").drop("__label")
 
 
+def readable_value(value: Column) -> Column:
+    """P5 for one JSON value (VARIANT): null as None, booleans as True/False, strings unquoted, numbers and
+    lists as written."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(value.cast("string"))) \
+        .otherwise(value.cast("string"))
+
+
 def params_from_json(props: Column) -> Column:
     """A setting stored as a JSON object -> MAP<STRING,STRING> of readable values."""
-    return F.from_json(props, "map<string,string>")
+    return F.transform_values(F.from_json(props, "map<string,variant>"), lambda _, v: readable_value(v))
 
 
 def readable_parameters(params: Column) -> Column:
@@ -43,9 +51,7 @@ def readable_parameters(params: Column) -> Column:
 
 
 def python_str(value: Column, value_type: Column) -> Column:
-    """P5 for one JSON-encoded value with its type tag: the text ``str(value)`` gives in Python
-    (strings unquoted, booleans True/False, null None, numbers and lists as written)."""
-    return (F.when(value_type == "str", F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v"))
-            .when(value_type == "bool", F.when(value == "true", F.lit("True")).otherwise(F.lit("False")))
-            .when(value_type == "none", F.lit("None"))
+    """P5 for the value text and type of a space table: booleans True/False, null None, all others as written."""
+    return (F.when(value_type == "bool", F.initcap(value))
+            .when((value_type == "none") | value.isNull(), F.lit("None"))
             .otherwise(value))

@@ -16,9 +16,12 @@ The fitted fill/scale values (one number per column) are the only things on the
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Sequence
 
 from pyspark.ml import Estimator, Model
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,31 +70,35 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value): the most frequent non-missing value, ties -> smallest."""
-    counts = value_counts(df, cols)
-    return counts.groupBy("column").agg(F.min_by("value", F.struct((-F.col("n")).alias("nn"), F.col("value"))).alias("value"))
-
-
-def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _long_values(df, cols).groupBy("column").agg(F.avg("value").alias("value"))
+    """(column, number, text): the most frequent non-missing value, ties -> smallest in the column's own order.
+    Values of numeric columns are in ``number``, of all others in ``text``."""
+    df = missing_as_null(df, cols)
+    cells = []
+    for c in cols:
+        numeric = isinstance(df.schema[c].dataType, T.NumericType)
+        cells.append(F.struct(F.lit(c).alias("column"), (F.col(c) if numeric else F.lit(None)).cast("double").alias("number"),
+                              (F.lit(None) if numeric else F.col(c)).cast("string").alias("text")))
+    counts = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("number is not null or text is not null") \
+        .groupBy("column", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("low"), "number", "text")).alias("best")
+    return counts.groupBy("column").agg(best).select("column", "best.number", "best.text")
 
 
-def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str, float]:
+def fill_values(df: DataFrame, cols: Sequence[str], strategy: str) -> dict[str, float | str]:
     """learn one fill value per column (mean | median | most_frequent)."""
     if not cols:
         return {}
     if strategy == "mean":
-        vals = column_means(df, cols)
-    elif strategy == "median":
-        vals = exact_quantiles(df, cols, [0.5]).drop("prob")
-    elif strategy == "most_frequent":
-        vals = most_frequent(df, cols)
-    else:
-        raise ValueError(f"unknown strategy {strategy!r}")
-    return {r["column"]: r["value"] for r in vals.collect()}  # one row per column
+        row = missing_as_null(df, cols).agg(*[F.avg(c).alias(c) for c in cols]).first()
+        return {c: row[c] for c in cols}
+    if strategy == "median":
+        return {r["column"]: r["value"] for r in exact_quantiles(df, cols, [0.5]).collect()}  # one row per column
+    if strategy == "most_frequent":
+        return {r["column"]: r["number"] if r["text"] is None else r["text"] for r in most_frequent(df, cols).collect()}
+    raise ValueError(f"unknown strategy {strategy!r}")
 
 
-def apply_fill(df: DataFrame, fills: dict[str, float]) -> DataFrame:
+def apply_fill(df: DataFrame, fills: dict[str, float | str]) -> DataFrame:
     """replace NULL/NaN by the learned value, keeping each column's type and position."""
     df = missing_as_null(df, list(fills))
     out = []
@@ -103,30 +110,38 @@ def apply_fill(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     return df.select(*out)
 
 
-class DualImputerModel(Model):
-    def __init__(self, fills: dict[str, float]):
+class DualImputerModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Learned fill values (param ``fills``: JSON object column -> value)."""
+
+    fills = Param(Params._dummy(), "fills", "fill value of each column, as JSON", TypeConverters.toString)
+
+    def __init__(self, fills: dict[str, float | str] | None = None):
         super().__init__()
-        self.fills = fills
+        self._set(fills=json.dumps(fills or {}))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return apply_fill(dataset, self.fills)
+        return apply_fill(dataset, json.loads(self.getOrDefault(self.fills)))
+
 
+class DualImputer(Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """one strategy for categorical columns (of any type), another for numeric ones (defaults
+    most_frequent / median); an empty group is skipped. A Pipeline stage that can be saved and loaded."""
 
-class DualImputer(Estimator):
-    """one strategy for categorical columns, another for numeric ones (defaults
-    most_frequent / median); an empty group is skipped. Usable as a Pipeline stage."""
+    categorical = Param(Params._dummy(), "categorical", "categorical columns", TypeConverters.toListString)
+    numerical = Param(Params._dummy(), "numerical", "numeric columns", TypeConverters.toListString)
+    strategy_categorical = Param(Params._dummy(), "strategy_categorical", "strategy of categorical columns", TypeConverters.toString)
+    strategy_numerical = Param(Params._dummy(), "strategy_numerical", "strategy of numeric columns", TypeConverters.toString)
 
     def __init__(self, categorical: Sequence[str] = (), numerical: Sequence[str] = (),
                  strategy_categorical: str = "most_frequent", strategy_numerical: str = "median"):
         super().__init__()
-        self.categorical = list(categorical)
-        self.numerical = list(numerical)
-        self.strategy_categorical = strategy_categorical
-        self.strategy_numerical = strategy_numerical
+        self._set(categorical=list(categorical), numerical=list(numerical), strategy_categorical=strategy_categorical,
+                  strategy_numerical=strategy_numerical)
 
     def _fit(self, dataset: DataFrame) -> DualImputerModel:
-        fills = fill_values(dataset, self.categorical, self.strategy_categorical)
-        fills.update(fill_values(dataset, self.numerical, self.strategy_numerical))
+        of = self.getOrDefault
+        fills = fill_values(dataset, of(self.categorical), of(self.strategy_categorical))
+        fills.update(fill_values(dataset, of(self.numerical), of(self.strategy_numerical)))
         return DualImputerModel(fills)
 
 

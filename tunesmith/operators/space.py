@@ -7,9 +7,9 @@ A search space is a small dimension table
 one row per (parameter, allowed value). A setting is the vector of value positions ``ix``;
 its ``grid_id`` is the mixed-radix number of those digits (dimension 0 most significant).
 The grid itself is never materialised by joins: ``spark.range(N)`` is decoded with
-``floor(id / stride) % len`` per dimension, so enumerating or scoring 1.7 M settings is
-one distributed, map-only pass. The space *definition* (a few dozen rows) is pulled to the
-driver to build those expressions; its size is checked.
+``(id div stride) % len`` per dimension, so enumerating or scoring 1.7 M settings is one
+distributed, map-only pass. The driver holds the length and stride of each dimension only; the
+values stay a table that is joined on (dimension, position), and Spark broadcasts the small ones.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunesmith.session import materialize
+
 SPACE_SCHEMA = "model string, dim int, param string, ix int, value string, value_type string"
-MAX_SPACE_ROWS = 100_000  # a search-space definition larger than this is not a space
 
 
 def value_type(v) -> str:
@@ -65,11 +66,24 @@ def space_from_dict(spark: SparkSession, model: str, params: Mapping[str, Sequen
     for d, (p, values) in enumerate(params.items()):
         for i, v in enumerate(values):
             rows.append((model, d, p, i, value_text(v), value_type(v)))
-    if len(rows) > MAX_SPACE_ROWS:
-        raise ValueError(f"space has {len(rows)} values; more than {MAX_SPACE_ROWS}")
     return spark.createDataFrame(rows, SPACE_SCHEMA)
 
 
+def positions(values: DataFrame, key: Column) -> DataFrame:
+    """``values`` with ``ix``, the 0-based position in the order of the unique ``key``.
+
+    The rows are sorted by ranges; a row's position is its place in its range plus the sizes of the
+    ranges before (one row per range), so no task sorts all values.
+    """
+    row = F.monotonically_increasing_id()
+    ranged = materialize(values.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", row), "ranked-values")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return ranged.withColumn("__part", part).join(before, "__part") \
+        .withColumn("ix", (F.col("__before") + place).cast("int")).drop("__at", "__part", "__before")
+
+
 def space_from_columns(df: DataFrame, model: str, columns: Sequence[str]) -> DataFrame:
     """A space whose dimensions are the distinct values of ``columns`` (ordered by value:
     numerically for numeric columns, byte-wise for strings)."""
@@ -79,14 +93,9 @@ def space_from_columns(df: DataFrame, model: str, columns: Sequence[str]) -> Dat
         numeric = isinstance(dtype, T.NumericType)
         vt = "int" if isinstance(dtype, T.IntegralType) else ("float" if numeric else "str")
         vals = df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct()
-        # a dimension's values are few by definition of a space; the cap bounds the ordering
-        # window below (load_space rejects a space that reaches it)
-        vals = vals.limit(MAX_SPACE_ROWS + 1)
-        key = F.col("__v").cast("double") if numeric else F.col("__v").cast("string")
-        w = Window.orderBy(key)
+        vals = positions(vals, F.col("__v") if numeric else F.col("__v").cast("string"))
         parts.append(vals.select(
-            F.lit(model).alias("model"), F.lit(d).alias("dim"), F.lit(c).alias("param"),
-            (F.row_number().over(w) - 1).cast("int").alias("ix"),
+            F.lit(model).alias("model"), F.lit(d).alias("dim"), F.lit(c).alias("param"), "ix",
             F.col("__v").cast("string").alias("value"), F.lit(vt).alias("value_type")))
     out = parts[0]
     for p in parts[1:]:
@@ -122,15 +131,14 @@ class Dim:
     param: str
     length: int
     stride: int
-    values: list[str]
-    types: list[str]
 
 
 @dataclass
 class Space:
-    """Driver-side handle of one model's space definition (bounded size)."""
+    """Driver-side handle of one model's space: its dimensions; the values are a stored table."""
     model: str
     dims: list[Dim]
+    table: DataFrame  # (dim, ix, value, value_type)
 
     @property
     def size(self) -> int:
@@ -143,9 +151,22 @@ class Space:
     def params(self) -> list[str]:
         return [d.param for d in self.dims]
 
+    def values(self, d: Dim) -> DataFrame:
+        return self.table.where(F.col("dim") == d.dim)
+
+    def setting(self, grid_id: int) -> dict[str, tuple[str | None, str]]:
+        """param -> (value text, type) of one setting: one row per dimension."""
+        wanted = None
+        for d in self.dims:
+            here = (F.col("dim") == d.dim) & (F.col("ix") == (grid_id // d.stride) % d.length)
+            wanted = here if wanted is None else wanted | here
+        got = {r["dim"]: (r["value"], r["value_type"]) for r in self.table.where(wanted).collect()}
+        return {d.param: got[d.dim] for d in self.dims}
+
     # ---- Column expressions -----------------------------------------------------------
     def digit(self, grid_id: Column, d: Dim) -> Column:
-        return ((grid_id / F.lit(d.stride)).cast("long") % F.lit(d.length)).cast("int")
+        place = F.call_function("div", grid_id, F.lit(d.stride).cast("long"))  # integer division: exact for every long
+        return (place % F.lit(d.length).cast("long")).cast("int")
 
     def digits(self, grid_id: Column) -> Column:
         """G6 inverse: grid_id -> ARRAY<INT> of value positions."""
@@ -155,34 +176,19 @@ class Space:
         """ARRAY<INT> of positions -> grid_id."""
         acc = F.lit(0).cast("long")
         for k, d in enumerate(self.dims):
-            acc = acc + ix[k].cast("long") * F.lit(d.stride)
+            acc = acc + ix[k].cast("long") * F.lit(d.stride).cast("long")
         return acc
 
-    def value_of(self, d: Dim, ix: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in d.values]), ix + 1)
-
-    def index_of(self, d: Dim, value: Column) -> Column:
-        """Value text -> position in its list (NULL when absent): a literal map lookup, no join."""
-        m = F.create_map(*[x for i, v in enumerate(d.values) for x in (F.lit(v), F.lit(i))])
-        return m[value.cast("string")]
-
 
 def load_space(space: DataFrame, model: str) -> Space:
-    """Pull one model's space definition (a few dozen rows) to the driver, with a size check."""
-    rows = space.where(F.col("model") == model).select("dim", "param", "ix", "value", "value_type") \
-                .limit(MAX_SPACE_ROWS + 1).collect()
-    if len(rows) > MAX_SPACE_ROWS:
-        raise ValueError(f"space of {model} has more than {MAX_SPACE_ROWS} values")
-    by_dim: dict[int, list] = {}
+    """Store one model's space and pull its dimensions (one row each) to the driver."""
+    stored = materialize(space.where(F.col("model") == model).select("dim", "param", "ix", "value", "value_type"), "space")
+    rows = stored.groupBy("dim", "param").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("dim")).collect()
+    out, stride = [], 1
     for r in rows:
-        by_dim.setdefault(r["dim"], []).append(r)
-    out = []
-    stride = 1
-    for d in sorted(by_dim, reverse=True):
-        vals = sorted(by_dim[d], key=lambda r: r["ix"])
-        out.append(Dim(d, vals[0]["param"], len(vals), stride, [v["value"] for v in vals], [v["value_type"] for v in vals]))
-        stride *= len(vals)
-    return Space(model, list(reversed(out)))
+        out.append(Dim(r["dim"], r["param"], r["n"], stride))
+        stride *= r["n"]
+    return Space(model, list(reversed(out)), stored.drop("param"))
 
 
 def enumerate_grid(spark: SparkSession, sp: Space, num_partitions: int | None = None) -> DataFrame:
@@ -196,7 +202,8 @@ def enumerate_grid(spark: SparkSession, sp: Space, num_partitions: int | None =
 def decode(df: DataFrame, sp: Space, ix_col: str = "ix") -> DataFrame:
     """Add one column per parameter with the value text of each position."""
     for k, d in enumerate(sp.dims):
-        df = df.withColumn(d.param, sp.value_of(d, F.col(ix_col)[k]))
+        df = df.join(sp.values(d).select(F.col("ix").alias(f"__ix{k}"), F.col("value").alias(d.param)),
+                     F.col(ix_col)[k] == F.col(f"__ix{k}")).drop(f"__ix{k}")
     return df
 
 
@@ -204,15 +211,38 @@ def encode(settings: DataFrame, sp: Space, columns: Sequence[str] | None = None)
     """Settings with one column per parameter -> ix ARRAY<INT> and grid_id
     (NULL grid_id when a value is not in the space)."""
     cols = list(columns or sp.params)
-    ix = F.array(*[sp.index_of(d, F.col(c)) for d, c in zip(sp.dims, cols)])
-    out = settings.withColumn("ix", ix)
+    out = settings
+    for k, (d, c) in enumerate(zip(sp.dims, cols)):
+        out = out.join(sp.values(d).select(F.col("value").alias(f"__v{k}"), F.col("ix").alias(f"__ix{k}")),
+                       F.col(c).cast("string").eqNullSafe(F.col(f"__v{k}")), "left").drop(f"__v{k}")
+    places = [f"__ix{k}" for k in range(len(cols))]
+    out = out.withColumn("ix", F.array(*places)).drop(*places)
     valid = F.forall(F.col("ix"), lambda x: x.isNotNull())
     return out.withColumn("grid_id", F.when(valid, sp.grid_id(F.col("ix"))))
 
 
-def sample(grid: DataFrame, n: int, seed: int) -> DataFrame:
-    """N settings without replacement, seeded; a distributed top-n (TakeOrdered), no full sort."""
-    return grid.orderBy(F.xxhash64(F.col("grid_id"), F.lit(seed)), F.col("grid_id")).limit(n)
+def drawn(spark: SparkSession, sp: Space, seed: int, draws: int) -> DataFrame:
+    """(grid_id, draw): the distinct settings among draws 0, 1, 2, ... with the draw that first hit each.
+
+    Draw i hits setting md5(seed:i) mod N, so nothing is enumerated and both engines agree (spaces
+    of up to 2^60 settings).
+    """
+    i = spark.range(draws).withColumnRenamed("id", "draw")
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
+    return i.select((h % F.lit(sp.size).cast("long")).alias("grid_id"), "draw").groupBy("grid_id").agg(F.min("draw").alias("draw"))
+
+
+def draw(spark: SparkSession, sp: Space, n: int, seed: int, tried: DataFrame | None = None) -> DataFrame:
+    """The first ``n`` distinct settings of the seeded draws (all that are left, if fewer) in the order
+    of their draw, as (grid_id, draw, ix); ``tried`` settings are passed over (G5)."""
+    draws = 2 * n + 16
+    while True:
+        hit = drawn(spark, sp, seed, draws)
+        found = hit if tried is None else untried(hit, tried)
+        if found.count() >= n or hit.count() >= sp.size:
+            break
+        draws *= 2
+    return found.orderBy("draw").limit(n).withColumn("ix", sp.digits(F.col("grid_id")))
 
 
 def untried(grid: DataFrame, tried: DataFrame) -> DataFrame:
@@ -231,7 +261,7 @@ def neighbors(settings: DataFrame, sp: Space) -> DataFrame:
         others = F.filter(F.sequence(F.lit(0), F.lit(d.length - 1)), lambda j: j != cur)
         entries.append(F.transform(others, lambda j: F.struct(
             F.lit(d.param).alias("param"),
-            (F.col("grid_id") + (j - cur).cast("long") * F.lit(d.stride)).alias("neighbor_id"))))
+            (F.col("grid_id") + (j - cur).cast("long") * F.lit(d.stride).cast("long")).alias("neighbor_id"))))
     out = settings.withColumn("__nb", F.explode(F.flatten(F.array(*entries))))
     return out.withColumn("param", F.col("__nb.param")).withColumn("neighbor_id", F.col("__nb.neighbor_id")).drop("__nb")
 

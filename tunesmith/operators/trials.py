@@ -47,13 +47,6 @@ def record_trials(raw: DataFrame, order: Sequence[str] = ("ts", "event_id"), by:
     return out.withColumn("iteration", (F.col("__rn") - 1).cast("int")).drop("__rn")
 
 
-def key_filter(df: DataFrame, **eq) -> DataFrame:
-    """Conjunction of key equalities, pushed into the Parquet scan by Catalyst."""
-    for k, v in eq.items():
-        df = df.where(F.col(k) == F.lit(v))
-    return df
-
-
 def valid_trials(df: DataFrame, timeout_score: float | None = 0.0) -> DataFrame:
     """Drop timed-out trials. ``timeout_score=None`` uses the ``success`` flag instead of the
     sentinel (a genuine score equal to the sentinel is then kept, K6)."""
@@ -73,9 +66,11 @@ def remove_startup(df: DataFrame, nr: int = 5, time_col: str = "cumulative_time"
     # map partition reach the shuffle, so a hot run costs nothing here.
     head = df.select(*by, order, time_col).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= nr)
     cut = head.where(F.col("__rn") == nr).select(
-        *by, F.col(order).alias("__cut_order"), F.col(time_col).alias("__cut_time"))
-    out = df.join(cut, on=by, how="inner").where(
-        F.struct(F.col(order), F.col(time_col)) > F.struct(F.col("__cut_order"), F.col("__cut_time")))
+        *[F.col(c).alias(f"__cut_{c}") for c in by], F.col(order).alias("__cut_order"), F.col(time_col).alias("__cut_time"))
+    same_run = [F.col(c).eqNullSafe(F.col(f"__cut_{c}")) for c in by]  # a NULL key names a run like any other
+    out = df.join(cut, on=same_run, how="inner").where(
+        F.struct(F.col(order), F.col(time_col)) > F.struct(F.col("__cut_order"), F.col("__cut_time"))) \
+        .drop(*[f"__cut_{c}" for c in by])
     if recalculate_time:
         out = out.withColumn(time_col, F.col(time_col) - F.col("__cut_time"))
     return out.drop("__cut_order", "__cut_time")

@@ -163,15 +163,14 @@ def stratified_folds(spark, sf_dir):
 
 @query("fold_accuracy", """
 WITH f AS (SELECT vec_id, label, CAST(ntile(10) OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS fold,
-                  list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS prediction
+                  (list_position(embedding, list_max(embedding)) - 1) % 10 AS prediction
            FROM embeddings)
 SELECT fold, count(*) AS n_rows, round(avg(CASE WHEN prediction = label THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM f GROUP BY fold""")
 def fold_accuracy(spark, sf_dir):
-    """E2 + E3: accuracy per stratified fold of a rule-based prediction (arg-max of the first 10 dims)."""
+    """E2 + E3: accuracy per stratified fold of a rule-based prediction (arg-max of all dims, modulo the classes)."""
     e = table(spark, sf_dir, "embeddings")
-    head = F.slice("embedding", 1, 10)
-    e = e.withColumn("prediction", F.array_position(head, F.array_max(head)) - 1)
+    e = e.withColumn("prediction", (F.array_position("embedding", F.array_max("embedding")) - 1) % 10)
     f = FE.stratified_folds(e, "label", 10, ["vec_id"])
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_rows"),
                                  F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), D).alias("accuracy"))
@@ -188,9 +187,70 @@ def predefined_splits(spark, sf_dir):
     return s.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("pca_project")
+@query("predefined_split_rows", """
+SELECT e.vec_id, CAST(f.fold AS INT) AS fold, CASE WHEN f.fold = CAST(e.vec_id % 10 AS INT) THEN 'test' ELSE 'train' END AS role
+FROM embeddings e, (SELECT unnest(range(0, 10)) AS fold) f""")
+def predefined_split_rows(spark, sf_dir):
+    """Every row of the explicit 10-fold split table."""
+    return FE.predefined_splits(table(spark, sf_dir, "embeddings"), "vec_id", F.col("vec_id") % 10, 10)
+
+
+HOLES_SQL = """h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority,
+               CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice FROM orders)"""
+
+
+def _orders_with_holes(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(k % 9 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(k % 4 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+
+
+@query("dual_impute_strings", "WITH " + HOLES_SQL + """,
+m AS (SELECT o_orderpriority AS v FROM h WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT o_orderkey, coalesce(o_orderpriority, (SELECT v FROM m)) AS o_orderpriority,
+       round(coalesce(o_totalprice, (SELECT median(o_totalprice) FROM h)), 6) AS o_totalprice FROM h""")
+def dual_impute_strings(spark, sf_dir):
+    """A text column by its most frequent value, a numeric one by its median."""
+    df = _orders_with_holes(spark, sf_dir)
+    out = FE.DualImputer(categorical=["o_orderpriority"], numerical=["o_totalprice"]).fit(df).transform(df)
+    return out.select("o_orderkey", "o_orderpriority", F.round("o_totalprice", D).alias("o_totalprice"))
+
+
+@query("one_hot_unknown", "WITH " + HOLES_SQL + """,
+cats AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS INT) AS slot FROM
+         (SELECT DISTINCT o_orderpriority AS v FROM h WHERE o_orderpriority IS NOT NULL AND o_orderpriority <> '5-LOW'))
+SELECT o_orderkey, slot, CASE WHEN o_orderpriority = v THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS value FROM h, cats""")
+def one_hot_unknown(spark, sf_dir):
+    """F6 in a search pipeline: fitted without one category; it and missing values are all zeros."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from tunesmith.plans.registry_ml import FeatureSpec, ModelConfig, build_pipeline
+    df = _orders_with_holes(spark, sf_dir)
+    spec = FeatureSpec(numeric=[], categorical=["o_orderpriority"])
+    stages = build_pipeline(ModelConfig("LogisticRegression", {}), {"@preprocessor": ["OneHotEncoder"]}, spec, 0).getStages()[:-1]
+    fitted = Pipeline(stages=stages).fit(df.where("o_orderpriority <> '5-LOW'"))
+    return fitted.transform(df).select("o_orderkey", F.posexplode(vector_to_array("__assembled")).alias("slot", "value"))
+
+
+@query("string_labels", """
+SELECT c_custkey AS row_id, c_acctbal, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS DOUBLE) AS label FROM customer""")
+def string_labels(spark, sf_dir):
+    """A text label as codes in alphabetical order."""
+    from tunesmith.sources.features import labelled_table
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return labelled_table(c, label="c_mktsegment", row_id="c_custkey")[0]
+
+
+@query("pca_project", """
+WITH x AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS j FROM embeddings),
+m AS (SELECT j, avg(v) AS mean FROM x GROUP BY j)
+SELECT vec_id, round(sum((v - mean) * (v - mean)), 4) AS squared_norm FROM x JOIN m USING (j) GROUP BY vec_id""")
 def pca_project(spark, sf_dir):
-    """centred PCA of the 64-dim embeddings onto 3 components (rows only: signs are arbitrary)."""
+    """centred PCA of the 64-dim embeddings, all components; the squared norm of each row's projection
+    is its squared distance from the mean (free of the components' signs)."""
     from pyspark.ml.functions import array_to_vector
     e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"))
-    return FE.pca_project(e, "features", 3)
+    out = FE.pca_project(e, "features", 64)
+    norm = sum((F.col(f"pc_{i}") * F.col(f"pc_{i}") for i in range(1, 64)), F.col("pc_0") * F.col("pc_0"))
+    return out.select("vec_id", F.round(norm, 4).alias("squared_norm"))

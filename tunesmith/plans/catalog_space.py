@@ -384,11 +384,25 @@ def local_search_paths(spark, sf_dir):
     return paths.select("start_id", F.col("step").cast("int").alias("step"), "grid_id", F.round("score", D).alias("score"))
 
 
-@query("grid_sample")
+@query("grid_sample", "WITH " + SPACE_SQL + """,
+draws AS (SELECT CAST('0x' || substr(md5('2589731706:' || i), 1, 15) AS BIGINT) % (SELECT CAST(product(len) AS BIGINT) FROM lens) AS grid_id, i
+          FROM range(0, 20000) r(i)),
+firsts AS (SELECT grid_id, min(i) AS draw FROM draws WHERE grid_id NOT IN (SELECT grid_id FROM enc) GROUP BY grid_id),
+picks AS (SELECT * FROM firsts ORDER BY draw LIMIT 150)
+SELECT g.grid_id, g.draw, b.value AS p_brand, t.value AS p_type, s.value AS p_size
+FROM picks g
+JOIN strides sb ON sb.dim = 0 JOIN sp b ON b.dim = 0 AND b.ix = (g.grid_id // sb.stride) % sb.len
+JOIN strides st ON st.dim = 1 JOIN sp t ON t.dim = 1 AND t.ix = (g.grid_id // st.stride) % st.len
+JOIN strides ss ON ss.dim = 2 JOIN sp s ON s.dim = 2 AND s.ix = (g.grid_id // ss.stride) % ss.len""")
 def grid_sample(spark, sf_dir):
-    """G3/G4 + G13: 150 settings drawn without replacement from the untried part grid with a fixed
-    seed (distributed top-n by a seeded hash; rows only: DuckDB has no xxhash64)."""
+    """G3/G4/G5 + G13: 150 untried settings of the part grid by seeded draws; the grid is not enumerated."""
     sp = G.load_space(part_space(spark, sf_dir), "part")
-    untried = G.untried(G.enumerate_grid(spark, sp), part_settings(spark, sf_dir, sp))
-    n = min(150, sp.size)
-    return G.decode(G.sample(untried, n, 2589731706), sp).drop("ix")
+    return G.decode(G.draw(spark, sp, min(150, sp.size), 2589731706, part_settings(spark, sf_dir, sp)), sp).drop("ix")
+
+
+@query("grid_size_large", """
+SELECT 'orders' AS model, (SELECT count(DISTINCT l_orderkey) FROM lineitem) * (SELECT count(DISTINCT l_partkey) FROM lineitem) AS grid_size,
+       2 AS n_dims""")
+def grid_size_large(spark, sf_dir):
+    """G1 on dimensions of as many values as the data has: every order key times every part key."""
+    return G.grid_size(G.space_from_columns(table(spark, sf_dir, "lineitem"), "orders", ["l_orderkey", "l_partkey"]))

@@ -90,6 +90,7 @@ class FeatureSpec:
     vectors: Mapping[str, int] = field(default_factory=dict)  # vector column -> size
     label: str = "label"
     row_id: str = "row_id"
+    classes: Sequence[str] | None = None  # names of the label codes 0, 1, ..., if the label was text
     n_features: int = 0  # width of the assembled vector; needed by PCA (all components)
 
     def width(self) -> int:
@@ -115,25 +116,26 @@ def build_pipeline(cfg: ModelConfig, setting: Mapping, spec: FeatureSpec, seed:
                    n_classes: int = 2) -> Pipeline:
     """``@preprocessor`` steps, then the estimator with the setting applied.
 
-    Categorical columns enter as value codes (StringIndexer, unknown kept), like the
-    integer-coded categoricals the reference receives; DualImputer fills numeric columns with
-    the median and codes with the most frequent value; OneHotEncoder expands the codes; PCA
-    keeps all components of the assembled vector.
+    DualImputer fills numeric columns with the median and categorical ones, before they are coded,
+    with their most frequent value. Categorical columns then enter as value codes (StringIndexer; a
+    missing or unseen value has a code of its own); OneHotEncoder expands the codes, where that code
+    is all zeros; PCA keeps all components of the assembled vector.
     """
     setting = dict(setting)
     steps = setting.pop("@preprocessor", None) or []
     if isinstance(steps, str):
         steps = [steps]
     stages = []
+    if "DualImputer" in steps:
+        stages.append(DualImputer(categorical=list(spec.categorical), numerical=list(spec.numeric)))
     codes = [f"__code_{c}" for c in spec.categorical]
     for c, out in zip(spec.categorical, codes):
         stages.append(StringIndexer(inputCol=c, outputCol=out, handleInvalid="keep", stringOrderType="alphabetAsc"))
-    if "DualImputer" in steps:
-        stages.append(DualImputer(categorical=codes, numerical=list(spec.numeric)))
     cat_features = codes
     if "OneHotEncoder" in steps and codes:
         onehot = [f"__ohe_{c}" for c in spec.categorical]
-        stages.append(OneHotEncoder(inputCols=codes, outputCols=onehot, dropLast=False, handleInvalid="keep"))
+        # the indexer's code for unknown values is the last category: dropping it leaves zeros
+        stages.append(OneHotEncoder(inputCols=codes, outputCols=onehot, dropLast=True, handleInvalid="error"))
         cat_features = onehot
     for v, size in spec.vectors.items():
         stages.append(VectorSizeHint(inputCol=v, size=size, handleInvalid="error"))
