@@ -3,7 +3,8 @@
 Texts split at white space into chunks, and a chunk's ids do not depend on its neighbours. So a
 task encodes each chunk it has not met in batches: the symbols of all words of all new chunks lie
 in one flat array, and each round merges, in every word at once, its lowest-rank pair, found by
-binary search over the sorted pair keys. Chunks met before are looked up in a bounded table.
+binary search over the sorted pair keys (after the first round only for pairs with a new symbol).
+Chunks met before are looked up in a bounded table.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ import json
 import re
 import unicodedata
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,15 +26,30 @@ from tunesmith.llm.features import text_groups
 
 # Fixed values of the vocabulary's format: its white space class and its word pattern.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{WHITE}\p{{L}}\p{{N}}]+")
 _SPLIT = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, but not to the vocabulary
 
-#: Chunks that a task remembers; beyond, the table starts anew. Bounds memory, not results.
+#: Chunks of a generation that a worker remembers (two generations at most). Bounds memory, not results.
 REMEMBERED = 250_000
 _NO_PAIR = np.iinfo(np.int64).max
 
 
+@cache
+def word_pattern() -> re.Pattern:
+    """The vocabulary's word pattern, with its letter and number classes as ranges of code points."""
+    runs: dict[str, list[list[int]]] = {"L": [], "N": []}
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in runs:
+            r = runs[kind]
+            if r and r[-1][1] == c - 1:
+                r[-1][1] = c
+            else:
+                r.append([c, c])
+    letter, number = ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs[k]) for k in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{WHITE}{letter}{number}]+")
+
+
 def _byte_symbols() -> list[str]:
     """The printable character that stands for each byte: its own if printable Latin-1, else the next from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,14 +81,23 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts; one per task."""
+    """Encodes whole texts; one per worker process."""
 
     def __init__(self, vocabulary: Vocabulary, remembered: int = REMEMBERED) -> None:
         self.v, self.remembered = vocabulary, remembered
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}   # chunks met lately
+        self.before: dict[str, bytes] = {}  # the generation before; what is met again moves over
         names = sorted(vocabulary.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, by binary search over the sorted pair keys."""
+        v = self.v
+        key = left * v.size + right
+        at = np.searchsorted(v.keys, key)
+        at[at == len(v.keys)] = 0
+        return np.where(v.keys[at] == key, v.ranks[at], _NO_PAIR)
+
     def _merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all words, and each word's number of ids."""
         v, n = self.v, len(words)
@@ -82,91 +107,114 @@ class Encoder:
         ends = np.cumsum(size)
         sym[ends - 1] = v.last[flat[ends - 1]]
         word = np.repeat(np.arange(n), size)
+        rank = np.full(len(sym), _NO_PAIR)  # of each symbol and the next one of its word
+        inside = np.flatnonzero(word[:-1] == word[1:])
+        rank[inside] = self._ranks(sym[inside], sym[inside + 1])
         done_sym, done_word = [], []
         while len(sym):
-            key = sym[:-1] * v.size + sym[1:]
-            at = np.searchsorted(v.keys, key)
-            at[at == len(v.keys)] = 0
-            rank = np.where((v.keys[at] == key) & (word[:-1] == word[1:]), v.ranks[at], _NO_PAIR)
-            rank = np.append(rank, _NO_PAIR)
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             best = np.minimum.reduceat(rank, first)
-            length = np.diff(np.append(first, len(sym)))
-            low = np.repeat(best, length)
+            low = np.repeat(best, np.diff(np.append(first, len(sym))))
             over = low == _NO_PAIR
             if over.any():
                 done_sym.append(sym[over])
                 done_word.append(word[over])
-                sym, word, rank, low = sym[~over], word[~over], rank[~over], low[~over]
+                left = ~over
+                sym, word, rank, low = sym[left], word[left], rank[left], low[left]
                 if not len(sym):
                     break
             hit = np.flatnonzero(rank == low)
             # in a run of overlapping pairs every other one merges, from the left
             run = np.concatenate(([True], (np.diff(hit) != 1) | (word[hit[1:]] != word[hit[:-1]])))
-            start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
-            hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
+            if not run.all():
+                start = np.maximum.accumulate(np.where(run, np.arange(len(hit)), 0))
+                hit = hit[(np.arange(len(hit)) - start) % 2 == 0]
             sym[hit] = v.made[low[hit]]
             keep = np.ones(len(sym), bool)
             keep[hit + 1] = False
-            sym, word = sym[keep], word[keep]
+            sym, word, rank = sym[keep], word[keep], rank[keep]
+            # only pairs with a new symbol have another rank now
+            at = hit - np.arange(len(hit))
+            fresh = np.concatenate((at, at[at > 0] - 1))
+            rank[fresh] = _NO_PAIR
+            fresh = fresh[fresh + 1 < len(sym)]
+            fresh = fresh[word[fresh] == word[fresh + 1]]
+            rank[fresh] = self._ranks(sym[fresh], sym[fresh + 1])
         if not done_sym:
             return np.empty(0, np.int64), np.zeros(n, np.int64)
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
-        order = np.argsort(word, kind="stable")
-        return sym[order], np.bincount(word, minlength=n)
+        return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=n)
+
+    def _words(self, chunk: str) -> list[str]:
+        if not chunk.isascii():
+            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        low = chunk.lower()
+        if low.isalpha():
+            return [low]
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return [low[:-1], low[-1]]
+        return word_pattern().findall(low)
 
     def _learn(self, chunks: list[str]) -> None:
         """Encode new chunks together and remember their ids as little-endian 32-bit bytes."""
-        words: list[bytes] = []
-        counts = []
+        words, counts = [], []
         for c in chunks:
-            low = unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()
-            found = [w.encode("utf-8", "surrogatepass") for w in WORDS.findall(low)]
+            found = self._words(c)
             words += found
             counts.append(len(found))
-        if not words:
-            self.known.update((c, b"") for c in chunks)
-            return
-        ids, per_word = self._merge(words)
-        ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(counts)]
-        raw = ids.astype("<u4").tobytes()
-        at = 0
+        ids, per_word = self._merge([w.encode("utf-8") for w in words]) if words else (np.empty(0), np.empty(0, np.int64))
+        ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(counts)] * 4
+        raw, at = ids.astype("<u4").tobytes(), 0
         for c, end in zip(chunks, ends.tolist()):
-            self.known[c] = raw[at * 4:end * 4]
+            self.known[c] = raw[at:end]
             at = end
 
-    def _part(self, text: str) -> bytes:
-        chunks = _SPLIT.split(text) if _ODD.search(text) else text.split()
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
+    def _lookup(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of lists of chunks; what is new in all of them is learned in one batch."""
+        if len(self.known) > self.remembered:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        new = set()
+        for chunks in lists:
+            new.update(set(chunks).difference(known))
+        again = [c for c in new if c in before]
+        known.update((c, before[c]) for c in again)
+        new.difference_update(again)
         if new:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                new = list(dict.fromkeys(chunks))
-            self._learn(new)
-        return b"".join([known[c] for c in chunks])
+            self._learn(list(new))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in lists]
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a whole text, little-endian unsigned 32-bit."""
-        if self.special and "<|" in text:
-            parts = self.special.split(text)
-            return b"".join(int(self.v.specials[p]).to_bytes(4, "little") if i % 2 else self._part(p)
-                            for i, p in enumerate(parts))
-        return self._part(text)
-
-    def prime(self, texts: list[str]) -> None:
-        """Learn the new chunks of many texts in one batch of merge rounds."""
-        known, new = self.known, {}
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of whole texts, little-endian unsigned 32-bit."""
+        parts: list[str] = []
+        recipe: list[list[int | bytes]] = []
         for t in texts:
-            if not (self.special and "<|" in t) and not _ODD.search(t):
-                new.update((c, None) for c in set(t.split()) if c not in known)
-        if new and len(new) <= self.remembered:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                new = dict.fromkeys(c for t in texts for c in t.split())
-                if len(new) > self.remembered:
-                    return
-            self._learn(list(new))
+            if self.special and "<|" in t:
+                pieces = self.special.split(t)
+                of: list[int | bytes] = []
+                for i, p in enumerate(pieces):
+                    if i % 2:
+                        of.append(int(self.v.specials[p]).to_bytes(4, "little"))
+                    else:
+                        of.append(len(parts))
+                        parts.append(p)
+                recipe.append(of)
+            else:
+                recipe.append([len(parts)])
+                parts.append(t)
+        lists = [p.split() if p.isprintable() or not _ODD.search(p) else [c for c in _SPLIT.split(p) if c] for p in parts]
+        found = self._lookup(lists)
+        return [found[of[0]] if len(of) == 1 else b"".join(found[x] if isinstance(x, int) else x for x in of) for of in recipe]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The encoder kept with a broadcast vocabulary, so that a reused worker keeps what it has learned."""
+    if getattr(vocabulary, "_encoder", None) is None:
+        vocabulary._encoder = Encoder(vocabulary)
+    return vocabulary._encoder
 
 
 def decode(vocabulary: Vocabulary, ids: bytes) -> bytes:
@@ -194,11 +242,10 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        enc = Encoder(shared.value)
+        enc = encoder_of(shared.value)
         for batch in batches:
             for at, texts in text_groups(batch.column(1)):
-                enc.prime(texts)
-                ids = [np.frombuffer(enc.encode(t), "<u4").astype(np.int32) for t in texts]
+                ids = [np.frombuffer(raw, "<u4").astype(np.int32) for raw in enc.encode_all(texts)]
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), values], names=["id", "ids"])
@@ -231,13 +278,11 @@ def round_trip_digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "d
 
     def run(batches):
         v = shared.value
-        enc = Encoder(v)
+        enc = encoder_of(v)
         for batch in batches:
             for at, texts in text_groups(batch.column(1)):
-                enc.prime(texts)
                 n, a, b = [], [], []
-                for t in texts:
-                    ids = enc.encode(t)
+                for ids in enc.encode_all(texts):
                     n.append(len(ids) // 4)
                     a.append(hashlib.sha256(ids).hexdigest())
                     b.append(hashlib.sha256(decode(v, ids)).hexdigest())
@@ -262,13 +307,12 @@ def token_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end_id:
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        enc = Encoder(shared.value)
+        enc = encoder_of(shared.value)
         for batch in batches:
             for at, texts in text_groups(batch.column(1)):
-                enc.prime(texts)
                 row, piece, length, crc, ids = [], [], [], [], []
-                for i, t in enumerate(texts):
-                    raw = enc.encode(t) + end
+                for i, raw in enumerate(enc.encode_all(texts)):
+                    raw += end
                     for k, lo in enumerate(range(0, len(raw), capacity * 4)):
                         cut = raw[lo:lo + capacity * 4]
                         row.append(at + i)
