@@ -6,25 +6,25 @@ with Spark ML on the history and *applied* to candidates as a distributed transf
 
 Forest sigma (M2) uses the law of total variance over trees,
 ``sigma^2 = mean_t(var_t(leaf) + mean_t(leaf)^2) - mu^2``: the fitted forest is saved to the
-shared checkpoint folder, its leaves are read back as a table (tree, leaf_ix, mean, var) from
-``impurityStats = [n, sum y, sum y^2]`` (``impurity`` is stripped on leaves), candidates get
-their leaf index per tree from ``leafCol``, and one ``posexplode`` + broadcast join +
-``groupBy(candidate)`` computes mu and sigma. The explode happens inside a task and the
-aggregate is partial, so only one row per candidate and task is shuffled.
+shared checkpoint folder and its leaves are read back (tree, leaf_ix, mean, var) from
+``impurityStats = [n, sum y, sum y^2]`` (``impurity`` is stripped on leaves). Candidates get their
+leaf index per tree from ``leafCol``; Arrow batches of them look the leaves up in two arrays that are
+sent once per fit. Scoring is map-only: no row is exploded and no candidate is shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tunesmith.session import ensure_checkpoint_dir, materialize
-
-MAX_LEAF_ROWS = 1_000_000  # leaves of a forest fit on a trial history (~32 MB); checked before broadcasting
+from tunesmith.session import ensure_checkpoint_dir
 
 
 def forest_regressor(seed: int = 42, num_trees: int = 100, max_depth: int = 20, min_instances: int = 3,
@@ -65,38 +65,35 @@ def leaf_table(spark, model, min_variance: float = 0.0) -> DataFrame:
 
 
 class ForestScorer:
-    """M2 for a fitted forest: the leaf table is written once per fit (small: bounded by the
-    history) and reused for every candidate set of the step (sample, neighbours, realize).
-
-    Scoring stays inside whole-stage codegen: posexplode of the per-tree leaf indices, broadcast
-    hash join with the leaf table, partial aggregate per candidate. (Embedding the leaf table as
-    a constant array and indexing it with higher-order functions was measured 3x slower: lambda
-    functions are evaluated interpreted.)
-    """
+    """M2 for a fitted forest: its leaves (at most trees x history rows, 16 bytes each) are read once
+    per fit and reused for every candidate set of the step (pool, neighbours, realize)."""
 
     def __init__(self, model, min_variance: float = 0.0):
         spark = SparkSession.getActiveSession()
         self.model = model
-        self.n_trees = model.getNumTrees
-        leaves = materialize(leaf_table(spark, model, min_variance), "forest-leaves")
-        n_leaves = leaves.count()
-        if n_leaves > MAX_LEAF_ROWS:
-            raise ValueError(f"{n_leaves} leaves: too many to broadcast; the forest was not fit on a trial history")
-        self.leaves = leaves
+        leaves = leaf_table(spark, model, min_variance).orderBy("tree", "leaf_ix").select("tree", "leaf_mean", "leaf_var").toArrow()
+        tree, mean, var = (leaves.column(k).to_numpy() for k in range(3))
+        start = np.searchsorted(tree, np.arange(model.getNumTrees))
+        self.shared = spark.sparkContext.broadcast((start, mean, var + mean * mean))
 
     def mu_sigma(self, candidates: DataFrame, key: str = "grid_id", features: str = "features") -> DataFrame:
         """(key, mu, sigma) per candidate."""
         # leaf indices only: computing the unused prediction column would walk every tree twice
         leafer = self.model.copy().setLeafCol("leaf").setPredictionCol("").setFeaturesCol(features)
-        assigned = leafer.transform(candidates.select(key, features))
-        per_tree = assigned.select(key, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf_ix"))
-        per_tree = per_tree.withColumn("leaf_ix", F.col("leaf_ix").cast("long"))
-        joined = per_tree.join(F.broadcast(self.leaves), ["tree", "leaf_ix"], "inner")
-        n = float(self.n_trees)
-        agg = joined.groupBy(key).agg(
-            (F.sum("leaf_mean") / n).alias("mu"),
-            (F.sum(F.col("leaf_var") + F.col("leaf_mean") * F.col("leaf_mean")) / n).alias("__m2"))
-        return agg.select(key, "mu", F.sqrt(F.greatest(F.col("__m2") - F.col("mu") * F.col("mu"), F.lit(0.0))).alias("sigma"))
+        assigned = leafer.transform(candidates.select(key, features)).select(key, vector_to_array("leaf", "float32").alias("leaf"))
+        shared = self.shared
+
+        def score(batches):
+            start, mean, square = shared.value
+            for batch in batches:
+                at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(start)).astype(np.int64) + start
+                mu = mean[at].mean(axis=1)
+                sigma = np.sqrt(np.maximum(square[at].mean(axis=1) - mu * mu, 0.0))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mu), pa.array(sigma)], names=[key, "mu", "sigma"])
+
+        schema = T.StructType([T.StructField(key, candidates.schema[key].dataType), T.StructField("mu", T.DoubleType()),
+                               T.StructField("sigma", T.DoubleType())])
+        return assigned.mapInArrow(score, schema)
 
 
 def forest_mu_sigma(model, candidates: DataFrame, key: str = "grid_id", features: str = "features",
@@ -109,7 +106,6 @@ def forest_mu_sigma(model, candidates: DataFrame, key: str = "grid_id", features
 
 SCORE_MODELS = ("forest", "extra forest", "gp")
 TIME_MODELS = ("forest", "extra forest", "gp", "linear", "gradient", "adaboost")
-MAX_GP_HISTORY = 5_000  # exact GP is O(n^3) in the history
 
 
 def score_model(name: str, seed: int = 42):
@@ -122,7 +118,7 @@ def score_model(name: str, seed: int = 42):
     if name == "gp":
         from tunesmith.operators.gaussian_process import GaussianProcessRegressor
         return GaussianProcessRegressor(seed=seed)
-    raise ValueError(f"The value '{name}' is not a valid value for 'score_regression'")
+    raise ValueError(f"no score surrogate {name!r}; known: {', '.join(SCORE_MODELS)}")
 
 
 def time_model(name: str, seed: int = 42):
@@ -135,13 +131,11 @@ def time_model(name: str, seed: int = 42):
     if name == "adaboost":
         from tunesmith.operators.boosting import AdaBoostR2
         return AdaBoostR2(seed=seed)
-    raise ValueError(f"The value '{name}' is not a valid value for 'time_regression'")
+    raise ValueError(f"no time surrogate {name!r}; known: {', '.join(TIME_MODELS)}")
 
 
 def fit_score_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
     """Fit a score surrogate; the result has ``mu_sigma(candidates, key, features)``."""
-    if name == "gp" and hist.count() > MAX_GP_HISTORY:
-        raise ValueError("history too large for an exact Gaussian process")
     model = score_model(name, seed).setLabelCol(label).fit(hist)
     return ForestScorer(model) if name == "forest" else model
 
