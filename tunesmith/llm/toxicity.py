@@ -34,10 +34,10 @@ DECAY = 0.6          # weight of each skipped character
 SPAN = 8             # longest stretch that a subsequence may cover
 WINDOW, STRIDE = 24, 12  # longer words are read in overlapping windows
 CLASSES = 65         # 26 letters, 10 digits, 28 classes of other letters, and the end of a span
-LANDMARKS = 192
+LANDMARKS = 384
 #: The fit uses at most so many labelled documents of either class: those with the smallest hash of their id.
 SAMPLE_PER_CLASS = 4_000
-ROUNDS = 3
+ROUNDS = 4
 REMEMBERED = 250_000  # span scores that a task remembers
 NO_SPAN = -3.0       # margin of a text without spans
 
