@@ -7,8 +7,9 @@
 3. Bands of the signature are shuffled; lines that share a band are candidates. Each links to the
    smallest line of its bucket, in two levels with salt, so a hot bucket is no single task and no
    pairs of a bucket are enumerated.
-4. Links are verified by the exact Jaccard similarity of the shingle sets. Where a link fails, the
-   bucket's members in different components are compared once more, so that no verified link is lost.
+4. Links are verified by the exact Jaccard similarity of the shingle sets. Where a link fails, a pair of
+   the bucket may be alike that was not linked; so the members of such buckets get finer bands of
+   fresh minima, whose stars are verified likewise. No step compares all pairs of a bucket.
 5. Distributed union-find; of each component the first line in the order of documents stays.
 """
 
@@ -25,28 +26,34 @@ from tunesmith.session import ensure_checkpoint_dir, materialize, release
 
 SHINGLE = 8        # characters
 SIMILARITY = 0.8
-BANDS, ROWS = 8, 4  # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.985 / 0.997 / 0.9998
+BANDS, ROWS = 6, 3        # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.986 / 0.997 / 0.9996
+FINE_BANDS, FINE_ROWS = 8, 4  # for members of buckets with a failed link: 0.985 / 0.997 / 0.9998
 SALT = 64          # parts of a band's bucket on the first level
 
 _draw = random.Random(0x11E5)
-_MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
+_MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS + FINE_BANDS * FINE_ROWS)]
+
+
+_WORD = r"[\p{L}\p{N}]"
 
 
 def _norm(line: Column) -> Column:
-    return F.lower(F.trim(line, F.lit(" \t\r\f\x0b")))
+    return F.lower(F.trim(line))
 
 
-def _doc_key(id_col: str, text_col: str) -> Column:
-    """Names a document by its id and text, so that rows that only share the id stay apart."""
-    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\0"),
-                                  F.coalesce(F.col(text_col), F.lit("")))))
+def _doc_key(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that name a document by its id and text, so that rows that only share the id stay apart."""
+    parts = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2")]
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, dk, pos, norm, h1, h2) of every line that holds a letter or digit; the others take no part."""
-    lines = docs.select(F.col(id_col).alias("id"), _doc_key(id_col, text_col).alias("dk"),
+    """(id, k1, k2, pos, norm, h1, h2) of every line that holds a letter or digit; the others take no part."""
+    lines = docs.select(F.col(id_col).alias("id"), *_doc_key(id_col, text_col),
                         F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.select("id", "dk", "pos", _norm(F.col("line")).alias("norm")).where(F.col("norm").rlike(r"[\p{L}\p{N}]"))
+    # most lines show a letter or digit at once; only others are searched whole
+    lines = lines.where(F.substring("line", 1, 16).rlike(_WORD) | F.col("line").rlike(_WORD))
+    lines = lines.select("id", "k1", "k2", "pos", _norm(F.col("line")).alias("norm"))
     return lines.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit(7), "norm")})
 
 
@@ -60,30 +67,48 @@ def _last_start(units: Column) -> Column:
 
 
 def shingle_set(norm: Column) -> Column:
-    """The distinct shingle hashes of a line; a line shorter than a shingle is one shingle."""
-    units = F.encode(norm, "UTF-16BE")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _last_start(units)), lambda i: _shingle_hash(units, i)))
+    """The distinct shingles of a line; a line shorter than a shingle is one shingle.
+
+    One pass of a look-ahead pattern: slices of a long line by position would each copy or scan it.
+    """
+    found = F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.array_distinct(found))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """(band, h1): BANDS hashed bands of the MinHash signature of every distinct line."""
+def _bands(lines: DataFrame, bands: int, rows: int, masks: list[int]) -> DataFrame:
+    """(band, h1): hashed bands of the MinHash signature of every distinct line."""
     starts = lines.select("h1", F.encode("norm", "UTF-16BE").alias("u"))
     starts = starts.select("h1", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
     hashed = starts.select("h1", _shingle_hash(F.col("u"), F.col("i")).alias("s"))
-    signature = hashed.groupBy("h1").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(_MASKS)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
+    signature = hashed.groupBy("h1").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)])
+    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
     return signature.select(F.explode(F.array(*keys)).alias("band"), "h1")
 
 
+def _stars(bands: DataFrame) -> DataFrame:
+    """(band, h1, hub): each line of a shared bucket with the smallest line of its salted part, and the
+    parts' smallest lines with the bucket's."""
+    low = F.min("h1").over(Window.partitionBy("band", F.pmod("h1", F.lit(SALT))))
+    parts = bands.select("band", "h1", low.alias("hub1"))
+    hub = F.min("h1").over(Window.partitionBy("band"))
+    tops = parts.where("h1 = hub1").select("band", "h1", hub.alias("hub"))
+    return parts.where("h1 <> hub1").select("band", "h1", F.col("hub1").alias("hub")).union(tops.where("h1 <> hub"))
+
+
+def _pairs(stars: DataFrame) -> DataFrame:
+    return stars.select(F.least("h1", "hub").alias("a"), F.greatest("h1", "hub").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets are similar enough."""
     left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("norm").alias("na")), "a")
     both = left.join(lines.select(F.col("h1").alias("b"), F.col("norm").alias("nb")), "b")
-    # the sizes bound the similarity: lengths of n and m characters share at most the smaller one
-    sets = both.select("a", "b", shingle_set(F.col("na")).alias("x"), shingle_set(F.col("nb")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sets.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("n")) \
-        .where(F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))).select("a", "b")
+    # the row numbers keep the filter from being pushed below, where it would compute sets and intersections again
+    number = F.monotonically_increasing_id()
+    sets = both.select("a", "b", shingle_set(F.col("na")).alias("x"), shingle_set(F.col("nb")).alias("y"), number.alias("r1"))
+    sizes = sets.select("a", "b", "r1", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"),
+                        number.alias("r2"))
+    return sizes.where((F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))) & (F.col("r1") >= 0) & (F.col("r2") >= 0)).select("a", "b")
 
 
 def _distinct_lines(occ: DataFrame) -> tuple[DataFrame, str]:
@@ -92,59 +117,54 @@ def _distinct_lines(occ: DataFrame) -> tuple[DataFrame, str]:
     name = f"distinct_lines_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tunesmith-tables/{name}"
     distinct = occ.groupBy("h1").agg(
-        F.max("norm").alias("norm"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "dk", "pos")).alias("first"),
+        F.max("norm").alias("norm"), F.min(F.struct(F.col("id").isNull().alias("z"), "id", "k1", "k2", "pos")).alias("first"),
         F.count(F.lit(1)).alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi")).where("lo = hi").drop("lo", "hi")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct.write.bucketBy(buckets, "h1").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name
+    out = spark.table(name)
+    out._materialized_at = path
+    return out, name
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(dk, dropped): for each document with dropped lines its key and their sorted positions from 0.
+    """(k1, k2, dropped): for each document with dropped lines its key and their sorted positions from 0.
 
     See ``deduplicate_lines`` for what counts as a line and which line stays.
     """
     occ = occurrences(docs, id_col, text_col)
     lines, name = _distinct_lines(occ)
-    bands = _bands(lines)
-    # two levels of stars: to the smallest line of the salted part of a bucket, from there to the bucket's
-    low = F.min("h1").over(Window.partitionBy("band", F.pmod("h1", F.lit(SALT))))
-    parts = bands.select("band", "h1", low.alias("hub1"))
-    heads = parts.where("h1 = hub1").select("band", "h1")
-    hub = F.min("h1").over(Window.partitionBy("band"))
-    tops = heads.select("band", "h1", hub.alias("hub")).where("h1 <> hub")
-    links = materialize(parts.where("h1 <> hub1").select("band", "h1", F.col("hub1").alias("hub")).union(tops), "line-links")
-    pairs = links.select(F.least("h1", "hub").alias("a"), F.greatest("h1", "hub").alias("b")).distinct()
-    edges = materialize(_verified(pairs, lines), "line-edges")
-    roots = materialize(connected_components(edges), "line-roots")
-    # members of buckets in which a link failed, with their components
-    members = links.select("band", "h1").union(links.select("band", F.col("hub").alias("h1"))).distinct() \
-        .join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("band", "h1", F.coalesce("root", "h1").alias("root"))
-    split = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = materialize(members.join(split, "band", "left_semi"), "line-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))) \
-        .select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b")).distinct()
-    more = materialize(_verified(rest.join(pairs, ["a", "b"], "left_anti"), lines), "line-edges")
-    if more.limit(1).count():
-        roots = materialize(connected_components(edges.union(more)), "line-roots")
+    cut = BANDS * ROWS
+    links = materialize(_stars(_bands(lines, BANDS, ROWS, _MASKS[:cut])), "line-links")
+    edges = materialize(_verified(_pairs(links), lines), "line-edges")
+    # lines of buckets in which a link failed, once more in finer buckets
+    kept = edges.select(F.col("a").alias("ea"), F.col("b").alias("eb"))
+    failed = links.join(kept, (F.least("h1", "hub") == F.col("ea")) & (F.greatest("h1", "hub") == F.col("eb")), "left_anti")
+    open_bands = failed.select("band").distinct()
+    members = links.join(open_bands, "band", "left_semi")
+    members = materialize(members.select("h1").union(members.select(F.col("hub").alias("h1"))).distinct(), "line-members")
+    again = lines.join(members, "h1", "left_semi")
+    finer = materialize(_pairs(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:]))), "line-links")
+    more = materialize(_verified(finer.join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
+    roots = materialize(connected_components(edges.union(more)), "line-roots")
     # the first occurrence of each component, or of a lone line's class with copies
     linked = lines.select("h1", "first", "n").join(roots.withColumnRenamed("node", "h1"), "h1", "left")
     linked = materialize(linked.where("n > 1 or root is not null").select("h1", F.coalesce("root", "h1").alias("root"), "first"), "line-classes")
     firsts = materialize(linked.groupBy("root").agg(F.min("first").alias("stays")), "line-firsts")
     stays = materialize(linked.join(firsts, "root").select("h1", "stays"), "line-stays")
-    lost = occ.select("dk", "pos", "h1").join(stays, "h1") \
-        .where("dk <> stays.dk or pos <> stays.pos").groupBy("dk").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    lost = occ.select("k1", "k2", "pos", "h1").join(stays, "h1") \
+        .where("k1 <> stays.k1 or k2 <> stays.k2 or pos <> stays.pos") \
+        .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     lost = materialize(lost, "line-dropped")
-    release(links, edges, open_, more, linked, firsts, stays)
+    release(links, edges, members, finer, more, linked, firsts, stays)
     docs.sparkSession.sql(f"drop table {name}")
+    release(lines)
     return lost
 
 
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their dropped lines taken out of the text, all columns kept.
 
-    A line ends at a newline. Lines that are equal when trimmed and lower-cased, or whose sets of
+    A line ends at a newline. Lines that are equal without spaces at the ends and lower-cased, or whose sets of
     8-character shingles have a Jaccard similarity of 0.8 or more, are linked (MinHash candidates,
     exact check); of each component the first line stays, in the order of document id (nulls last),
     then document, then position. Lines without a letter or digit always stay. A document may lose all its
@@ -155,8 +175,9 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_dropped", i))
     columns = [F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")).alias(text_col)
                if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    named = lost.select(F.col("dk").alias("_dk"), F.col("dropped").alias("_dropped"))
-    return docs.join(named, _doc_key(id_col, text_col) == F.col("_dk"), "left").select(*columns)
+    named = lost.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("dropped").alias("_dropped"))
+    k1, k2 = _doc_key(id_col, text_col)
+    return docs.join(named, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").select(*columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +187,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lost = dropped_lines(docs, id_col, text_col)
     n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    rows = docs.select(F.col(id_col).alias("id"), _doc_key(id_col, text_col).alias("dk"), n_lines.cast("long").alias("n_lines"))
-    out = rows.join(lost, "dk", "left")
+    rows = docs.select(F.col(id_col).alias("id"), *_doc_key(id_col, text_col), n_lines.cast("long").alias("n_lines"))
+    out = rows.join(lost, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
                       F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
