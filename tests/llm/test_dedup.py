@@ -161,3 +161,20 @@ def test_lines_edge_rows(edge, empty):
 def test_lines_plan_is_native(spark, edge):
     plan = line_dedup.line_report(edge)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_lines_find_alike_pairs_inside_templated_families(spark):
+    """Long shared boilerplate, short differing part: lines share bands with many others that are not alike."""
+    rng = random.Random(11)
+    pick = lambda k: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=k))
+    rows = []
+    for differing in (27, 34):  # strangers of a family at a Jaccard similarity of about 0.77 and 0.73
+        boilerplate = pick(190)
+        for _ in range(60):
+            own = pick(differing)
+            rows += [boilerplate + own, boilerplate + own[:-4] + pick(4)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    want = brute_lines(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, p) for r in line_dedup.line_report(df).collect() for p in r.dropped}
+    assert len(want) == 120 and got == want

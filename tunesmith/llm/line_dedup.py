@@ -9,8 +9,11 @@
    pairs of a bucket are enumerated.
 4. Links are verified by the exact Jaccard similarity of the shingle sets. Where a link fails, a pair of
    the bucket may be alike that was not linked; so the members of such buckets get finer bands of
-   fresh minima, whose stars are verified likewise. No step compares all pairs of a bucket.
-5. Distributed union-find; of each component the first line in the order of documents stays.
+   fresh minima, whose stars are verified likewise.
+5. Where a bucket still holds several components, its lines are joined on their rarest shingles (prefix
+   filter), which misses no alike pair; pairs of one component are not enumerated. So every alike
+   pair that shares a band of step 3 ends in one component.
+6. Distributed union-find; of each component the first line in the order of documents stays.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 3        # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.986 / 0.997 / 0.9996
 FINE_BANDS, FINE_ROWS = 8, 4  # for members of buckets with a failed link: 0.985 / 0.997 / 0.9998
 SALT = 64          # parts of a band's bucket on the first level
+SLOTS = 1 << 18    # shingle counts are kept by slots of their hash; they only order shingles, so a shared slot loses nothing
 
 _draw = random.Random(0x11E5)
 _MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS + FINE_BANDS * FINE_ROWS)]
@@ -111,6 +115,72 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return sizes.where((F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))) & (F.col("r1") >= 0) & (F.col("r2") >= 0)).select("a", "b")
 
 
+def _open_lines(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(h1, root): the lines of all buckets whose members are in more than one component, lone lines as their own root.
+
+    A bucket with one link has two lines, which were compared.
+    """
+    low = roots.select(F.col("node").alias("h1"), F.col("root").alias("r"))
+    ends = links.join(low, "h1", "left").select("band", "h1", "hub", F.coalesce("r", "h1").alias("root"))
+    ends = ends.join(low.select(F.col("h1").alias("hub"), "r"), "hub", "left") \
+        .select("band", "h1", "root", "hub", F.coalesce("r", "hub").alias("hub_root"))
+    ends = materialize(ends, "line-ends")
+    split = ends.groupBy("band").agg(F.count(F.lit(1)).alias("links"), F.max(F.col("root") != F.col("hub_root")).alias("open")) \
+        .where("open and links > 1").select("band")
+    ends_of = ends.join(split, "band", "left_semi")
+    out = materialize(ends_of.select("h1", "root").union(ends_of.select("hub", "hub_root")).distinct(), "line-open")
+    release(ends)
+    return out
+
+
+def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """(s, h1, root, n, i): the rarest shingles of every line of ``members`` (h1, root): hash, the line's number of
+    shingles and the shingle's place from 0 in the order (count, hash).
+
+    Lines of n and m shingles are alike only if they share o >= 4/9 (n + m) of them; their first common shingle
+    in that order then is at places i <= n - o and j <= m - o. As o >= 4/5 n, the first n / 5 + 1 places are enough.
+    """
+    texts = lines.join(members, "h1").select("h1", "root", "norm")
+    # units of UTF-16 are characters but for surrogates; both ways hash a shingle's UTF-16
+    plain = ~F.col("norm").rlike(r"[\x{10000}-\x{10FFFF}]")
+    starts = texts.select("h1", "root", F.when(plain, F.encode("norm", "UTF-16BE")).alias("u"), F.when(~plain, F.col("norm")).alias("norm"))
+    at = starts.where("u is not null").select("h1", "root", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
+    rows = at.select("h1", "root", _shingle_hash(F.col("u"), F.col("i")).alias("s"))
+    others = starts.where("norm is not null").select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x"))
+    rows = materialize(rows.union(others.select("h1", "root", F.xxhash64(F.encode("x", "UTF-16BE")).alias("s"))).distinct(), "line-shingles")
+    slot = F.pmod("s", F.lit(SLOTS)).cast("int")
+    counts = materialize(rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("f")), "line-counts")
+    sizes = rows.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("h1").orderBy("f", "s")) - 1
+    ranked = rows.withColumn("slot", slot).join(F.broadcast(counts), "slot").select("s", "h1", "root", place.alias("i"))
+    ranked = ranked.join(sizes, "h1").select("s", "h1", "root", "n", "i")
+    out = materialize(ranked.where("5 * (n - i) >= 4 * n"), "line-prefixes")
+    release(rows, counts)
+    return out
+
+
+def _sharing_rare(prefixes: DataFrame) -> DataFrame:
+    """(a, b): every pair of lines of different components that may be alike by ``_prefixes``.
+
+    The smaller line's shingle is among its first m / 9 + 1 places (o >= 8/9 m), so shingles that a family of
+    lines shares later on meet no partner. A shingle's largest component is not joined with itself.
+    """
+    by_root = prefixes.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = by_root.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    main = materialize(main.select("s", "main"), "line-shared")
+    rows = materialize(prefixes.join(main, "s").withColumn("other", F.col("root") != F.col("main")).drop("main"), "line-shared")
+    small = rows.where("9 * (n - i) >= 8 * n")
+    close = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & F.expr(
+        "y.n <= x.n and 9 * (x.n - x.i) >= 4 * (x.n + y.n) and 9 * (y.n - y.i) >= 4 * (x.n + y.n)")
+    found = None
+    for y, x in ((small.where("other"), rows), (small.where("not other"), rows.where("other"))):
+        part = x.alias("x").join(y.alias("y"), close).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
+        found = part if found is None else found.union(part)
+    found = materialize(found.distinct(), "line-rare")
+    release(main, rows)
+    return found
+
+
 def _distinct_lines(occ: DataFrame) -> tuple[DataFrame, str]:
     """Stored table (h1, norm, first, n) in buckets of h1; lines whose 64-bit hashes collide are left out (they stay)."""
     spark = occ.sparkSession
@@ -146,6 +216,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     finer = materialize(_pairs(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:]))), "line-links")
     more = materialize(_verified(finer.join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
     roots = materialize(connected_components(edges.union(more)), "line-roots")
+    # what a hub did not stand for: lines of buckets with several components, by their rarest shingles
+    still = _open_lines(links, roots)
+    prefixes = _prefixes(still, lines)
+    rare = _sharing_rare(prefixes)
+    unseen = rare.join(_pairs(links), ["a", "b"], "left_anti").join(finer, ["a", "b"], "left_anti")
+    last = materialize(_verified(unseen, lines), "line-edges")
+    if last.limit(1).count():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last)
+        roots = materialize(connected_components(joined), "line-roots")
     # the first occurrence of each component, or of a lone line's class with copies
     linked = lines.select("h1", "first", "n").join(roots.withColumnRenamed("node", "h1"), "h1", "left")
     linked = materialize(linked.where("n > 1 or root is not null").select("h1", F.coalesce("root", "h1").alias("root"), "first"), "line-classes")
@@ -155,7 +234,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("k1 <> stays.k1 or k2 <> stays.k2 or pos <> stays.pos") \
         .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     lost = materialize(lost, "line-dropped")
-    release(links, edges, members, finer, more, linked, firsts, stays)
+    release(links, edges, members, finer, more, still, prefixes, rare, last, linked, firsts, stays)
     docs.sparkSession.sql(f"drop table {name}")
     release(lines)
     return lost
