@@ -178,3 +178,10 @@ def test_lines_find_alike_pairs_inside_templated_families(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, p) for r in line_dedup.line_report(df).collect() for p in r.dropped}
     assert len(want) == 120 and got == want
+
+
+def test_lines_equal_but_for_white_space_at_the_ends(spark):
+    rows = [(1, "a=1\nbody line"), (2, "a=1\r\n\tbody line\r"), (3, "\x0b a=1 \f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, p) for r in line_dedup.line_report(df).collect() for p in r.dropped}
+    assert got == brute_lines(rows) == {(2, 0), (2, 1), (3, 0)}

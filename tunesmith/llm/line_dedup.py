@@ -38,11 +38,12 @@ _draw = random.Random(0x11E5)
 _MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS + FINE_BANDS * FINE_ROWS)]
 
 
+BLANKS = " \t\r\f\x0b"  # at the ends of a line these do not count
 _WORD = r"[\p{L}\p{N}]"
 
 
 def _norm(line: Column) -> Column:
-    return F.lower(F.trim(line))
+    return F.lower(F.trim(line, F.lit(BLANKS)))
 
 
 def _doc_key(id_col: str, text_col: str) -> list[Column]:
@@ -243,7 +244,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their dropped lines taken out of the text, all columns kept.
 
-    A line ends at a newline. Lines that are equal without spaces at the ends and lower-cased, or whose sets of
+    A line ends at a newline. Lines that are equal without blanks, tabs and the like at the ends and lower-cased, or whose sets of
     8-character shingles have a Jaccard similarity of 0.8 or more, are linked (MinHash candidates,
     exact check); of each component the first line stays, in the order of document id (nulls last),
     then document, then position. Lines without a letter or digit always stay. A document may lose all its
