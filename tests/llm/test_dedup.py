@@ -185,3 +185,19 @@ def test_lines_equal_but_for_white_space_at_the_ends(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, p) for r in line_dedup.line_report(df).collect() for p in r.dropped}
     assert got == brute_lines(rows) == {(2, 0), (2, 1), (3, 0)}
+
+
+def test_simhash_keeps_one_row_of_each_component_where_ids_repeat(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(3, b), (5, "zz " + a), (5, b), (7, c), (7, "a " + d), (None, c), (None, "zzz " + a), (9, c), (9, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {t: fingerprint(t) for _, t in rows}
+    texts = sorted(fps)
+    root = union(texts, [(x, y) for x, y in itertools.combinations(texts, 2) if (fps[x] ^ fps[y]).bit_count() <= 2])
+    want = {}
+    for i, t in rows:
+        want[root[t]] = min(want.get(root[t], (True, 0)), (i is None, i or 0))
+    got = simhash.keep_one(df).collect()
+    assert sorted((root[r.text], (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(want.items())

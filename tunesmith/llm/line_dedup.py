@@ -46,7 +46,7 @@ def _norm(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(BLANKS)))
 
 
-def _doc_key(id_col: str, text_col: str) -> list[Column]:
+def doc_key(id_col: str, text_col: str) -> list[Column]:
     """Two hashes that name a document by its id and text, so that rows that only share the id stay apart."""
     parts = (F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit("")))
     return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2")]
@@ -54,7 +54,7 @@ def _doc_key(id_col: str, text_col: str) -> list[Column]:
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k1, k2, pos, norm, h1, h2) of every line that holds a letter or digit; the others take no part."""
-    lines = docs.select(F.col(id_col).alias("id"), *_doc_key(id_col, text_col),
+    lines = docs.select(F.col(id_col).alias("id"), *doc_key(id_col, text_col),
                         F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
     # most lines show a letter or digit at once; only others are searched whole
     lines = lines.where(F.substring("line", 1, 16).rlike(_WORD) | F.col("line").rlike(_WORD))
@@ -256,7 +256,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     columns = [F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")).alias(text_col)
                if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     named = lost.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("dropped").alias("_dropped"))
-    k1, k2 = _doc_key(id_col, text_col)
+    k1, k2 = doc_key(id_col, text_col)
     return docs.join(named, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").select(*columns)
 
 
@@ -267,7 +267,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     lost = dropped_lines(docs, id_col, text_col)
     n_lines = F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
-    rows = docs.select(F.col(id_col).alias("id"), *_doc_key(id_col, text_col), n_lines.cast("long").alias("n_lines"))
+    rows = docs.select(F.col(id_col).alias("id"), *doc_key(id_col, text_col), n_lines.cast("long").alias("n_lines"))
     out = rows.join(lost, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "n_lines", F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
                       F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))

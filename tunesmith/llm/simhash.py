@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tunesmith.llm.components import connected_components
+from tunesmith.llm.line_dedup import doc_key
 from tunesmith.session import materialize
 
 SEED = 42
@@ -111,16 +112,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
              max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay when one row of each component stays: the one with the smallest id.
+    """The rows of ``docs`` that stay when one row of each component stays.
 
-    Among rows that repeat an id the one with the smallest text stands for it (rows that also share
-    the text are interchangeable). A row with a null id cannot be named as the one that stays or
-    goes: all such rows stay.
+    Rows are told apart by id and text, so rows that repeat an id count each for its own text. The first
+    row of a component stays: the one with the smallest id (nulls last), then the smallest hash of id
+    and text. Rows that share both are interchangeable, and one of them stands for all; a null text
+    counts as an empty one there. Rows with a null id go like others when a near copy stays.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, max_bits)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("id")).distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    text, rid = F.col("row").getField(text_col), F.col("row").getField(id_col)
-    one = packed.where(rid.isNotNull()).groupBy(rid.alias("id")).agg(F.min_by("row", F.coalesce(text, F.lit(""))).alias("row"))
-    kept = one.join(stay, "id", "left_semi").select("row").union(packed.where(rid.isNull()))
+    k1, k2 = doc_key(id_col, text_col)
+    named = F.struct(F.col(id_col).isNull().alias("z"), F.col(id_col).alias("id"), k1, k2)
+    keyed = docs.select(named.alias("key"), F.col(text_col).alias("text"))
+    found = near_duplicates(keyed, "key", "text", shingle, max_bits)
+    same = [F.col(f"key.{c}") == F.col(f"component_id.{c}") for c in ("z", "k1", "k2")]
+    stay = found.where(same[0] & same[1] & same[2]).select("key.z", "key.k1", "key.k2").distinct()
+    packed = docs.select(named.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")) \
+        .select("key.z", "key.k1", "key.k2", "row")
+    kept = packed.join(stay, ["z", "k1", "k2"], "left_semi").groupBy("z", "k1", "k2").agg(F.first("row").alias("row"))
     return kept.select("row.*")
