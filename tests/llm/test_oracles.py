@@ -14,6 +14,6 @@ def test_matches_oracle(spark, name):
     assert compare(got, want) is None, compare(got, want)
 
 
-def test_ten_operators():
+def test_thirteen_operators():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
