@@ -84,3 +84,15 @@ def text_groups(column, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]
         size += len(t)
     if held:
         yield at, held
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """``wanted`` as column names that clash with none of ``taken``."""
+    used = {c.lower() for c in taken}
+    out = []
+    for w in wanted:
+        while w.lower() in used:
+            w = f"{w}_"
+        used.add(w.lower())
+        out.append(w)
+    return out

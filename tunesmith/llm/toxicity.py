@@ -16,17 +16,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunesmith.llm.features import text_groups
+from tunesmith.llm.features import free_names, text_groups
 from tunesmith.llm.quality import labelled_sample
 from tunesmith.session import materialize, release
 
@@ -368,16 +366,12 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, model: ToxicityModel, bar: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose whole text scores below ``bar``, all columns kept.
 
-    Only texts travel to Python; rows stay where they are. Null and empty texts are clean.
+    Only a hash of the text and the text travel to Python, a few at a time; the keys of rejected texts are stored and
+    their rows taken out by a join. Null and empty texts are clean, whatever the rest of the row. Equal texts
+    share their verdict, so rows that repeat stay or go together; an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def toxicity(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = shared.value
-        scorer = Scorer(m)
-        for batch in batches:
-            found = [m.probability(np.array(scorer(texts)[0], np.float64)) for _, texts in text_groups(pa.array(batch, pa.string()))]
-            yield pd.Series(np.concatenate(found) if found else np.empty(0))
-
-    return docs.where(toxicity(F.col(text_col).cast("string")) < bar)
+    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    found = score(docs.select(key.alias("id"), F.col(text_col).alias("text")), model, "id", "text")
+    name, = free_names(docs.columns, "rejected")
+    rejected = materialize(found.where(F.col("score") >= bar).select(F.col("id").alias(name)).distinct(), "toxicity-rejected")
+    return docs.join(rejected, key == F.col(name), "left_anti")
