@@ -201,3 +201,11 @@ def test_simhash_keeps_one_row_of_each_component_where_ids_repeat(spark):
         want[root[t]] = min(want.get(root[t], (True, 0)), (i is None, i or 0))
     got = simhash.keep_one(df).collect()
     assert sorted((root[r.text], (r.doc_id is None, r.doc_id or 0)) for r in got) == sorted(want.items())
+
+
+def test_lines_of_a_table_with_clashing_names(spark):
+    rows = [(1, "a line that stays here\nsecond", 5, "x", "y"), (2, "a line that stays here\nthird", 6, "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped int, k1 string, _dropped string")
+    got = line_dedup.deduplicate_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.dropped) for r in got.collect()) == [(1, rows[0][1], 5), (2, "third", 6)]

@@ -18,6 +18,7 @@
 
 from __future__ import annotations
 
+import gc
 import random
 import uuid
 
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunesmith.llm.components import connected_components
+from tunesmith.llm.features import free_names
 from tunesmith.session import ensure_checkpoint_dir, materialize, release
 
 SHINGLE = 8        # characters
@@ -134,30 +136,47 @@ def _open_lines(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
+def _shingle_hashes(norm: Column) -> Column:
+    """The distinct hashes of a line's shingles, of their UTF-16; a line shorter than a shingle is one.
+
+    Units of UTF-16 are characters but for surrogates; lines with surrogates are cut by characters.
+    """
+    units = F.encode(norm, "UTF-16BE")
+    plain = F.transform(F.array(units), lambda u: F.transform(F.sequence(F.lit(0), _last_start(u)), lambda i: _shingle_hash(u, i)))[0]
+    others = F.transform(shingle_set(norm), lambda x: F.xxhash64(F.encode(x, "UTF-16BE")))
+    return F.array_distinct(F.when(norm.rlike(r"[\x{10000}-\x{10FFFF}]"), others).otherwise(plain))
+
+
+def _end_of_step(*tables: DataFrame) -> None:
+    """Delete tables of steps that are over, and let the driver's garbage collection free their shuffle files."""
+    release(*tables)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
     """(s, h1, root, n, i): the rarest shingles of every line of ``members`` (h1, root): hash, the line's number of
     shingles and the shingle's place from 0 in the order (count, hash).
 
     Lines of n and m shingles are alike only if they share o >= 4/9 (n + m) of them; their first common shingle
     in that order then is at places i <= n - o and j <= m - o. As o >= 4/5 n, the first n / 5 + 1 places are enough.
+    Shingles are put in order inside their row, by the counts of all SLOTS slots, which travel as one array; only
+    the prefixes are shuffled later.
     """
     texts = lines.join(members, "h1").select("h1", "root", "norm")
-    # units of UTF-16 are characters but for surrogates; both ways hash a shingle's UTF-16
-    plain = ~F.col("norm").rlike(r"[\x{10000}-\x{10FFFF}]")
-    starts = texts.select("h1", "root", F.when(plain, F.encode("norm", "UTF-16BE")).alias("u"), F.when(~plain, F.col("norm")).alias("norm"))
-    at = starts.where("u is not null").select("h1", "root", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
-    rows = at.select("h1", "root", _shingle_hash(F.col("u"), F.col("i")).alias("s"))
-    others = starts.where("norm is not null").select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x"))
-    rows = materialize(rows.union(others.select("h1", "root", F.xxhash64(F.encode("x", "UTF-16BE")).alias("s"))).distinct(), "line-shingles")
-    slot = F.pmod("s", F.lit(SLOTS)).cast("int")
-    counts = materialize(rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("f")), "line-counts")
-    sizes = rows.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    place = F.row_number().over(Window.partitionBy("h1").orderBy("f", "s")) - 1
-    ranked = rows.withColumn("slot", slot).join(F.broadcast(counts), "slot").select("s", "h1", "root", place.alias("i"))
-    ranked = ranked.join(sizes, "h1").select("s", "h1", "root", "n", "i")
-    out = materialize(ranked.where("5 * (n - i) >= 4 * n"), "line-prefixes")
-    release(rows, counts)
-    return out
+    slots = texts.select(F.explode(_shingle_hashes(F.col("norm"))).alias("s")) \
+        .groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("f"))
+    found = [0] * SLOTS
+    for r in slots.collect():  # SLOTS rows at most, whatever the number of lines
+        found[r.slot] = r.f
+    counts = F.split(F.lit(",".join(map(str, found))), ",").cast("array<long>")  # folded into one literal
+    ordered = F.array_sort(F.transform(_shingle_hashes(F.col("norm")), lambda s: F.struct(
+        F.get(counts, F.pmod(s, F.lit(SLOTS)).cast("int")).alias("f"), s.alias("s"))))
+    first = F.transform(F.array(ordered), lambda x: F.struct(
+        F.size(x).alias("n"), F.transform(F.slice(x, 1, (F.size(x) / 5).cast("int") + 1), lambda e: e["s"]).alias("head")))[0]
+    rows = texts.select("h1", "root", first.alias("first"))
+    rows = rows.select("h1", "root", F.col("first.n").alias("n"), F.posexplode("first.head").alias("i", "s"))
+    return materialize(rows.select("s", "h1", "root", "n", "i").where("5 * (n - i) >= 4 * n"), "line-prefixes")
 
 
 def _sharing_rare(prefixes: DataFrame) -> DataFrame:
@@ -170,6 +189,7 @@ def _sharing_rare(prefixes: DataFrame) -> DataFrame:
     main = by_root.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = materialize(main.select("s", "main"), "line-shared")
     rows = materialize(prefixes.join(main, "s").withColumn("other", F.col("root") != F.col("main")).drop("main"), "line-shared")
+    _end_of_step(prefixes)
     small = rows.where("9 * (n - i) >= 8 * n")
     close = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & F.expr(
         "y.n <= x.n and 9 * (x.n - x.i) >= 4 * (x.n + y.n) and 9 * (y.n - y.i) >= 4 * (x.n + y.n)")
@@ -200,7 +220,7 @@ def _distinct_lines(occ: DataFrame) -> tuple[DataFrame, str]:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, dropped): for each document with dropped lines its key and their sorted positions from 0.
 
-    See ``deduplicate_lines`` for what counts as a line and which line stays.
+    Of lines whose 64-bit hashes collide (two of 10**9 lines with a chance of 3 %) none is dropped. See ``deduplicate_lines`` for what counts as a line and which line stays.
     """
     occ = occurrences(docs, id_col, text_col)
     lines, name = _distinct_lines(occ)
@@ -215,14 +235,18 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = materialize(members.select("h1").union(members.select(F.col("hub").alias("h1"))).distinct(), "line-members")
     again = lines.join(members, "h1", "left_semi")
     finer = materialize(_pairs(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:]))), "line-links")
+    _end_of_step(members)
     more = materialize(_verified(finer.join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
     roots = materialize(connected_components(edges.union(more)), "line-roots")
+    _end_of_step(edges, more)
     # what a hub did not stand for: lines of buckets with several components, by their rarest shingles
     still = _open_lines(links, roots)
     prefixes = _prefixes(still, lines)
     rare = _sharing_rare(prefixes)
+    _end_of_step(still)
     unseen = rare.join(_pairs(links), ["a", "b"], "left_anti").join(finer, ["a", "b"], "left_anti")
     last = materialize(_verified(unseen, lines), "line-edges")
+    _end_of_step(links, finer, rare)
     if last.limit(1).count():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last)
         roots = materialize(connected_components(joined), "line-roots")
@@ -235,7 +259,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .where("k1 <> stays.k1 or k2 <> stays.k2 or pos <> stays.pos") \
         .groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
     lost = materialize(lost, "line-dropped")
-    release(links, edges, members, finer, more, still, prefixes, rare, last, linked, firsts, stays)
+    release(last, roots, linked, firsts, stays)
     docs.sparkSession.sql(f"drop table {name}")
     release(lines)
     return lost
@@ -252,12 +276,13 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are one document here: each keeps the lines that the document keeps. An empty table gives no rows.
     """
     lost = dropped_lines(docs, id_col, text_col)
-    keep = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains("_dropped", i))
-    columns = [F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")).alias(text_col)
+    a, b, dropped = free_names(docs.columns, "k1", "k2", "dropped")
+    keep = F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(dropped, i))
+    columns = [F.when(F.col(dropped).isNull(), F.col(text_col)).otherwise(F.array_join(keep, "\n")).alias(text_col)
                if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    named = lost.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("dropped").alias("_dropped"))
+    named = lost.select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("dropped").alias(dropped))
     k1, k2 = doc_key(id_col, text_col)
-    return docs.join(named, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left").select(*columns)
+    return docs.join(named, (k1 == F.col(a)) & (k2 == F.col(b)), "left").select(*columns)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
