@@ -9,6 +9,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from tests.conftest import SF01
 from tunesmith.llm import bpe, catalog, packing
 
@@ -146,3 +148,14 @@ def test_one_length_with_most_rows(spark):
     rows = packing.pack(df, 2048).collect()
     assert len(rows) == 3000
     fill(rows)
+
+
+def test_a_long_run_of_equal_slots_is_cut_before_it_becomes_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_ROWS", 7)
+    pieces = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 5 == 0, 3).otherwise(10).cast("long").alias("length"))
+    rows = packing.pack(pieces, 10).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(500))
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (a, o, n), (b, p, _) in zip(places, places[1:]):
+        assert p == (o + n if a == b else 0)
+    assert len({r.sequence_id for r in rows}) == 400 + 34

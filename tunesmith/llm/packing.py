@@ -18,6 +18,7 @@ from tunesmith.session import materialize
 
 #: Parts that the pieces of one length are ranked in, so that a length with most of the rows is no single task.
 RANK_PARTS = 256
+SLOT_ROWS = 100_000  # slots of one length, rank run and place that one row stands for at most
 
 Run = tuple[int, int, int, int, int]
 
@@ -88,8 +89,13 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", rank_part
         raise ValueError("a piece has no length")
     runs = plan(counts, capacity)
     schema = "l long, first_rank long, slots long, first_sequence long, offset long"
-    slots = spark.createDataFrame(runs, schema).repartition(max(1, min(64, len(runs) // 64))) \
-        .select("l", "first_rank", "first_sequence", "offset", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("k")) \
+    # a run of equal slots is cut into pieces before it becomes rows, so that no task holds a long run
+    cut = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_ROWS).cast("long"))
+    pieces_of_runs = sum(-(-r[2] // SLOT_ROWS) for r in runs)
+    slots = spark.createDataFrame(runs, schema).select("*", F.explode(cut).alias("from")) \
+        .repartition(max(1, -(-pieces_of_runs // 64))) \
+        .select("l", "first_rank", "first_sequence", "offset",
+                F.explode(F.sequence(F.col("from"), F.least("slots", F.col("from") + SLOT_ROWS) - 1)).alias("k")) \
         .select(F.col("l").alias("_l"), (F.col("first_rank") + F.col("k")).alias("_r"),
                 (F.col("first_sequence") + F.col("k")).alias("sequence_id"), F.col("offset").alias("offset"))
     # rank within length = rank within (length, part) + pieces of that length in the parts before
