@@ -10,24 +10,27 @@ SCHEMA = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("emb
 
 
 def brute(rows, k):
-    vectors = {}
+    vectors = []
     for i, v in rows:
         if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
             continue
-        w = [int(np.floor(64 * float(np.float32(x)))) for x in v]
-        vectors[i] = min(vectors.get(i, w), w)
-    out = set()
-    for q, a in vectors.items():
-        if q % 20 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in vectors.items() if i != q)
-            out |= {(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])}
-    return out
+        vectors.append((i, [int(np.floor(64 * float(np.float32(x)))) for x in v]))
+    out = []
+    for q in {i for i, _ in vectors if i % 20 == 0}:  # all rows of an id ask together; every row of another id is a candidate
+        s = sorted((-sum(x * y for x, y in zip(a, b)), i) for asks, a in vectors if asks == q for i, b in vectors if i != q)
+        out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
+    return sorted(out)
 
 
 def run(spark, rows, **more):
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
     found = topk.top_k(df, F.col("vec_id") % 20 == 0, 5, **more)
-    return {(r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect()}
+    return sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found.collect())
+
+
+def test_rows_that_share_an_id_are_candidates_each(spark):
+    rows = [(20, [1.0]), (7, [5.0]), (7, [2.0]), (7, [2.0])]
+    assert run(spark, rows) == [(20, 1, 7, 64 * 320), (20, 2, 7, 64 * 128), (20, 3, 7, 64 * 128)] == brute(rows, 5)
 
 
 def test_against_brute_force_over_many_ranges_and_blocks(spark):
@@ -39,8 +42,8 @@ def test_against_brute_force_over_many_ranges_and_blocks(spark):
 
 
 def test_few_candidates_and_empty_table(spark):
-    assert run(spark, [(0, [1.0]), (20, [2.0])]) == {(0, 1, 20, 64 * 128), (20, 1, 0, 64 * 128)}
-    assert run(spark, []) == set()
+    assert run(spark, [(0, [1.0]), (20, [2.0])]) == [(0, 1, 20, 64 * 128), (20, 1, 0, 64 * 128)]
+    assert run(spark, []) == []
 
 
 def test_blocks_whose_bound_is_too_low_are_skipped():

@@ -98,8 +98,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
 
     Queries are the rows where ``is_query`` holds; candidates are all rows but those of the query's
     own id. Vectors that are null or hold null or non-finite components and rows with a null id
-    take no part. Rows that share an id are one vector: repeated rows collapse, of different vectors the smallest
-    (in array order) counts. Missing trailing components count as zero; empty vectors score zero.
+    take no part. Rows that share an id are candidates each, and as queries rank together under their id. Missing trailing components count as zero; empty vectors score zero.
     Scores and the products of the largest components must fit into a long. Other columns are not
     read; an empty table gives no rows.
 
@@ -108,12 +107,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, id_col: str = "vec_id",
     """
     clean = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("w"), is_query.alias("asks")) \
         .where("id is not null and w is not null")
-    clean = materialize(clean.groupBy("id").agg(F.min("w").alias("w"), F.max("asks").alias("asks")), "vectors")
+    clean = materialize(clean.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, asking = clean.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    ranges = materialize(clean.select("id", "w").repartitionByRange(max(1, math.ceil(n / range_rows)), "id")
+    ranges = materialize(clean.select("id", "w", "row").repartitionByRange(max(1, math.ceil(n / range_rows)), "id", "row").select("id", "w")
                          .mapInArrow(lambda b: _pack(b, None), _PACKED), "ranges")
     parts = (ranges.agg(F.max("part")).first()[0] or 0) + 1
-    asked = clean.where("asks").select("id", "w").repartition(max(1, math.ceil(asking / query_rows)), "id") \
+    asked = clean.where("asks").select("id", "w").repartition(max(1, math.ceil(asking / query_rows))) \
         .mapInArrow(lambda b: _pack(b, query_rows), _PACKED)
     pairs = asked.select(F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"), F.col("dims").alias("q_dims"),
                          F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(ranges, "part")
