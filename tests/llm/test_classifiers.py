@@ -190,3 +190,34 @@ def test_every_row_of_documents_has_a_licence_row(spark):
     text = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", F.col("text").rlike("(?i)licensed under|released under the mit").alias("has"))
     got = found.join(text, "doc_id").groupBy("has", (F.col("origin") == "own").alias("own")).count().collect()
     assert {(r.has, r.own) for r in got} == {(True, True), (False, False)}
+
+
+def test_a_rare_language_is_a_language(spark):
+    rows = [(i, f"the quick brown fox jumps over it {i}", "en") for i in range(3000)] + [(9000 + i, "rødgrød med fløde på øen", "da") for i in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == ["da", "en"]
+
+
+def test_markup_that_nothing_closes_takes_one_pass():
+    import html
+    import random
+    import re
+    import time
+    plain = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
+    rng = random.Random(1)
+    bits = ["<!--", "-->", "<script", "</script >", "</SCRIPT>", "<style>", "</style>", "<p>", "<", ">", "a", " ", "b<", "&amp;", "-", "İ"]
+    for _ in range(5000):
+        s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert language.visible_text(s) == html.unescape(plain.sub(" ", s))
+    began = time.time()
+    for s in ("<!--" * 250_000, "<script " * 125_000, "<" * 1_000_000, "</script " * 100_000, "<p " * 300_000):
+        language.visible_text(s)
+    assert time.time() - began < 5
+
+
+def test_keep_clean_with_clashing_names(spark):
+    model = toxicity.ToxicityModel()
+    docs = spark.createDataFrame([(1, "some text", "a"), (1, "some text", "b"), (2, None, "c")], "doc_id long, text string, rejected string")
+    got = toxicity.keep_clean(docs, model, 0.5)
+    assert got.columns == docs.columns and got.count() == 3
+    assert {r.rejected for r in toxicity.keep_clean(docs, model, 0.0).collect()} == set()

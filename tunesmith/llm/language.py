@@ -24,20 +24,42 @@ from tunesmith.session import materialize
 BUCKETS_LOG2 = 16
 #: The text model is fit on about so many labelled rows of each language (a sample by the hash of the id).
 SAMPLE_PER_LANGUAGE = 1_500
-#: A label counts as a language if it holds at least this share of the labelled rows (so at most 1 / share languages).
-LEAST_SHARE = 1e-3
 #: Trigrams of one text depend on each other: they weigh together as at most so many independent ones.
 FULL_WEIGHT = 60
 HOST_ROWS, DOMAIN_ROWS = 10.0, 10.0  # weight of the smoothing prior, in rows
 ACCEPT = 0.7
 
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<[^>]*>")
+_BLOCK = re.compile(r"<(script|style|noscript|template)\b", re.IGNORECASE)
+_CLOSED = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in ("script", "style", "noscript", "template")}
+_CLOSED["!--"] = re.compile("-->")
 _WORD = np.array([chr(c).isalpha() for c in range(0x10000)])
 
 
 def visible_text(markup: str) -> str:
-    """The text of a page without comments, scripts, styles and tags."""
-    return html.unescape(_HIDDEN.sub(" ", markup))
+    """The text of a page without comments, scripts, styles and tags, in one pass.
+
+    What opens a comment or block that nothing closes is a plain tag; what opens a tag that nothing closes is text. A
+    closing mark that was once not found is not looked for again.
+    """
+    out, at, missing = [], 0, set()
+    while (start := markup.find("<", at)) >= 0:
+        block = _BLOCK.match(markup, start)
+        kind = "!--" if markup.startswith("<!--", start) else block.group(1).lower() if block else None
+        end = -1
+        if kind and kind not in missing:
+            close = _CLOSED[kind].search(markup, start + (4 if kind == "!--" else len(kind) + 1))
+            if close is None:
+                missing.add(kind)
+            else:
+                end = close.end()
+        if end < 0:
+            end = markup.find(">", start) + 1
+            if not end:
+                break
+        out.append(markup[at:start])
+        at = end
+    out.append(markup[at:])
+    return html.unescape(" ".join(out))
 
 
 class Trigrams:
@@ -80,12 +102,14 @@ class TextModel:
 
 def fit(docs: DataFrame, language_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
         per_language: int = SAMPLE_PER_LANGUAGE) -> TextModel:
-    """Count trigrams by label over a bounded sample. Rows without id, label or text are not used."""
+    """Count trigrams by label over a bounded sample. Rows without id, label or text are not used.
+
+    Every label that has rows is a language, however rare; the model holds 2**16 numbers for each.
+    """
     known = docs.select(F.col(id_col).alias("id"), F.lower(F.col(language_col)).alias("lang"), F.col(text_col).alias("text")) \
         .where("id is not null and lang is not null and text is not null")
     counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    kept = {r.lang: r.n for r in counts.where(F.col("n") >= total * LEAST_SHARE).collect()}
+    kept = {r.lang: r.n for r in counts.collect()}
     languages = sorted(kept)
     if not languages:
         return TextModel([], np.zeros((0, 1 << BUCKETS_LOG2), np.float32))
