@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunesmith.llm import catalog, language, line_dedup, packing, simhash, toxicity
+from tunesmith.llm.features import free_names
 from tunesmith.session import materialize
 from tunesmith.sources.tables import table
 
@@ -30,22 +31,33 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     key = F.md5(F.to_json(F.struct("doc_id", "text", "lang", "source")))
     rows = language.labelled_documents(docs.withColumn("doc_id", key))
     found = language.identify(rows, language.fit(docs))
-    rejected = materialize(found.where(~F.col("accepted")).select(F.col("id").alias("_rejected")).distinct(), "pipeline-rejected")
-    return docs.join(rejected, key == F.col("_rejected"), "left_anti")
+    name, = free_names(docs.columns, "rejected")
+    rejected = materialize(found.where(~F.col("accepted")).select(F.col("id").alias(name)).distinct(), "pipeline-rejected")
+    return docs.join(rejected, key == F.col(name), "left_anti")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-equal lines but the first go from the texts (operator 7); n_chars follows the text."""
+    """Near-equal lines but the first go from the texts (operator 7); n_chars follows the text, null for a null text.
+
+    Ties, repeated rows and empty tables as in ``line_dedup.deduplicate_lines``; further columns stay, whatever their names.
+    """
     return line_dedup.deduplicate_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays (operator 4)."""
+    """One document of each SimHash group stays (operator 4): the first by id (nulls last), then text.
+
+    Null, empty and blank texts are one group, very long texts are read whole; an empty table gives no rows.
+    """
     return simhash.keep_one(docs, shingle=catalog.SIMHASH_SHINGLE, max_bits=catalog.SIMHASH_BITS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of all documents, packed into sequences (operator 10)."""
+    """The token pieces of all documents, packed into sequences (operator 10).
+
+    Null and empty texts are one piece of one token; only longer documents than a sequence are cut; repeated rows
+    are packed each; other columns are not read; an empty table gives no rows.
+    """
     return packing.pack_documents(docs, catalog.vocabulary(), catalog.SEQUENCE_TOKENS)
 
 
