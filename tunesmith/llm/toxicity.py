@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tunesmith.llm.features import free_names, text_groups
+from tunesmith.llm.features import text_groups
 from tunesmith.llm.quality import labelled_sample
 from tunesmith.session import materialize, release
 
@@ -366,12 +366,18 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def keep_clean(docs: DataFrame, model: ToxicityModel, bar: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose whole text scores below ``bar``, all columns kept.
 
-    Only a hash of the text and the text travel to Python, a few at a time; the keys of rejected texts are stored and
-    their rows taken out by a join. Null and empty texts are clean, whatever the rest of the row. Equal texts
-    share their verdict, so rows that repeat stay or go together; an empty table gives no rows.
+    Map-only: rows pass through Python a few at a time, so a task holds one Arrow batch and the texts of one group.
+    Null and empty texts are clean, whatever the rest of the row. Rows that repeat stay or go
+    together; an empty table gives no rows.
     """
-    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
-    found = score(docs.select(key.alias("id"), F.col(text_col).alias("text")), model, "id", "text")
-    name, = free_names(docs.columns, "rejected")
-    rejected = materialize(found.where(F.col("score") >= bar).select(F.col("id").alias(name)).distinct(), "toxicity-rejected")
-    return docs.join(rejected, key == F.col(name), "left_anti")
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        m = shared.value
+        scorer = Scorer(m)
+        for batch in batches:
+            for at, texts in text_groups(batch.column(at_text).cast(pa.string())):
+                clean = m.probability(np.array(scorer(texts)[0], np.float64)) < bar
+                yield batch.slice(at, len(texts)).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
