@@ -136,17 +136,6 @@ def _open_lines(links: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
-def _shingle_hashes(norm: Column) -> Column:
-    """The distinct hashes of a line's shingles, of their UTF-16; a line shorter than a shingle is one.
-
-    Units of UTF-16 are characters but for surrogates; lines with surrogates are cut by characters.
-    """
-    units = F.encode(norm, "UTF-16BE")
-    plain = F.transform(F.array(units), lambda u: F.transform(F.sequence(F.lit(0), _last_start(u)), lambda i: _shingle_hash(u, i)))[0]
-    others = F.transform(shingle_set(norm), lambda x: F.xxhash64(F.encode(x, "UTF-16BE")))
-    return F.array_distinct(F.when(norm.rlike(r"[\x{10000}-\x{10FFFF}]"), others).otherwise(plain))
-
-
 def _end_of_step(*tables: DataFrame) -> None:
     """Delete tables of steps that are over, and let the driver's garbage collection free their shuffle files."""
     release(*tables)
@@ -160,23 +149,30 @@ def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
 
     Lines of n and m shingles are alike only if they share o >= 4/9 (n + m) of them; their first common shingle
     in that order then is at places i <= n - o and j <= m - o. As o >= 4/5 n, the first n / 5 + 1 places are enough.
-    Shingles are put in order inside their row, by the counts of all SLOTS slots, which travel as one array; only
-    the prefixes are shuffled later.
+    A line's shingles stay in its bucket: they are made for the counts and once more to be put in order, and
+    only the prefixes leave the task.
     """
     texts = lines.join(members, "h1").select("h1", "root", "norm")
-    slots = texts.select(F.explode(_shingle_hashes(F.col("norm"))).alias("s")) \
-        .groupBy(F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("f"))
-    found = [0] * SLOTS
-    for r in slots.collect():  # SLOTS rows at most, whatever the number of lines
-        found[r.slot] = r.f
-    counts = F.split(F.lit(",".join(map(str, found))), ",").cast("array<long>")  # folded into one literal
-    ordered = F.array_sort(F.transform(_shingle_hashes(F.col("norm")), lambda s: F.struct(
-        F.get(counts, F.pmod(s, F.lit(SLOTS)).cast("int")).alias("f"), s.alias("s"))))
-    first = F.transform(F.array(ordered), lambda x: F.struct(
-        F.size(x).alias("n"), F.transform(F.slice(x, 1, (F.size(x) / 5).cast("int") + 1), lambda e: e["s"]).alias("head")))[0]
-    rows = texts.select("h1", "root", first.alias("first"))
-    rows = rows.select("h1", "root", F.col("first.n").alias("n"), F.posexplode("first.head").alias("i", "s"))
-    return materialize(rows.select("s", "h1", "root", "n", "i").where("5 * (n - i) >= 4 * n"), "line-prefixes")
+    # units of UTF-16 are characters but for surrogates; both ways hash a shingle's UTF-16
+    surrogates = F.col("norm").rlike(r"[\x{10000}-\x{10FFFF}]")
+    units = texts.where(~surrogates).select("h1", "root", F.encode("norm", "UTF-16BE").alias("u"))
+    at = units.select("h1", "root", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
+    plain = at.select("h1", "root", _shingle_hash(F.col("u"), F.col("i")).alias("s")).distinct()
+    others = texts.where(surrogates).select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x")) \
+        .select("h1", "root", F.xxhash64(F.encode("x", "UTF-16BE")).alias("s"))
+    slot = F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")
+    counts = plain.select(slot).union(others.select(slot)).groupBy("slot").agg(F.count(F.lit(1)).alias("f"))
+    counts = materialize(counts, "line-counts")
+    line = Window.partitionBy("h1")
+
+    def head(rows: DataFrame) -> DataFrame:
+        ranked = rows.withColumn("slot", slot).join(F.broadcast(counts), "slot")  # SLOTS rows
+        ranked = ranked.select("s", "h1", "root", F.count(F.lit(1)).over(line).cast("int").alias("n"), (F.row_number().over(line.orderBy("f", "s")) - 1).alias("i"))
+        return ranked.where("5 * (n - i) >= 4 * n")
+
+    out = materialize(head(plain).union(head(others)), "line-prefixes")
+    release(counts)
+    return out
 
 
 def _sharing_rare(prefixes: DataFrame) -> DataFrame:
