@@ -71,3 +71,35 @@ def test_draws_of_a_used_up_grid(spark):
     sp = G.load_space(G.space_from_dict(spark, "m", {"a": [1, 2, 3]}), "m")
     assert sorted(r["grid_id"] for r in G.draw(spark, sp, 10, 1).collect()) == [0, 1, 2]
     assert G.draw(spark, sp, 1, 1, G.draw(spark, sp, 3, 5)).count() == 0
+
+
+def _order(spark, size, seed):
+    rows = spark.range(size).select(G.nth_draw(F.col("id"), size, seed).alias("g"), "id").orderBy("id").collect()
+    return [r["g"] for r in rows]
+
+
+def test_draws_are_a_permutation(spark):
+    for size in (1, 2, 3, 4, 5, 6, 7, 13, 64, 97, 1000, 4099):
+        assert sorted(_order(spark, size, 5)) == list(range(size))
+    a, b = _order(spark, 1000, 5), _order(spark, 1000, 6)
+    assert a != b and a[:20] != sorted(a[:20])
+    # no place is favoured: the mean of the first hundred draws is near the middle
+    assert abs(sum(a[:100]) / 100 - 500) < 120
+
+
+def test_the_last_settings_of_a_large_grid(spark):
+    sp = G.load_space(G.space_from_dict(spark, "m", {"a": list(range(1197)), "b": list(range(1440))}), "m")
+    assert sp.size == 1_723_680
+    left = sorted(r["grid_id"] for r in G.draws(spark, sp, sp.size - 10, 99, 4).collect())
+    tried = G.enumerate_grid(spark, sp).where(~F.col("grid_id").isin(left)).select("grid_id")
+    got = G.draw(spark, sp, 150, 4, tried).collect()
+    assert sorted(r["grid_id"] for r in got) == left and [r["draw"] for r in got] == list(range(sp.size - 10, sp.size))
+
+
+def test_conditional_items_of_all_flags(spark):
+    rules = [G.Rule(["A"], "m", (None,)), G.Rule("B", "m and c"), G.Rule(["C"], "n > 2"), G.Rule("D", "c", ("E",))]
+    meta = spark.createDataFrame([(1, True, True, 3), (2, True, False, None), (3, False, True, 2), (4, False, False, 9)], "k int, m boolean, c boolean, n int")
+    got = {}
+    for r in G.conditional_items(meta, rules, ["k"]).orderBy("k", "ix").collect():
+        got.setdefault(r["k"], []).append(r["value"])
+    assert got == {1: ['["A"]', '"B"', '["C"]', '"D"'], 2: ['["A"]', '"E"'], 3: ["null", '"D"'], 4: ["null", '["C"]', '"E"']}

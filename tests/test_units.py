@@ -11,11 +11,11 @@ from tunesmith.operators import trials as T
 
 
 def test_normal_cdf_against_erfc(spark):
-    zs = [-8.0, -1.0, 0.0, 1.0, 8.0]
+    zs = [-8.0, -6.0, -5.6, -1.0, -0.5, 0.0, 0.3, 0.6629, 0.6630, 1.0, 5.7, 8.0]
     df = spark.createDataFrame([(z,) for z in zs], "z double")
     got = [r[0] for r in df.select(S.normal_cdf(F.col("z"))).collect()]
     for z, g in zip(zs, got):
-        assert g == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), abs=2e-7)
+        assert g == pytest.approx(0.5 * math.erfc(-z / math.sqrt(2)), rel=1e-13)
 
 
 def test_degenerate_sigma_gives_minus_one(spark):
@@ -25,7 +25,7 @@ def test_degenerate_sigma_gives_minus_one(spark):
     d = 0.5 - (0.6 - 0.01)
     z = d / 0.2
     want = d * 0.5 * math.erfc(-z / math.sqrt(2)) + 0.2 * math.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    assert got[2] == pytest.approx(want, abs=1e-7)
+    assert got[2] == pytest.approx(want, rel=1e-12)
 
 
 def test_nonpositive_seconds_fall_back_to_min_time(spark):
@@ -122,3 +122,25 @@ def test_labelled_table_types(spark):
     assert spec.numeric == ["flag", "d", "t"] and spec.classes == ["no", "yes"]
     first = out.orderBy("row_id").first()
     assert (first["flag"], first["d"], first["t"], first["label"]) == (1.0, 2.0, 60.0, 0.0)
+
+
+def test_dictionary_of_five_million_categories(spark):
+    df = spark.range(5_000_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("c"))
+    dictionary = FE.categories(df, ["c"])
+    st = dictionary.agg(F.count(F.lit(1)), F.min("position"), F.max("position"), F.countDistinct("position")).first()
+    assert tuple(st) == (5_000_000, 0, 4_999_999, 5_000_000)
+    few = df.where("id % 1000003 = 5")
+    ones = FE.one_hot_sparse(few, ["id"], ["c"], dictionary).collect()
+    place = {r["value"]: r["position"] for r in dictionary.where(F.col("value").isin([f"v{r['id']}" for r in ones])).collect()}
+    assert len(ones) == 5 and all(place[f"v{r['id']}"] == r["position"] for r in ones)
+    # positions follow the order of the values
+    assert [r["value"] for r in dictionary.where("position < 4").orderBy("position").collect()] == ["v0", "v1", "v10", "v100"]
+
+
+def test_one_hot_of_unknown_and_missing_values(spark):
+    fit = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
+    df = spark.createDataFrame([(1, "a"), (2, "z"), (3, None), (4, "b")], "k int, c string")
+    dictionary = FE.categories(fit, ["c"])
+    assert sorted((r["k"], r["column"], r["position"]) for r in FE.one_hot_sparse(df, ["k"], ["c"], dictionary).collect()) == [(1, "c", 0), (4, "c", 1)]
+    dense = sorted((r["k"], r["feature"], r["value"]) for r in FE.one_hot_long(df, ["k"], ["c"], dictionary).collect())
+    assert dense == [(k, f"c={v}", 1.0 if (k, v) in ((1, "a"), (4, "b")) else 0.0) for k in (1, 2, 3, 4) for v in "ab"]

@@ -1,10 +1,9 @@
 """Column expressions: standard normal cdf/pdf, expected improvement, tie-averaged ranks.
 
 Everything here is a plain Column expression (JVM-side, inside whole-stage codegen).
-Neither Spark SQL nor DuckDB has ``erf``, so Phi is built from a Chebyshev fit of erfc
-with fractional error below 1.2e-7 everywhere. The same formula is rendered as SQL text
-(``normal_cdf_sql``) for the DuckDB oracle, so the oracle checks the plumbing; a unit test
-checks Phi itself against ``math.erfc``.
+Neither Spark SQL nor DuckDB has ``erf``, so Phi is built from rational Chebyshev approximations of erfc in
+double precision. The same formula is rendered as SQL text (``normal_cdf_sql``) for the DuckDB oracle, so the
+oracle checks the plumbing; a unit test checks Phi itself against ``math.erfc``.
 """
 
 from __future__ import annotations
@@ -14,30 +13,44 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-# Chebyshev coefficients of the erfc fit (Numerical Recipes, "erfcc"),
-# erfc(z) ~= t * exp(-z*z + P(t)), t = 1 / (1 + z/2), z >= 0, P(t) = sum c_i t^i.
-ERFC_COEFFS = (
-    -1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806,
-    0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277,
-)
+# Coefficients of W. J. Cody, "Rational Chebyshev approximations for the error function", Math. Comp. 23 (1969),
+# numerators and denominators from the highest power down.
+# erf(x) = x N(x^2) / D(x^2) for |x| <= 0.46875
+ERF_N = (1.85777706184603153e-1, 3.16112374387056560e0, 1.13864154151050156e2, 3.77485237685302021e2, 3.20937758913846947e3)
+ERF_D = (1.0, 2.36012909523441209e1, 2.44024637934444173e2, 1.28261652607737228e3, 2.84423683343917062e3)
+# erfc(x) = exp(-x^2) N(x) / D(x) for 0.46875 < x <= 4
+ERFC_N = (2.15311535474403846e-8, 5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e1, 2.98635138197400131e2,
+          8.81952221241769090e2, 1.71204761263407058e3, 2.05107837782607147e3, 1.23033935479799725e3)
+ERFC_D = (1.0, 1.57449261107098347e1, 1.17693950891312499e2, 5.37181101862009858e2, 1.62138957456669019e3, 3.29079923573345963e3,
+          4.36261909014324716e3, 3.43936767414372164e3, 1.23033935480374942e3)
+# erfc(x) = exp(-x^2) / x (1 / sqrt(pi) - y N(y) / D(y)), y = 1 / x^2, for x > 4
+TAIL_N = (1.63153871373020978e-2, 3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2,
+          6.58749161529837803e-4)
+TAIL_D = (1.0, 2.56852019228982242e0, 1.87295284992346725e0, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3)
+NEAR, FAR = 0.46875, 4.0
+INV_SQRT_PI = 1.0 / math.sqrt(math.pi)
 SQRT2 = math.sqrt(2.0)
 INV_SQRT_2PI = 1.0 / math.sqrt(2.0 * math.pi)
 DEGENERATE_SIGMA = 1e-5  # sigma at or below this gives EI = -1
 DEFAULT_XI = -0.01  # reference lowers the incumbent by 0.01: d = mu - (best - 0.01)
 
 
-def _horner(t: Column) -> Column:
-    acc = F.lit(ERFC_COEFFS[-1])
-    for c in reversed(ERFC_COEFFS[:-1]):
-        acc = F.lit(c) + t * acc
+def _horner(t: Column, coefficients) -> Column:
+    acc = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        acc = acc * t + F.lit(c)
     return acc
 
 
 def erfc(x: Column) -> Column:
     z = F.abs(x)
-    t = F.lit(1.0) / (F.lit(1.0) + F.lit(0.5) * z)
-    r = t * F.exp(-z * z + _horner(t))
-    return F.when(x >= 0, r).otherwise(F.lit(2.0) - r)
+    square = z * z
+    near = F.lit(1.0) - x * _horner(square, ERF_N) / _horner(square, ERF_D)
+    middle = F.exp(-square) * _horner(z, ERFC_N) / _horner(z, ERFC_D)
+    y = F.lit(1.0) / square
+    far = F.exp(-square) / z * (F.lit(INV_SQRT_PI) - y * _horner(y, TAIL_N) / _horner(y, TAIL_D))
+    right = F.when(z <= FAR, middle).otherwise(far)
+    return F.when(z <= NEAR, near).when(x > 0, right).otherwise(F.lit(2.0) - right)
 
 
 def normal_cdf(z: Column) -> Column:
@@ -80,16 +93,23 @@ def avg_tie_rank(value: str, partition: list[str], ascending: bool = True) -> Co
 
 # ---- SQL renderings for the DuckDB oracle -------------------------------------------------
 
+def _horner_sql(t: str, coefficients) -> str:
+    acc = repr(coefficients[0])
+    for c in coefficients[1:]:
+        acc = f"({acc} * {t} + {c!r})"
+    return acc
+
+
 def normal_cdf_sql(z: str) -> str:
-    # Phi(z) = erfc(x)/2 with x = -z/sqrt2 ; erfc(x) = r(|x|) for x >= 0 else 2 - r(|x|)
+    # Phi(z) = erfc(x) / 2 with x = -z / sqrt 2, by the three ranges of |x|
     x = f"(-({z}) / {SQRT2!r})"
     ax = f"abs({x})"
-    t = f"(1.0 / (1.0 + 0.5 * {ax}))"
-    poly = repr(ERFC_COEFFS[-1])
-    for c in reversed(ERFC_COEFFS[:-1]):
-        poly = f"({c!r} + {t} * {poly})"
-    r = f"({t} * exp(-{ax} * {ax} + {poly}))"
-    return f"(0.5 * CASE WHEN {x} >= 0 THEN {r} ELSE 2.0 - {r} END)"
+    square, y = f"({x} * {x})", f"(1.0 / ({x} * {x}))"
+    near = f"(1.0 - {x} * {_horner_sql(square, ERF_N)} / {_horner_sql(square, ERF_D)})"
+    middle = f"(exp(-{square}) * {_horner_sql(ax, ERFC_N)} / {_horner_sql(ax, ERFC_D)})"
+    far = f"(exp(-{square}) / {ax} * ({INV_SQRT_PI!r} - {y} * {_horner_sql(y, TAIL_N)} / {_horner_sql(y, TAIL_D)}))"
+    right = f"(CASE WHEN {ax} <= {FAR!r} THEN {middle} ELSE {far} END)"
+    return f"(0.5 * CASE WHEN {ax} <= {NEAR!r} THEN {near} WHEN {x} > 0 THEN {right} ELSE 2.0 - {right} END)"
 
 
 def normal_pdf_sql(z: str) -> str:

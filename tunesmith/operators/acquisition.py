@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tunesmith.functions.stats import DEFAULT_XI, ei_per_second, expected_improvement
 from tunesmith.operators.scan import running
-from tunesmith.operators.space import Space, neighbors
-from tunesmith.session import materialize
+from tunesmith.operators.space import Space
+from tunesmith.session import materialize, release
 
 
 def score(cands: DataFrame, best, mode: str = "ei", min_time=None, xi: float = DEFAULT_XI,
@@ -67,35 +67,46 @@ def failed_prep_rounds(log: DataFrame, by: Sequence[str], order: str = "iteratio
     return models.join(bad, by, "left").withColumn("dropped", F.col("failed_round").isNotNull())
 
 
+def better_neighbors(scored: DataFrame, sp: Space, value: str = "ei") -> DataFrame:
+    """(grid_id, to, to_value): for every point of ``scored`` (grid_id, value) with a better Hamming-1 neighbour, the best one
+    (ties -> smallest grid_id).
+
+    A point's neighbours along a dimension are the other points of its line; a better one exists just if the line's
+    best point is better than the point itself. So each dimension takes one maximum over lines; no neighbour pairs.
+    """
+    known = F.when(~F.isnan(value), F.col(value).cast("double"))
+    best = scored.select("grid_id", known.alias("own"), F.struct(known.alias("v"), (-F.col("grid_id")).alias("neg")).alias("best"))
+    for d in sp.dims:
+        line = F.col("grid_id") - sp.digit(F.col("grid_id"), d).cast("long") * F.lit(d.stride).cast("long")
+        top = F.max(F.struct(F.col("own").alias("v"), (-F.col("grid_id")).alias("neg"))).over(Window.partitionBy(line))
+        best = best.select("grid_id", "own", F.greatest("best", top).alias("best"))
+    return best.where(F.col("best.v") > F.col("own")).select("grid_id", (-F.col("best.neg")).alias("to"), F.col("best.v").alias("to_value"))
+
+
 def local_search(starts: DataFrame, scored: DataFrame, sp: Space, max_steps: int | None = None,
                  value: str = "ei") -> DataFrame:
     """From every start setting move to the best Hamming-1 neighbour (ties -> smallest
     grid_id) while that strictly improves ``value``; returns every visited step as
     (start_id, step, grid_id, value). ``scored`` holds (grid_id, value) for the grid.
 
-    One join per step over the current frontier only; the frontier is written to the
-    checkpoint folder each step so the lineage stays one step long.
+    Every point has one pointer to its best neighbour. Round k joins the steps found so far with the pointers
+    2**k moves long, and these with themselves: paths of n steps take log2(n) rounds. A value that is NULL or NaN is
+    never moved to or from.
     """
-    scored = materialize(scored.select("grid_id", value), "ls-scored")  # joined once per step
-    path = starts.select(F.col("grid_id").alias("start_id"), F.lit(0).alias("step"), "grid_id", F.col(value))
-    frontier = materialize(path, "ls-frontier")
-    steps = [frontier]
+    jump = materialize(better_neighbors(scored, sp, value), "ls-jumps")
+    path = materialize(starts.select(F.col("grid_id").alias("start_id"), F.lit(0).alias("step"), "grid_id", F.col(value).cast("double").alias(value)), "ls-path")
     k = 0
-    while max_steps is None or k < max_steps:
-        nb = neighbors(frontier.withColumn("ix", sp.digits(F.col("grid_id"))), sp)
-        cand = nb.join(scored.select(F.col("grid_id").alias("neighbor_id"), F.col(value).alias("__nv")),
-                       "neighbor_id", "inner")
-        best = argmax(cand.withColumnRenamed(value, "__cur"), value="__nv", key="neighbor_id",
-                      by=["start_id", "step", "grid_id", "__cur"])
-        moved = best.where(F.col("__nv") > F.col("__cur")).select(
-            "start_id", (F.col("step") + 1).alias("step"), F.col("neighbor_id").alias("grid_id"),
-            F.col("__nv").alias(value))
-        frontier = materialize(moved, "ls-frontier")
-        if frontier.isEmpty():
+    while max_steps is None or (1 << k) <= max_steps:
+        pointers = jump.select(F.col("grid_id").alias("__at"), "to", "to_value")
+        moved = path.join(pointers, F.col("grid_id") == F.col("__at")) \
+            .select("start_id", (F.col("step") + (1 << k)).alias("step"), F.col("to").alias("grid_id"), F.col("to_value").alias(value))
+        moved = materialize(moved if max_steps is None else moved.where(F.col("step") <= max_steps), "ls-path")
+        if moved.isEmpty():
             break
-        steps.append(frontier)
-        k += 1
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out
+        path = path.unionByName(moved)
+        onward = jump.select(F.col("grid_id").alias("__at"), F.col("to").alias("__to"), F.col("to_value").alias("__value"))
+        longer = jump.join(onward, F.col("to") == F.col("__at")).select("grid_id", F.col("__to").alias("to"), F.col("__value").alias("to_value"))
+        longer = materialize(longer, "ls-jumps")
+        release(jump)
+        jump, k = longer, k + 1
+    return path

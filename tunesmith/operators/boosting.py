@@ -2,9 +2,10 @@
 
 Each round fits a depth-3 ``DecisionTreeRegressor`` on the (small) history with the current
 sample weights as ``weightCol`` (the reference resamples by weight; weighting is the
-deterministic equivalent), measures the normalised loss on the history in one aggregation,
-and updates the weights with a Column expression. The weighted history is written to the
-checkpoint folder every round so the lineage stays one round long.
+deterministic equivalent), measures the largest error and the weighted loss on the history, and updates the weights
+with a Column expression. Weights are normalised in that expression by the round's sums, so a round takes one action (two
+with the exponential loss) beside the fit. The weighted history is cached, and every ``CUT`` rounds it is
+written to the checkpoint folder, which cuts the lineage.
 
 Prediction is the weighted median of the round predictions (first prediction whose cumulative
 weight reaches half the total), computed per candidate with array functions: no shuffle.
@@ -18,7 +19,9 @@ from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tunesmith.session import materialize
+from tunesmith.session import materialize, release
+
+CUT = 10
 
 
 class AdaBoostR2Model:
@@ -62,22 +65,24 @@ class AdaBoostR2:
         return e
 
     def fit(self, hist: DataFrame) -> AdaBoostR2Model:
-        n = hist.count()
-        h = materialize(hist.select(self.features, F.col(self.label).alias("__y")).withColumn("__w", F.lit(1.0 / n)),
-                        "adaboost")
+        h = materialize(hist.select(self.features, F.col(self.label).alias("__y")).withColumn("__w", F.lit(1.0)), "adaboost")
+        stored, cached = h, None
         trees, weights = [], []
         for i in range(self.n_estimators):
             tree = DecisionTreeRegressor(featuresCol=self.features, labelCol="__y", weightCol="__w",
                                          maxDepth=self.max_depth, seed=self.seed + i).fit(h)
             p = tree.transform(h).withColumn("__err", F.abs(F.col("prediction") - F.col("__y")))
-            emax = p.agg(F.max("__err")).first()[0]
+            total, emax, plain, square = p.agg(F.sum("__w"), F.max("__err"), F.sum(F.col("__w") * F.col("__err")),
+                                               F.sum(F.col("__w") * F.col("__err") * F.col("__err"))).first()
             if not emax:
                 trees.append(tree)
                 weights.append(1.0)
                 break
             p = p.withColumn("__e", self._loss(F.col("__err"), emax))
-            s = p.agg((F.sum(F.col("__w") * F.col("__e")) / F.sum("__w")).alias("avg")).first()
-            avg = s["avg"]
+            if self.loss == "exponential":  # needs the largest error first
+                avg = p.agg(F.sum(F.col("__w") * F.col("__e"))).first()[0] / total
+            else:
+                avg = (square / emax / emax if self.loss == "square" else plain / emax) / total
             if avg <= 0:
                 trees.append(tree)
                 weights.append(1.0)
@@ -90,7 +95,17 @@ class AdaBoostR2:
             beta = avg / (1.0 - avg)
             trees.append(tree)
             weights.append(self.learning_rate * math.log(1.0 / beta))
-            upd = p.withColumn("__w", F.col("__w") * F.pow(F.lit(beta), (1 - F.col("__e")) * self.learning_rate))
-            total = upd.agg(F.sum("__w")).first()[0]
-            h = materialize(upd.select(self.features, "__y", (F.col("__w") / F.lit(total)).alias("__w")), "adaboost")
+            w = F.col("__w") / F.lit(total) * F.pow(F.lit(beta), (1 - F.col("__e")) * self.learning_rate)
+            h = p.select(self.features, "__y", w.alias("__w"))
+            if (i + 1) % CUT == 0:
+                h = materialize(h, "adaboost")
+                release(stored)
+                stored = h
+            h.cache()
+            if cached is not None:
+                h.count()  # filled from the round before, which then can go
+                cached.unpersist()
+            cached = h
+        if cached is not None:
+            cached.unpersist()
         return AdaBoostR2Model(trees, weights, self.features)

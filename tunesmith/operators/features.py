@@ -3,10 +3,8 @@
 Statistics that need the whole column (median, quantiles, most frequent value) are computed
 without pulling a column into one task:
 
-* quantiles: per (column, value) counts (map-side combined), a chunked prefix sum of those
-  counts in value order, then the two order statistics around ``p*(n-1)`` are picked by a
-  range join against a tiny (column, rank) table -> exact, linear interpolation (numpy/SQL
-  ``quantile_cont`` semantics). MLlib's Imputer/RobustScaler use approximate quantiles.
+* quantiles: bracketed by a sketch, then counted (``operators.quantiles``) -> exact, linear
+  interpolation (numpy/SQL ``quantile_cont`` semantics). MLlib's Imputer/RobustScaler are approximate.
 * most frequent: counts per (column, value), then ``min_by(value, (-count, value))`` per
   column (ties -> smallest value), both partially aggregated.
 
@@ -26,7 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunesmith.operators.quantiles import grouped_quantiles
 from tunesmith.operators.scan import running
+from tunesmith.session import materialize
 
 
 def missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -37,36 +37,9 @@ def missing_as_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df
 
 
-def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value DOUBLE) for every non-missing cell of ``cols``."""
-    df = missing_as_null(df, cols)
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols]))
-    return df.select(cells.alias("__c")).select("__c.*").where(F.col("value").isNotNull())
-
-
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return _long_values(df, cols).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: (column, prob, value)."""
-    counts = value_counts(df, cols)
-    cum = running(counts, ["column"], ["value"], [("__cum", "sum", "n")])
-    cum = cum.withColumn("__prev", F.col("__cum") - F.col("n"))
-    totals = counts.groupBy("column").agg(F.sum("n").alias("__total"))
-    # (column, prob, rank) for the two order statistics around p*(n-1): #cols x #probs x 2 rows
-    targets = totals.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-    targets = targets.withColumn("__h", F.col("prob") * (F.col("__total") - 1))
-    targets = targets.withColumn("__ranks", F.array(F.floor("__h"), F.ceil("__h"))).select(
-        F.col("column").alias("__tcol"), "prob", "__h", F.posexplode("__ranks").alias("__side", "__rank"))
-    picked = cum.join(F.broadcast(targets), (F.col("column") == F.col("__tcol")) &
-                      (F.col("__prev") <= F.col("__rank")) & (F.col("__rank") < F.col("__cum")), "inner") \
-                .select("column", "prob", "__h", "__side", "value")
-    lo = picked.where(F.col("__side") == 0).select("column", "prob", "__h", F.col("value").alias("__lo"))
-    hi = picked.where(F.col("__side") == 1).select("column", "prob", F.col("value").alias("__hi"))
-    out = lo.join(hi, ["column", "prob"])
-    return out.select("column", "prob",
-                      (F.col("__lo") + (F.col("__h") - F.floor("__h")) * (F.col("__hi") - F.col("__lo"))).alias("value"))
+    return grouped_quantiles(df, [], cols, probs)
 
 
 def most_frequent(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -180,27 +153,37 @@ def polynomial_terms(cols: Sequence[str], degree: int = 2, include_bias: bool =
     return terms
 
 
-def one_hot_long(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """dense one-hot of categorical columns with unknown -> all zeros, via
-    StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast=False, keep) minus the unknown slot.
-    Emitted long: (key…, feature 'col=value', value 0/1)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.functions import vector_to_array
-
-    idx = [StringIndexer(inputCol=c, outputCol=f"__i_{c}", stringOrderType="alphabetAsc", handleInvalid="keep") for c in cols]
-    ohe = OneHotEncoder(inputCols=[f"__i_{c}" for c in cols], outputCols=[f"__v_{c}" for c in cols],
-                        dropLast=False, handleInvalid="keep")
-    model = Pipeline(stages=[*idx, ohe]).fit(df)
-    out = model.transform(df)
-    parts = []
-    for stage, c in zip(model.stages[:len(cols)], cols):
-        labels = stage.labels  # the categories of one column (small)
-        arr = F.slice(vector_to_array(F.col(f"__v_{c}")), 1, len(labels))
-        names = F.array(*[F.lit(f"{c}={v}") for v in labels])
-        parts.append(F.arrays_zip(names.alias("feature"), arr.alias("value")))
-    long = out.select(*key, F.explode(F.flatten(F.array(*parts))).alias("__f"))
-    return long.select(*key, F.col("__f.feature").alias("feature"), F.col("__f.value").alias("value"))
+def categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """the stored dictionary (column, value, position, n): the distinct present values of each column as text, numbered
+    from 0 in their order, with their counts. Nothing of it is on the driver, so a column may have millions."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    counts = df.select(cells.alias("c")).select("c.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = running(materialize(counts, "category-counts"), ["column"], ["value"], [("position", "count", None)])
+    return materialize(placed.select("column", "value", (F.col("position") - 1).alias("position"), "n"), "categories")
+
+
+def one_hot_sparse(df: DataFrame, key: Sequence[str], cols: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """the ones of a one-hot encoding, (key..., column, position): one row for each present value that the
+    dictionary knows; missing and unknown values have none (all zeros)."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols]))
+    rows = df.select(*key, cells.alias("__c")).select(*key, "__c.*").where("value is not null")
+    known = dictionary.select(F.col("column").alias("__column"), F.col("value").alias("__value"), "position")
+    return rows.join(known, (F.col("column") == F.col("__column")) & (F.col("value") == F.col("__value"))).select(*key, "column", "position")
+
+
+def one_hot_long(df: DataFrame, key: Sequence[str], cols: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """dense one-hot of categorical columns with unknown -> all zeros, long: (key…, feature 'col=value', value 0/1).
+
+    The ones come from the dictionary; each row then meets the dictionary of its columns, so the output has rows x
+    categories rows. ``one_hot_sparse`` is the form for many categories.
+    """
+    dictionary = categories(df, cols) if dictionary is None else dictionary
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in cols]))
+    rows = df.select(*key, cells.alias("__c")).select(*key, "__c.*")
+    names = dictionary.select(F.col("column").alias("__column"), F.col("value").alias("__value"))
+    one = F.coalesce(F.col("text") == F.col("__value"), F.lit(False)).cast("double")
+    return rows.join(names, F.col("column") == F.col("__column")) \
+        .select(*key, F.concat_ws("=", "column", "__value").alias("feature"), one.alias("value"))
 
 
 def pca_project(df: DataFrame, cols_or_vector: str, k: int, out_prefix: str = "pc_") -> DataFrame:

@@ -5,13 +5,11 @@ Running best score, cumulative time, iteration numbers, running means, step fill
 an ordered group. A plain ``Window.partitionBy(group).orderBy(...)`` puts a whole group
 into one task, so a single hot run (a third of the log) would land on one executor.
 
-``running`` cuts every group into contiguous *chunks* along the first order key
-(``k = ceil(rows / rows_per_chunk)`` equal-width ranges between the group's min and max),
-scans the chunks in parallel with a window partitioned by ``(group, chunk)``, then
-prefix-combines the per-chunk totals (a table of ``sum_g k_g`` rows) and adds them back.
-Shuffles: one small aggregate (per-group count/min/max) and one hash exchange on
-``(group, chunk)``; the chunk totals reuse that exchange. The per-group stats are looked at
-first (one small job): if no group exceeds ``rows_per_chunk`` the plain window is used.
+``running`` takes one path for groups of all sizes. Rows of a group belong to chunks of about ``rows_per_chunk`` rows,
+in order; each chunk is scanned by itself (window by group and chunk), the chunks' totals are added up (a
+table of one row for each group and chunk) and joined back. A group that fits has one chunk. Rows of larger groups are
+dealt by range over (group, order keys, a number of the row), whose boundaries Spark samples from the rows
+themselves, and are stored with their range as chunk: so neither outliers nor equal, NULL or NaN keys fill a chunk.
 """
 
 from __future__ import annotations
@@ -31,15 +29,6 @@ def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _numeric_position(df: DataFrame, c: Column) -> Column:
-    dtype = df.select(c).schema[0].dataType
-    if isinstance(dtype, T.TimestampType) or isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    return c.cast("double")
-
-
 _DEFAULTS = {
     T.StringType: "", T.BooleanType: False, T.TimestampType: "1970-01-01 00:00:00",
     T.TimestampNTZType: "1970-01-01 00:00:00", T.DateType: "1970-01-01",
@@ -62,6 +51,24 @@ def _group_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]
     return df, keys
 
 
+def _cut(rows: DataFrame, keys: list[str], order: list[str], target: int) -> DataFrame:
+    """``rows`` with ``__chunk``: 0 in groups of at most ``target`` rows, else the row's range.
+
+    The ranges of the large groups are stored: both the scan and the totals read them, and boundaries that
+    were sampled anew could differ.
+    """
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > target)
+    n = large.agg(F.sum("__n")).first()[0]
+    whole = rows.withColumn("__chunk", F.lit(0))
+    if n is None:
+        return whole
+    large = session.materialize(large.select(*keys), "scan-large-groups")
+    ranges = max(2, -(-n // target))
+    cut = rows.join(large, keys, "left_semi").withColumn("__row", F.monotonically_increasing_id()) \
+        .repartitionByRange(ranges, *keys, *order, "__row").withColumn("__chunk", F.spark_partition_id()).drop("__row")
+    return whole.join(large, keys, "left_anti").unionByName(session.materialize(cut, "scan-chunks"))
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -74,8 +81,8 @@ def running(
     Parameters
     ----------
     by:     group columns (may be empty: one global order).
-    order:  order columns / Columns; ties must be broken by the caller for determinism.
-            The first one must be numeric, date or timestamp (it defines the chunks).
+    order:  order columns / Columns, of any type that Spark orders, ascending with NULL first; ties must be
+            broken by the caller for determinism.
     specs:  ``(name, kind, column)`` with kind in sum/max/min/count/last/mean; ``column``
             may be None for ``count`` (row number). ``last`` = last non-null value so far.
     rows_per_chunk: chunk size; defaults to the session setting ``tunesmith.scan.rowsPerChunk``.
@@ -113,25 +120,8 @@ def running(
         tmp = f"__ord{j}"
         prepared = prepared.withColumn(tmp, o)
         order_names.append(tmp)
-    pos = _numeric_position(prepared, F.col(order_names[0]))
-    prepared = prepared.withColumn("__pos", pos)
-
-    # 1. per-group size and range of the first order key -> number of chunks.
-    stats = prepared.groupBy(*gkeys).agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__lo"), F.max("__pos").alias("__hi")
-    ).withColumn("__k", F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(target))).cast("long"))
-    # Adaptive plan (decided on the per-group stats, one small job): when no group needs more
-    # than one chunk, a plain per-group window is exact and needs one shuffle only.
-    if stats.agg(F.max("__k")).first()[0] in (None, 1):
-        return plain_running(df, by, order, specs)
-    chunked = prepared.join(stats.drop("__n"), on=gkeys, how="inner")
-    width = F.col("__hi") - F.col("__lo")
-    chunk = (
-        F.when((F.col("__k") <= 1) | (width <= 0) | F.col("__pos").isNull(), F.lit(0))
-        .otherwise(F.least(F.col("__k") - 1, F.floor((F.col("__pos") - F.col("__lo")) / F.when(width > 0, width) * F.col("__k"))))
-        .cast("long")
-    )
-    chunked = chunked.withColumn("__chunk", chunk).drop("__lo", "__hi", "__k", "__pos")
+    # 1. the chunk of every row.
+    chunked = _cut(prepared, gkeys, order_names, target)
 
     # 2. local scan inside each chunk.
     ordered = [F.col(o).asc_nulls_first() for o in order_names]

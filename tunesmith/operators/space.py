@@ -15,6 +15,7 @@ values stay a table that is joined on (dimension, position), and Spark broadcast
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tunesmith.operators.scan import running
 from tunesmith.session import materialize
 
 SPACE_SCHEMA = "model string, dim int, param string, ix int, value string, value_type string"
@@ -70,37 +72,29 @@ def space_from_dict(spark: SparkSession, model: str, params: Mapping[str, Sequen
 
 
 def positions(values: DataFrame, key: Column) -> DataFrame:
-    """``values`` with ``ix``, the 0-based position in the order of the unique ``key``.
-
-    The rows are sorted by ranges; a row's position is its place in its range plus the sizes of the
-    ranges before (one row per range), so no task sorts all values.
-    """
-    row = F.monotonically_increasing_id()
-    ranged = materialize(values.repartitionByRange(key).sortWithinPartitions(key).withColumn("__at", row), "ranked-values")
-    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return ranged.withColumn("__part", part).join(before, "__part") \
-        .withColumn("ix", (F.col("__before") + place).cast("int")).drop("__at", "__part", "__before")
+    """``values`` with ``ix``, the 0-based position in the order of the unique ``key`` (a prefix count, so no task
+    sorts all values)."""
+    ranked = running(values.withColumn("__key", key), [], ["__key"], [("__n", "count", None)])
+    return ranked.withColumn("ix", (F.col("__n") - 1).cast("int")).drop("__key", "__n")
 
 
 def space_from_columns(df: DataFrame, model: str, columns: Sequence[str]) -> DataFrame:
     """A space whose dimensions are the distinct values of ``columns`` (ordered by value:
-    numerically for numeric columns, byte-wise for strings)."""
-    parts = []
+    numerically for numeric columns, byte-wise for strings). One pass over ``df`` for all columns."""
+    cells, kinds = [], []
     for d, c in enumerate(columns):
         dtype = df.schema[c].dataType
-        numeric = isinstance(dtype, T.NumericType)
-        vt = "int" if isinstance(dtype, T.IntegralType) else ("float" if numeric else "str")
-        vals = df.select(F.col(c).alias("__v")).where(F.col("__v").isNotNull()).distinct()
-        vals = positions(vals, F.col("__v") if numeric else F.col("__v").cast("string"))
-        parts.append(vals.select(
-            F.lit(model).alias("model"), F.lit(d).alias("dim"), F.lit(c).alias("param"), "ix",
-            F.col("__v").cast("string").alias("value"), F.lit(vt).alias("value_type")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        whole, numeric = isinstance(dtype, T.IntegralType), isinstance(dtype, T.NumericType)
+        kinds.append("int" if whole else "float" if numeric else "str")
+        cells.append(F.struct(
+            F.lit(d).alias("dim"), F.when(F.lit(whole), F.col(c)).cast("long").alias("whole") if whole else F.lit(None).cast("long").alias("whole"),
+            (F.col(c).cast("double") if numeric and not whole else F.lit(None).cast("double")).alias("real"), F.col(c).cast("string").alias("value")))
+    values = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null").distinct()
+    order = ["whole", "real", F.when(F.col("whole").isNull() & F.col("real").isNull(), F.col("value"))]
+    ranked = running(materialize(values, "space-values"), ["dim"], order, [("__n", "count", None)])
+    names, types = (F.array(*[F.lit(x) for x in xs]) for xs in (columns, kinds))
+    return ranked.select(F.lit(model).alias("model"), "dim", F.get(names, "dim").alias("param"), (F.col("__n") - 1).cast("int").alias("ix"),
+                         "value", F.get(types, "dim").alias("value_type"))
 
 
 def dims(space: DataFrame) -> DataFrame:
@@ -221,27 +215,66 @@ def encode(settings: DataFrame, sp: Space, columns: Sequence[str] | None = None)
     return out.withColumn("grid_id", F.when(valid, sp.grid_id(F.col("ix"))))
 
 
-def drawn(spark: SparkSession, sp: Space, seed: int, draws: int) -> DataFrame:
-    """(grid_id, draw): the distinct settings among draws 0, 1, 2, ... with the draw that first hit each.
+ROUNDS = 6
+
+
+def _round(seed: int, k: int, value: Column) -> Column:
+    """Key of round k for one half: the first 60 bits of an MD5."""
+    text = F.concat(F.lit(f"{seed}:{k}:"), value.cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _feistel(x: Column, a: int, b: int, seed: int) -> Column:
+    """A permutation of [0, a * b): the halves x mod a and x div a change in turn, each keyed by the other."""
+    def bind(value, body):  # one evaluation however often the body reads it
+        return F.transform(F.array(value), lambda v: body(v))[0]
 
-    Draw i hits setting md5(seed:i) mod N, so nothing is enumerated and both engines agree (spaces
-    of up to 2^60 settings).
+    def step(k):
+        def left(h):
+            return F.struct(((h["l"] + _round(seed, k, h["r"])) % F.lit(a).cast("long")).alias("l"), h["r"].alias("r"))
+
+        def right(h):
+            return F.struct(h["l"].alias("l"), ((h["r"] + _round(seed, k, h["l"])) % F.lit(b).cast("long")).alias("r"))
+
+        return right if k % 2 else left
+
+    halves = F.struct((x % F.lit(a).cast("long")).alias("l"), F.call_function("div", x, F.lit(a).cast("long")).alias("r"))
+    for k in range(ROUNDS):
+        halves = bind(halves, step(k))
+    return bind(halves, lambda h: h["r"] * F.lit(a).cast("long") + h["l"])
+
+
+def nth_draw(counter: Column, size: int, seed: int) -> Column:
+    """The setting that draw ``counter`` (0 <= counter < size) hits: draws 0, 1, 2, ... are all settings once each.
+
+    A Feistel network permutes a domain of a * b >= size; what falls outside goes through it again (cycle
+    walking). At most a - 1 numbers lie outside, so a walk of a steps always ends inside; of 64 and more such steps the
+    first 16 are taken, of which more are needed with a chance under 64**-16.
     """
-    i = spark.range(draws).withColumnRenamed("id", "draw")
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 15), 16, 10).cast("long")
-    return i.select((h % F.lit(sp.size).cast("long")).alias("grid_id"), "draw").groupBy("grid_id").agg(F.min("draw").alias("draw"))
+    a = max(1, math.isqrt(max(size - 1, 0)) + 1)
+    b = max(1, -(-size // a))
+    once = _feistel(counter.cast("long"), a, b, seed)
+    walks = a if a < 64 else 16
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walks)), once, lambda x, _: F.when(x < size, x).otherwise(_feistel(x, a, b, seed)))
+
+
+def draws(spark: SparkSession, sp: Space, first: int, n: int, seed: int) -> DataFrame:
+    """(grid_id, draw): draws first .. first + n - 1 of a seed, as far as the grid has settings; nothing is enumerated."""
+    i = spark.range(first, max(first, min(first + n, sp.size))).withColumnRenamed("id", "draw")
+    return i.select(nth_draw(F.col("draw"), sp.size, seed).alias("grid_id"), "draw")
 
 
 def draw(spark: SparkSession, sp: Space, n: int, seed: int, tried: DataFrame | None = None) -> DataFrame:
-    """The first ``n`` distinct settings of the seeded draws (all that are left, if fewer) in the order
-    of their draw, as (grid_id, draw, ix); ``tried`` settings are passed over (G5)."""
-    draws = 2 * n + 16
-    while True:
-        hit = drawn(spark, sp, seed, draws)
-        found = hit if tried is None else untried(hit, tried)
-        if found.count() >= n or hit.count() >= sp.size:
-            break
-        draws *= 2
+    """The first ``n`` settings of the seeded draws (all that are left, if fewer) in the order of their draw,
+    as (grid_id, draw, ix); ``tried`` settings are passed over (G5).
+
+    Draws never repeat, so n plus the number of tried settings are enough, also when few settings are left.
+    """
+    if tried is None:
+        found = draws(spark, sp, 0, n, seed)
+    else:
+        tried = tried.select("grid_id").distinct()
+        found = untried(draws(spark, sp, 0, n + tried.count(), seed), tried)
     return found.orderBy("draw").limit(n).withColumn("ix", sp.digits(F.col("grid_id")))
 
 
@@ -250,20 +283,28 @@ def untried(grid: DataFrame, tried: DataFrame) -> DataFrame:
     return grid.join(tried.select("grid_id").distinct(), "grid_id", "left_anti")
 
 
+NEIGHBOR_ROWS = 1_000  # positions that one row stands for at most while neighbours are generated
+
+
 def neighbors(settings: DataFrame, sp: Space) -> DataFrame:
     """Every setting that differs in exactly one parameter, as (…, param, neighbor_id).
 
-    Generated per row from the space definition (count = sum(len - 1)); no self-join of the grid.
+    Generated per row from the space definition (count = sum(len - 1)); no self-join of the grid. Dimensions are cut
+    into stretches of positions first, so that a row never carries an array of a whole long dimension.
     """
-    entries = []
-    for k, d in enumerate(sp.dims):
-        cur = F.col("ix")[k]
-        others = F.filter(F.sequence(F.lit(0), F.lit(d.length - 1)), lambda j: j != cur)
-        entries.append(F.transform(others, lambda j: F.struct(
-            F.lit(d.param).alias("param"),
-            (F.col("grid_id") + (j - cur).cast("long") * F.lit(d.stride).cast("long")).alias("neighbor_id"))))
-    out = settings.withColumn("__nb", F.explode(F.flatten(F.array(*entries))))
-    return out.withColumn("param", F.col("__nb.param")).withColumn("neighbor_id", F.col("__nb.neighbor_id")).drop("__nb")
+    def stretches(k: int, length: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(length - 1), F.lit(NEIGHBOR_ROWS)), lambda at: F.struct(F.lit(k).alias("k"), at.alias("from")))
+
+    parts = [stretches(k, d.length) for k, d in enumerate(sp.dims)]
+    of = {name: F.array(*[F.lit(x) for x in xs]) for name, xs in (
+        ("length", [d.length for d in sp.dims]), ("param", sp.params))}
+    stride = F.array(*[F.lit(d.stride).cast("long") for d in sp.dims])
+    out = settings.withColumn("__part", F.explode(F.concat(*parts)))
+    k, start = F.col("__part.k"), F.col("__part.from")
+    ends = F.least(F.get(of["length"], k), start + NEIGHBOR_ROWS) - 1
+    out = out.select("*", F.get("ix", k).alias("__own"), F.explode(F.sequence(start, ends)).alias("__other")).where("__other <> __own")
+    move = (F.col("__other") - F.col("__own")).cast("long") * F.get(stride, k)
+    return out.withColumns({"param": F.get(of["param"], k), "neighbor_id": F.col("grid_id") + move}).drop("__part", "__own", "__other")
 
 
 def experiment_matrix(spark: SparkSession, dimensions: Mapping[str, DataFrame]) -> DataFrame:
@@ -322,22 +363,45 @@ RF_PARAMS = {
 }
 
 
+@dataclass(frozen=True)
+class Rule:
+    """An item of a conditional list: kept where ``condition`` (SQL over the meta-features) holds, else its alternative, if any."""
+    item: object
+    condition: str
+    alternatives: tuple = ()  # of one: () is no alternative, (None,) the null item
+
+
+# The preprocessing alternatives of the reference config.
+PREPROCESSOR_RULES = (
+    Rule([DUAL_IMPUTER], "any_missing", (None,)),
+    Rule([ONE_HOT], "not any_missing and any_categorical"),
+    Rule([DUAL_IMPUTER, ONE_HOT], "any_missing and any_categorical"),
+    Rule([DUAL_IMPUTER, PCA_STEP], "any_missing", ([PCA_STEP],)),
+)
+
+
+def rule_table(meta: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., position, item, condition, alternative): the rules with their conditions evaluated against every row
+    of ``meta`` (a few flags or counts of a table; ``keys`` name the table). A condition that is NULL does not hold."""
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(json.dumps(r.item)).alias("item"),
+                     F.coalesce(F.expr(r.condition).cast("boolean"), F.lit(False)).alias("condition"),
+                     F.lit(json.dumps(r.alternatives[0]) if r.alternatives else None).cast("string").alias("alternative"))
+            for i, r in enumerate(rules)]
+    return meta.select(*keys, F.explode(F.array(*rows)).alias("r")).select(*keys, "r.*")
+
+
+def conditional_items(meta: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., ix, value, value_type): for each row of ``meta`` the items whose condition holds and the alternatives of
+    the others, in the order of the rules. Items are JSON; ``null`` stands for no step."""
+    kept = rule_table(meta, rules, keys).select(*keys, "position", F.when(F.col("condition"), F.col("item")).otherwise(F.col("alternative")).alias("value"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("position")) - 1  # at most len(rules) rows each
+    kept = kept.where("value is not null").select(*keys, place.cast("int").alias("ix"), "value")
+    return kept.withColumn("value_type", F.when(F.col("value") == "null", F.lit("none")).otherwise(F.lit("list")))
+
+
 def conditional_preprocessors(meta: DataFrame) -> DataFrame:
-    """The ``@preprocessor`` alternatives kept by the meta-feature flags, in list order:
-    (DualImputer if missing else none), (OneHotEncoder if categorical and not missing),
-    ([DualImputer, OneHotEncoder] if both), ([DualImputer, PCA] if missing else PCA).
-    Emits (ix, value, value_type) with the steps as a JSON list (or null for none)."""
-    m, c = F.col("any_missing"), F.col("any_categorical")
-    di, ohe, pc = F.lit(json.dumps([DUAL_IMPUTER])), F.lit(json.dumps([ONE_HOT])), F.lit(json.dumps([PCA_STEP]))
-    items = F.array(
-        F.when(m, di).otherwise(F.lit("null")),
-        F.when(~m & c, ohe),
-        F.when(m & c, F.lit(json.dumps([DUAL_IMPUTER, ONE_HOT]))),
-        F.when(m, F.lit(json.dumps([DUAL_IMPUTER, PCA_STEP]))).otherwise(pc),
-    )
-    kept = meta.select(F.posexplode(F.filter(items, lambda x: x.isNotNull())).alias("ix", "value"))
-    return kept.select(F.col("ix").cast("int"), "value",
-                       F.when(F.col("value") == "null", F.lit("none")).otherwise(F.lit("list")).alias("value_type"))
+    """The ``@preprocessor`` alternatives of one table: (ix, value, value_type)."""
+    return conditional_items(meta, PREPROCESSOR_RULES)
 
 
 def config_space(spark: SparkSession, meta: DataFrame, model: str = "RandomForestClassifier") -> DataFrame:

@@ -64,6 +64,31 @@ def leaf_table(spark, model, min_variance: float = 0.0) -> DataFrame:
         F.greatest(var, F.lit(float(min_variance))).alias("leaf_var"))
 
 
+def shared_leaves(leaves: DataFrame, n_trees: int):
+    """A leaf table (tree, leaf_ix, leaf_mean, leaf_var; numbers from 0 without gaps) as arrays for all tasks: where each
+    tree starts, means, and variances plus squared means. At most trees x history rows."""
+    table = leaves.orderBy("tree", "leaf_ix").select("tree", "leaf_mean", "leaf_var").toArrow()
+    tree, mean, var = (table.column(k).to_numpy() for k in range(3))
+    start = np.searchsorted(tree, np.arange(n_trees))
+    return leaves.sparkSession.sparkContext.broadcast((start, mean, var + mean * mean))
+
+
+def mu_sigma_of_leaves(assigned: DataFrame, shared, key: str = "grid_id") -> DataFrame:
+    """M2, map-only: (key, mu, sigma) of rows (key, leaf: the number of the row's leaf in every tree): the mean of the leaf
+    means, and the spread of a draw from a random tree's leaf."""
+    def score(batches):
+        start, mean, square = shared.value
+        for batch in batches:
+            at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(start)).astype(np.int64) + start
+            mu = mean[at].mean(axis=1)
+            sigma = np.sqrt(np.maximum(square[at].mean(axis=1) - mu * mu, 0.0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mu), pa.array(sigma)], names=[key, "mu", "sigma"])
+
+    schema = T.StructType([T.StructField(key, assigned.schema[key].dataType), T.StructField("mu", T.DoubleType()),
+                           T.StructField("sigma", T.DoubleType())])
+    return assigned.select(key, "leaf").mapInArrow(score, schema)
+
+
 class ForestScorer:
     """M2 for a fitted forest: its leaves (at most trees x history rows, 16 bytes each) are read once
     per fit and reused for every candidate set of the step (pool, neighbours, realize)."""
@@ -71,29 +96,14 @@ class ForestScorer:
     def __init__(self, model, min_variance: float = 0.0):
         spark = SparkSession.getActiveSession()
         self.model = model
-        leaves = leaf_table(spark, model, min_variance).orderBy("tree", "leaf_ix").select("tree", "leaf_mean", "leaf_var").toArrow()
-        tree, mean, var = (leaves.column(k).to_numpy() for k in range(3))
-        start = np.searchsorted(tree, np.arange(model.getNumTrees))
-        self.shared = spark.sparkContext.broadcast((start, mean, var + mean * mean))
+        self.shared = shared_leaves(leaf_table(spark, model, min_variance), model.getNumTrees)
 
     def mu_sigma(self, candidates: DataFrame, key: str = "grid_id", features: str = "features") -> DataFrame:
         """(key, mu, sigma) per candidate."""
         # leaf indices only: computing the unused prediction column would walk every tree twice
         leafer = self.model.copy().setLeafCol("leaf").setPredictionCol("").setFeaturesCol(features)
         assigned = leafer.transform(candidates.select(key, features)).select(key, vector_to_array("leaf", "float32").alias("leaf"))
-        shared = self.shared
-
-        def score(batches):
-            start, mean, square = shared.value
-            for batch in batches:
-                at = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(start)).astype(np.int64) + start
-                mu = mean[at].mean(axis=1)
-                sigma = np.sqrt(np.maximum(square[at].mean(axis=1) - mu * mu, 0.0))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(mu), pa.array(sigma)], names=[key, "mu", "sigma"])
-
-        schema = T.StructType([T.StructField(key, candidates.schema[key].dataType), T.StructField("mu", T.DoubleType()),
-                               T.StructField("sigma", T.DoubleType())])
-        return assigned.mapInArrow(score, schema)
+        return mu_sigma_of_leaves(assigned, self.shared, key)
 
 
 def forest_mu_sigma(model, candidates: DataFrame, key: str = "grid_id", features: str = "features",
@@ -134,6 +144,16 @@ def time_model(name: str, seed: int = 42):
     raise ValueError(f"no time surrogate {name!r}; known: {', '.join(TIME_MODELS)}")
 
 
+SMALL_HISTORY = 100_000  # rows up to which a history is fitted from one partition
+
+
+def held(hist: DataFrame) -> DataFrame:
+    """A cached history, in one partition if it is small: boosting runs hundreds of jobs over it, whose tasks would
+    otherwise each hold a few rows."""
+    few = hist.limit(SMALL_HISTORY + 1).count() <= SMALL_HISTORY
+    return (hist.coalesce(1) if few else hist).cache()
+
+
 def fit_score_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
     """Fit a score surrogate; the result has ``mu_sigma(candidates, key, features)``."""
     model = score_model(name, seed).setLabelCol(label).fit(hist)
@@ -151,5 +171,9 @@ class _SparkPredictor:
 
 def fit_time_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
     """Fit a running-time model; the result has ``predict(candidates, key, out)``."""
-    model = time_model(name, seed).setLabelCol(label).fit(hist)
+    hist = held(hist)
+    try:
+        model = time_model(name, seed).setLabelCol(label).fit(hist)
+    finally:
+        hist.unpersist()
     return model if hasattr(model, "predict") and not hasattr(model, "transform") else _SparkPredictor(model)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tunesmith.functions.stats import avg_tie_rank
+from tunesmith.operators.quantiles import grouped_quantiles, pivoted
 from tunesmith.operators.scan import running
 from tunesmith.session import materialize
 from tunesmith.sources.trial_log import RUN_KEYS
@@ -100,8 +101,15 @@ def best_trial(df: DataFrame, by: Sequence[str] = RUN_KEYS) -> DataFrame:
 
 def iteration_stats(df: DataFrame, statistic: str = "mean", columns: Sequence[str] = NUMERIC_TRIAL_COLUMNS,
                     by: Sequence[str] = ("method", "iteration")) -> DataFrame:
-    """Group by (method, iteration) and take mean / median / max of every numeric column."""
-    fn = {"mean": F.avg, "median": F.median, "max": F.max}[statistic]
+    """Group by (method, iteration) and take mean / median / max of every numeric column. Medians are exact and
+    keep no group in one buffer."""
+    if statistic == "median":
+        found = pivoted(grouped_quantiles(df, by, columns, [0.5]), by, columns)
+        # groups whose columns are all missing have no quantile
+        groups = df.select(*by).distinct()
+        same = [F.col(f"g.{c}").eqNullSafe(F.col(f"q.{c}")) for c in by]
+        return groups.alias("g").join(found.alias("q"), same, "left").select(*[f"g.{c}" for c in by], *[f"q.{c}" for c in columns])
+    fn = {"mean": F.avg, "max": F.max}[statistic]
     return df.groupBy(*by).agg(*[fn(c).alias(c) for c in columns])
 
 
@@ -173,18 +181,62 @@ def step_fill(trials: DataFrame, runs: DataFrame, npoints: int, step: float, tim
     return pts.select(*by, "p", (F.col("p") * F.lit(float(step))).alias("t"), "score")
 
 
-def seed_average(curves: DataFrame, digits: int | None = None) -> DataFrame:
-    """Mean curve over the seeds present for each (method, task)."""
-    out = curves.groupBy("method", "task", "p", "t").agg(F.avg("score").alias("score"))
-    return out.withColumn("score", F.round("score", digits)) if digits else out
+def step_changes(trials: DataFrame, npoints: int, step: float, time_col: str = "cumulative_time", score_col: str = "best_score",
+                 by: Sequence[str] = RUN_KEYS, order: str = "iteration") -> DataFrame:
+    """(by..., p, delta): the changes of every run's step curve (T13/T14), which starts at 0: one row for each point at
+    which the score of the last trial so far differs from the one before."""
+    by = list(by)
+    b = trials.select(*by, bucket_index(F.col(time_col), step).alias("p"), time_col, order, score_col).where(F.col("p") < npoints)
+    last = b.groupBy(*by, "p").agg(F.max_by(F.col(score_col), F.struct(F.col(time_col), F.col(order))).alias("score"))
+    return curve_changes(last, by)
+
+
+def curve_changes(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by..., p, delta) of step curves given by their values (by..., p, score); at most one row a point of the horizon."""
+    before = F.lag("score", 1, 0.0).over(Window.partitionBy(*by).orderBy("p"))
+    return points.select(*by, "p", (F.coalesce("score", F.lit(0.0)) - F.coalesce(before, F.lit(0.0))).alias("delta")).where("delta <> 0")
 
 
-def task_average(seed_curves: DataFrame, digits: int | None = None) -> DataFrame:
-    """Mean of the per-task seed means (not pooled over seeds)."""
-    out = seed_curves.groupBy("method", "p", "t").agg(F.avg("score").alias("score"))
+def mean_curve(changes: DataFrame, members: DataFrame, by: Sequence[str], digits: int | None = None) -> DataFrame:
+    """(by..., p, score): the mean of the step curves of each group, at the points where one of them changes.
+
+    Changes of all members are added up by point and then along the points; the mean divides by the group's number of
+    ``members`` (by..., more), those without any change included.
+    """
+    by = list(by)
+    size = members.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("__members"))
+    sums = changes.groupBy(*by, "p").agg(F.sum("delta").alias("delta"))
+    total = running(sums, by, ["p"], [("total", "sum", "delta")])
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in by]
+    score = F.col("total") / F.col("__members")
+    out = total.alias("s").join(size.alias("m"), same).select(*[f"s.{c}" for c in by], "p", score.alias("score"))
     return out.withColumn("score", F.round("score", digits)) if digits else out
 
 
+def along_points(curves: DataFrame, members: DataFrame, by: Sequence[str], npoints: int, step: float) -> DataFrame:
+    """(by..., p, t, score): the curves at every point of the horizon, 0 before their first one."""
+    by = list(by)
+    start = members.select(*by).distinct().select(*by, F.lit(-1).cast("long").alias("p"), F.lit(0.0).alias("score"))
+    spans = curves.select(*by, "p", "score").unionByName(start)
+    until = F.coalesce(F.lead("p").over(Window.partitionBy(*by).orderBy("p")), F.lit(npoints).cast("long"))
+    spans = spans.select(*by, "score", F.greatest("p", F.lit(0).cast("long")).alias("from"), until.alias("until")).where("until > from")
+    points = spans.select(*by, F.explode(F.sequence(F.col("from"), F.col("until") - 1)).alias("p"), "score")
+    return points.select(*by, "p", (F.col("p") * F.lit(float(step))).alias("t"), "score")
+
+
+def averaged_curves(trials: DataFrame, runs: DataFrame, npoints: int, step: float, time_col: str, score_col: str,
+                    digits: int | None = None) -> DataFrame:
+    """(method, p, t, score): per method the mean over tasks of the mean over seeds of the runs' step curves.
+
+    All is done on changes: only the methods' curves are written out point by point.
+    """
+    task_runs = runs.select("method", "task", "seed")
+    tasks = runs.select("method", "task")
+    by_task = mean_curve(step_changes(trials, npoints, step, time_col, score_col), task_runs, ["method", "task"], digits)
+    by_method = mean_curve(curve_changes(by_task, ["method", "task"]), tasks, ["method"], digits)
+    return along_points(by_method, runs.select("method"), ["method"], npoints, step)
+
+
 def rank_methods(curves: DataFrame, ascending: bool = False) -> DataFrame:
     """Rank methods at every time point; ties averaged. ``ascending=False`` = best is 1
     (per-run path); the log-wide report ranks ascending (K10)."""
@@ -198,7 +250,7 @@ def running_mean(df: DataFrame, value: str, out: str, by: Sequence[str] = ("meth
 
 def leaderboard(trials: DataFrame, step: float = 1.0, startup: int = 5, time_key: str = "cumulative_time",
                 score_key: str = "best_score", digits: int = 9) -> DataFrame:
-    """T19 flagship: start-up removal -> step fill per run -> seed mean -> task mean -> rank
+    """T19 flagship: start-up removal -> changes of each run's step curve -> seed mean -> task mean -> rank
     (best = 1, ties averaged) -> running mean of the rank. Emits (method, t, score, rank, avg_rank).
 
     The time horizon is the global max of ``time_key`` over the whole log (before start-up
@@ -210,10 +262,8 @@ def leaderboard(trials: DataFrame, step: float = 1.0, startup: int = 5, time_key
     npts = n_points(max_time, step, "per_run")
     runs = trials.select(*RUN_KEYS).distinct()
     kept = remove_startup(trials, nr=startup, time_col=time_key)
-    curves = step_fill(kept, runs, npts, step, time_key, score_key)
-    by_task = seed_average(curves, digits)
     # methods x points rows: bounded by the horizon, cheap to write, read twice below
-    by_method = materialize(task_average(by_task, digits))
+    by_method = materialize(averaged_curves(kept, runs, npts, step, time_key, score_key, digits), "method-curves")
     ranked = rank_methods(by_method, ascending=False)
     smoothed = running_mean(ranked, "rank", "avg_rank")
     return smoothed.select("method", "t", "score", "rank", "avg_rank")
@@ -228,5 +278,4 @@ def time_buckets_logwide(trials: DataFrame, step: float = 1.0, time_key: str = "
         return trials.sparkSession.createDataFrame([], "method string, t double, score double")
     npts = n_points(float(int(max_time)), step, "logwide")
     runs = trials.select(*RUN_KEYS).distinct()
-    curves = step_fill(trials, runs, npts, step, time_key, score_key)
-    return task_average(seed_average(curves, digits), digits).select("method", "t", "score")
+    return averaged_curves(trials, runs, npts, step, time_key, score_key, digits).select("method", "t", "score")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunesmith.operators import features as FE
+from tunesmith.operators import scores
 from tunesmith.plans.catalog_space import FEATURES_SQL, lineitem_features
 from tunesmith.plans.registry import query
 from tunesmith.sources.tables import table
@@ -133,6 +134,34 @@ def one_hot(spark, sf_dir):
     return FE.one_hot_long(o, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
 
 
+ENCODED = ["o_orderstatus", "o_orderpriority", "o_orderdate"]
+
+
+def _orders_to_encode(spark, sf_dir):
+    """Two small categorical columns with holes, and one with a value for every order date."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", F.when(k % 9 != 0, F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate"))
+
+
+@query("one_hot_sparse", """
+WITH h AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS o_orderpriority,
+                  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate FROM orders),
+x AS (SELECT o_orderkey, 'o_orderstatus' AS "column", o_orderstatus AS v FROM h
+      UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM h
+      UNION ALL SELECT o_orderkey, 'o_orderdate', o_orderdate FROM h),
+d AS (SELECT "column", v, row_number() OVER (PARTITION BY "column" ORDER BY v) - 1 AS position, count(*) AS n FROM x
+      WHERE v IS NOT NULL GROUP BY "column", v)
+SELECT x.o_orderkey, x."column", d.position, d.n FROM x JOIN d ON d."column" = x."column" AND d.v = x.v""")
+def one_hot_sparse(spark, sf_dir):
+    """the ones of a one-hot encoding by a stored dictionary (position and count of each value), without labels on the driver."""
+    o = _orders_to_encode(spark, sf_dir)
+    dictionary = FE.categories(o, ENCODED)
+    ones = FE.one_hot_sparse(o, ["o_orderkey"], ENCODED, dictionary)
+    return ones.join(dictionary.select("column", "position", "n"), ["column", "position"]).select("o_orderkey", "column", "position", "n")
+
+
 POLY_COLS = ["l_quantity", "l_discount"]
 
 
@@ -176,6 +205,34 @@ def fold_accuracy(spark, sf_dir):
                                  F.round(F.avg((F.col("prediction") == F.col("label")).cast("double")), D).alias("accuracy"))
 
 
+@query("auc_by_class", """
+WITH x AS (SELECT vec_id, label, unnest(range(0, 10)) AS class, unnest(embedding[1:10]) AS score FROM embeddings),
+r AS (SELECT *, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0 AS rk FROM x),
+s AS (SELECT class, count(*) FILTER (label = class) AS positives, count(*) AS rows, sum(rk) FILTER (label = class) AS ranks FROM r GROUP BY class)
+SELECT CAST(class AS INT) AS class, positives, rows,
+       round((ranks - positives * (positives + 1) / 2.0) / (positives * (rows - positives)), 6) AS auc FROM s""")
+def auc_by_class(spark, sf_dir):
+    """Exact area under the ROC curve of every class against the rest, the first ten components being the scores."""
+    e = table(spark, sf_dir, "embeddings")
+    return scores.auc_by_class(e, F.col("label"), F.slice("embedding", 1, 10)).withColumn("auc", F.round("auc", D))
+
+
+RATES_SQL = """WITH p AS (SELECT label AS y, (list_position(embedding, list_max(embedding)) - 1) % 10 AS z FROM embeddings),
+c AS (SELECT c AS class, (SELECT count(*) FROM p WHERE y = c AND z = c) AS tp, (SELECT count(*) FROM p WHERE y <> c AND z = c) AS fp,
+             (SELECT count(*) FROM p WHERE y = c AND z <> c) AS fn FROM (SELECT DISTINCT y AS c FROM p UNION SELECT DISTINCT z FROM p))
+SELECT CAST(class AS DOUBLE) AS class, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp + fn AS BIGINT) AS support,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM c"""
+
+
+@query("class_rates", RATES_SQL)
+def class_rates(spark, sf_dir):
+    """Precision, recall and F1 of every class of a rule-based prediction, from one count by (label, prediction)."""
+    e = table(spark, sf_dir, "embeddings").withColumn("prediction", (F.array_position("embedding", F.array_max("embedding")) - 1) % 10)
+    found = scores.rates(scores.class_counts(e))
+    return found.select("class", "tp", "fp", "fn", "support", *[F.round(c, D).alias(c) for c in ("precision", "recall", "f1")])
+
+
 @query("predefined_splits", """
 WITH s AS (SELECT e.vec_id, f.fold, CASE WHEN f.fold = CAST(e.vec_id % 10 AS INT) THEN 'test' ELSE 'train' END AS role
            FROM embeddings e, (SELECT unnest(range(0, 10)) AS fold) f)

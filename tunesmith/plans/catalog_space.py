@@ -7,14 +7,18 @@ predicted seconds) are aggregates of `lineitem` per part.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunesmith.functions import stats as S
+from tunesmith.functions.readable import python_str
 from tunesmith.operators import acquisition as A
 from tunesmith.operators import space as G
 from tunesmith.plans.catalog_trials import TRIAL_LOG_SQL, RAW_SQL, trial_log
 from tunesmith.plans.registry import query
+from tunesmith.plans.spec import ALIASES, decoded
 from tunesmith.sources.tables import table
 from tunesmith.sources.trial_log import raw_trials_from_events
 
@@ -183,6 +187,79 @@ def conditional_space(spark, sf_dir):
     return G.conditional_preprocessors(_meta(spark, sf_dir))
 
 
+# ---- G8 / G11 on every nation as a table with flags of its own -------------------------------
+
+NATION_FLAGS_SQL = """fl AS (SELECT n_nationkey, n_nationkey % 2 = 0 AS any_missing, n_nationkey % 3 = 0 AS any_categorical FROM nation)"""
+
+
+def nation_flags(spark, sf_dir):
+    """Stand-in meta-features: all four combinations of the two flags occur."""
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", (k % 2 == 0).alias("any_missing"), (k % 3 == 0).alias("any_categorical"))
+
+
+@query("conditional_items", "WITH " + NATION_FLAGS_SQL + """,
+items AS (
+  SELECT n_nationkey, 0 AS pos, CASE WHEN any_missing THEN '["DualImputer"]' ELSE 'null' END AS value FROM fl
+  UNION ALL SELECT n_nationkey, 1, CASE WHEN NOT any_missing AND any_categorical THEN '["OneHotEncoder"]' END FROM fl
+  UNION ALL SELECT n_nationkey, 2, CASE WHEN any_missing AND any_categorical THEN '["DualImputer", "OneHotEncoder"]' END FROM fl
+  UNION ALL SELECT n_nationkey, 3, CASE WHEN any_missing THEN '["DualImputer", "PCA"]' ELSE '["PCA"]' END FROM fl)
+SELECT n_nationkey, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY pos) - 1 AS INT) AS ix, value,
+       CASE WHEN value = 'null' THEN 'none' ELSE 'list' END AS value_type
+FROM items WHERE value IS NOT NULL""")
+def conditional_items(spark, sf_dir):
+    """The rule table evaluated for many tables at once, all flag combinations among them."""
+    return G.conditional_items(nation_flags(spark, sf_dir), G.PREPROCESSOR_RULES, ["n_nationkey"])
+
+
+# Preprocessing pairs of the generated specs, by the dotted names that users know.
+DI_PAIR = ["extra.dual_imputer.DualImputer", {"strategy_numerical": "median"}]
+OHE_PAIR = ["sklearn.preprocessing.OneHotEncoder", {"handle_unknown": "ignore", "sparse": False}]
+PC_PAIR = ["sklearn.decomposition.PCA", {}]
+SPEC_RULES = (G.Rule(DI_PAIR, "any_missing", (None,)), G.Rule(OHE_PAIR, "not any_missing and any_categorical"),
+              G.Rule([DI_PAIR, OHE_PAIR], "any_missing and any_categorical"), G.Rule([DI_PAIR, PC_PAIR], "any_missing", (PC_PAIR,)))
+SPEC_HEAD = '{"estimator": ["sklearn.ensemble.RandomForestClassifier", {"n_jobs": -1, "random_state": '
+SPEC_PARAMS = '}], "params": {"n_estimators": [8, 16, 512], "criterion": ["gini", "entropy"], "max_depth": [8, null], "bootstrap": [true, false], "!@preprocessor": ['
+
+
+def nation_specs(spark, sf_dir):
+    """(n_nationkey, spec): a generated JSON spec of the forest for every nation."""
+    items = G.conditional_items(nation_flags(spark, sf_dir), SPEC_RULES, ["n_nationkey"])
+    listed = items.groupBy("n_nationkey").agg(F.sort_array(F.collect_list(F.struct("ix", "value"))).alias("items"))  # at most four
+    text = F.array_join(F.transform("items", lambda x: x["value"]), ", ")
+    return listed.select("n_nationkey", F.concat(F.lit(SPEC_HEAD), F.col("n_nationkey").cast("string"), F.lit(SPEC_PARAMS), text, F.lit("]}}")).alias("spec"))
+
+
+def _decoded_sql() -> str:
+    di, ohe, pc = (json.dumps(x) for x in (DI_PAIR, OHE_PAIR, PC_PAIR))
+    names = " ".join(f"WHEN '{a}' THEN '{n}'" for a, n in ALIASES.items())
+    return "WITH " + NATION_FLAGS_SQL + f""",
+it AS (
+  SELECT n_nationkey, 0 AS pos, CASE WHEN any_missing THEN '{di}' ELSE 'null' END AS value FROM fl
+  UNION ALL SELECT n_nationkey, 1, CASE WHEN NOT any_missing AND any_categorical THEN '{ohe}' END FROM fl
+  UNION ALL SELECT n_nationkey, 2, CASE WHEN any_missing AND any_categorical THEN '[{di}, {ohe}]' END FROM fl
+  UNION ALL SELECT n_nationkey, 3, CASE WHEN any_missing THEN '[{di}, {pc}]' ELSE '{pc}' END FROM fl),
+specs AS (SELECT n_nationkey, CAST('{SPEC_HEAD}' || n_nationkey || '{SPEC_PARAMS}' || string_agg(value, ', ' ORDER BY pos) || ']}}}}' AS JSON) AS spec
+          FROM it WHERE value IS NOT NULL GROUP BY n_nationkey),
+nodes AS (SELECT s.n_nationkey, t.fullkey, t.path AS above, t.type, t.value FROM specs s, json_tree(s.spec) t),
+stages AS (
+  SELECT n_nationkey, fullkey, CASE value->>'$[0]' {names} ELSE value->>'$[0]' END AS stage, value->'$[1]' AS params
+  FROM nodes WHERE type = 'ARRAY' AND json_array_length(value) = 2 AND json_type(value, '$[0]') = 'VARCHAR' AND json_type(value, '$[1]') = 'OBJECT'),
+found AS (
+  SELECT s.n_nationkey, s.fullkey, s.stage, p.key AS param, CAST(p.value AS VARCHAR) AS value FROM stages s, json_each(s.params) p
+  UNION ALL SELECT n_nationkey, fullkey, stage, NULL, NULL FROM stages WHERE len(json_keys(params)) = 0
+  UNION ALL SELECT n_nationkey, fullkey, NULL, NULL, CAST(value AS VARCHAR) FROM nodes
+    WHERE type NOT IN ('ARRAY', 'OBJECT') AND starts_with(above, '$.params.')
+      AND NOT EXISTS (SELECT 1 FROM stages g WHERE g.n_nationkey = nodes.n_nationkey AND starts_with(nodes.fullkey, g.fullkey || '[')))
+SELECT n_nationkey, replace(replace(fullkey, '"', ''), '!', '') AS path, stage, param, value FROM found"""
+
+
+@query("decoded_config", _decoded_sql())
+def decoded_config(spark, sf_dir):
+    """Every nation's generated spec decoded against the registry into (path, stage, parameter, value) rows."""
+    return decoded(nation_specs(spark, sf_dir), ["n_nationkey"])
+
+
 _RF_ROWS = []
 for _d, (_p, _vals) in enumerate(G.RF_PARAMS.items()):
     for _i, _v in enumerate(_vals):
@@ -201,6 +278,15 @@ def config_space(spark, sf_dir):
     return G.config_space(spark, _meta(spark, sf_dir))
 
 
+@query("readable_space", "WITH " + CONFIG_SQL + """
+SELECT param, ix, CASE WHEN value_type = 'bool' AND value = 'true' THEN 'True' WHEN value_type = 'bool' THEN 'False'
+                       WHEN value_type = 'none' THEN 'None' ELSE value END AS readable FROM cs""")
+def readable_space(spark, sf_dir):
+    """P5: the readable form of every value of the live space."""
+    cs = G.config_space(spark, _meta(spark, sf_dir))
+    return cs.select("param", "ix", python_str(F.col("value"), F.col("value_type")).alias("readable"))
+
+
 @query("config_grid_size", "WITH " + CONFIG_SQL + """,
 l AS (SELECT model, dim, count(*) AS len FROM cs GROUP BY model, dim)
 SELECT model, CAST(product(len) AS BIGINT) AS grid_size, count(*) AS n_dims FROM l GROUP BY model""")
@@ -298,8 +384,7 @@ FROM pm"""
 @query("cross_model_argmax", CROSS_SQL)
 def cross_model_argmax(spark, sf_dir):
     """Per model the best candidate against the global incumbent, and the model chosen."""
-    raw = raw_trials_from_events(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    raw = raw_trials_from_events(spark, sf_dir, more=["user_id"])
     best = raw.agg(F.max("score")).first()[0]
     cands = raw.groupBy(F.col("method").alias("model"), F.col("user_id").alias("setting")).agg(
         F.avg("score").alias("mu"), F.stddev_pop("score").alias("sigma"))
@@ -384,11 +469,34 @@ def local_search_paths(spark, sf_dir):
     return paths.select("start_id", F.col("step").cast("int").alias("step"), "grid_id", F.round("score", D).alias("score"))
 
 
+def feistel_sql(x: str, a: str, b: str, seed: int) -> str:
+    """The rounds of ``G.nth_draw`` over a number, in SQL."""
+    def key(k, half):
+        return f"CAST('0x' || substr(md5('{seed}:{k}:' || h[{half}]), 1, 15) AS BIGINT)"
+
+    rounds = [f"[(h[1] + {key(k, 2)}) % {a}, h[2]]" if k % 2 == 0 else f"[h[1], (h[2] + {key(k, 1)}) % {b}]" for k in range(G.ROUNDS)]
+    sql = f"[{x} % {a}, {x} // {a}]"
+    for r in rounds:
+        sql = f"list_transform([{sql}], lambda h: {r})[1]"
+    return f"list_transform([{sql}], lambda h: h[2] * {a} + h[1])[1]"
+
+
+def draws_sql(size: str, count: str, seed: int) -> str:
+    """CTE ``firsts`` (draw, grid_id): the first draws of a grid; a number outside walks on."""
+    return f"""dom AS (SELECT {size} AS size, CAST(floor(sqrt({size} - 1)) AS BIGINT) + 1 AS a),
+domain AS (SELECT size, a, CAST(ceil(size / a) AS BIGINT) AS b FROM dom),
+firsts AS (
+  WITH RECURSIVE walk(draw, x, steps) AS (
+    SELECT i, {feistel_sql('i', 'a', 'b', seed)}, 0 FROM domain, (SELECT unnest(range(0, CAST({count} AS BIGINT))) AS i)
+    UNION ALL
+    SELECT draw, {feistel_sql('x', 'a', 'b', seed)}, steps + 1 FROM walk, domain WHERE x >= size)
+  SELECT draw, x AS grid_id FROM walk, domain WHERE x < size)"""
+
+
 @query("grid_sample", "WITH " + SPACE_SQL + """,
-draws AS (SELECT CAST('0x' || substr(md5('2589731706:' || i), 1, 15) AS BIGINT) % (SELECT CAST(product(len) AS BIGINT) FROM lens) AS grid_id, i
-          FROM range(0, 20000) r(i)),
-firsts AS (SELECT grid_id, min(i) AS draw FROM draws WHERE grid_id NOT IN (SELECT grid_id FROM enc) GROUP BY grid_id),
-picks AS (SELECT * FROM firsts ORDER BY draw LIMIT 150)
+n AS (SELECT CAST(product(len) AS BIGINT) AS size FROM lens),
+""" + draws_sql("(SELECT size FROM n)", "(SELECT least(size, 20000) FROM n)", 2589731706) + """,
+picks AS (SELECT * FROM firsts WHERE grid_id NOT IN (SELECT grid_id FROM enc) ORDER BY draw LIMIT 150)
 SELECT g.grid_id, g.draw, b.value AS p_brand, t.value AS p_type, s.value AS p_size
 FROM picks g
 JOIN strides sb ON sb.dim = 0 JOIN sp b ON b.dim = 0 AND b.ix = (g.grid_id // sb.stride) % sb.len

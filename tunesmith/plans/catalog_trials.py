@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tunesmith.functions import readable as R
 from tunesmith.operators import trials as T
 from tunesmith.plans.registry import query
-from tunesmith.session import materialize
+from tunesmith.session import materialize, rows_per_chunk
 from tunesmith.sources.trial_log import FIXTURE_CONFIGS, RUN_KEYS, fixture_configs, raw_trials_from_events
 
 D = 6  # output rounding
@@ -60,10 +60,16 @@ taskavg AS (SELECT method, t, round(avg(score), 9) AS score FROM seedavg GROUP B
 
 # ---- Spark-side inputs --------------------------------------------------------------------
 
+_LOGS: dict[tuple, DataFrame] = {}
+
+
 def trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trials from `events` numbered and tracked by the library (record_trials), written to the
-    checkpoint folder like the stored log the sink produces, so later branches read it once."""
-    return materialize(T.record_trials(raw_trials_from_events(spark, sf_dir)))
+    checkpoint folder like the stored log the sink produces: once for a source and session, for all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir, rows_per_chunk(spark))
+    if key not in _LOGS:
+        _LOGS[key] = materialize(T.record_trials(raw_trials_from_events(spark, sf_dir)), "trial-log")
+    return _LOGS[key]
 
 
 def labelled_trial_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,8 +156,7 @@ def leaderboard_pivot(spark, sf_dir):
     named = R.rename_methods(log).drop("method").withColumnRenamed("display_name", "method")
     runs = named.select(*RUN_KEYS).distinct()
     kept = T.remove_startup(named, nr=5)
-    curves = T.step_fill(kept, runs, T.n_points(max_time, PIVOT_STEP, "per_run"), PIVOT_STEP)
-    avg = T.task_average(T.seed_average(curves, 9), 9)
+    avg = T.averaged_curves(kept, runs, T.n_points(max_time, PIVOT_STEP, "per_run"), PIVOT_STEP, "cumulative_time", "best_score", 9)
     wide = avg.groupBy("t").pivot("method", _NAMES).agg(F.max("score"))
     return wide.select("t", *[F.round(F.col(f"`{n}`"), D).alias(n) for n in _NAMES])
 
@@ -307,8 +312,8 @@ def valid_trials(spark, sf_dir):
 
 @query("distinct_keys", TRIAL_LOG_SQL + "\nSELECT DISTINCT method, task, seed FROM trial_log")
 def distinct_keys(spark, sf_dir):
-    """Distinct (method, task, seed)."""
-    return T.distinct_keys(trial_log(spark, sf_dir))
+    """Distinct (method, task, seed); needs no trial numbers, so it reads the raw trials."""
+    return T.distinct_keys(raw_trials_from_events(spark, sf_dir))
 
 
 @query("global_max_time", TRIAL_LOG_SQL + "\nSELECT max(cumulative_time) AS max_cumulative_time FROM trial_log")
@@ -354,12 +359,18 @@ PARAM_COLUMNS_SQL = TRIAL_LOG_SQL + """
 SELECT method, task, seed, iteration, json_extract_string(props, '$.k') AS param_k FROM trial_log"""
 
 
+MAX_PARAM_COLUMNS = 2_000
+
+
 @query("param_columns", PARAM_COLUMNS_SQL)
 def param_columns(spark, sf_dir):
     """T5: one ``param_<name>`` column per parameter key present in the log (absent -> NULL)."""
     tl = trial_log(spark, sf_dir).withColumn("__params", R.params_from_json(F.col("props")))
-    # the distinct parameter names become columns, so the driver has to know them
-    keys = sorted(r[0] for r in tl.select(F.explode(F.map_keys("__params"))).distinct().collect())
+    # the distinct parameter names become columns, so the driver has to know them; so many columns are the most
+    names = tl.select(F.explode(F.map_keys("__params"))).distinct().limit(MAX_PARAM_COLUMNS + 1).collect()
+    if len(names) > MAX_PARAM_COLUMNS:
+        raise ValueError(f"over {MAX_PARAM_COLUMNS} parameter names; select them from the params map instead")
+    keys = sorted(r[0] for r in names)
     return tl.select(*RUN_KEYS, "iteration", *[F.col("__params")[k].alias(f"param_{k}") for k in keys])
 
 

@@ -1,8 +1,8 @@
 """Declarative model configs -> Spark ML pipelines.
 
-The reference decodes "module.Class" strings with exec/eval; here a config names an entry of
-a whitelist registry, and settings use the reference's parameter names, translated to Spark ML
-``Params``. ``@preprocessor`` is a list of step names (or null) prepended to the estimator.
+A config names entries of a whitelist registry (``plans.spec``); settings use the parameter names that users know,
+translated to Spark ML ``Params``. ``@preprocessor`` is a list of steps (names, or names with parameters; or null)
+that come before the estimator.
 
 Parameters without a Spark ML counterpart are listed in ``UNSUPPORTED`` and removed from the
 searched space (``min_samples_split`` of the forest, ``dual`` of logistic regression).
@@ -17,10 +17,11 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
-from pyspark.ml.feature import (PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
-                                VectorSizeHint)
+from pyspark.ml.feature import (PCA, OneHotEncoder, PolynomialExpansion, RobustScaler, StandardScaler, StringIndexer,
+                                VectorAssembler, VectorSizeHint)
 
 from tunesmith.operators.features import DualImputer
+from tunesmith.plans.spec import decode_spec, plain, steps_of
 
 SPARK_MAX_DEPTH = 30  # "no limit" in the reference; Spark ML rejects depth 31
 
@@ -81,6 +82,12 @@ class ModelConfig:
         drop = UNSUPPORTED.get(self.estimator, set())
         return {k: v for k, v in self.params.items() if k not in drop}
 
+    @classmethod
+    def from_spec(cls, spec: Mapping | str) -> "ModelConfig":
+        """The config of a JSON model spec."""
+        estimator, params = decode_spec(spec)
+        return cls(estimator.name, {k: plain(v) for k, v in params.items()}, dict(estimator.params))
+
 
 @dataclass
 class FeatureSpec:
@@ -112,6 +119,30 @@ def decode_value(text: str | None, vtype: str):
     return json.loads(text)
 
 
+def _scaled(p: Mapping, spec: FeatureSpec, last: str, out: str):
+    return [StandardScaler(inputCol=last, outputCol=out, withMean=bool(p.get("with_mean", True)), withStd=bool(p.get("with_std", True)))], out
+
+
+def _robust(p: Mapping, spec: FeatureSpec, last: str, out: str):
+    low, high = p.get("quantile_range", (25.0, 75.0))
+    return [RobustScaler(inputCol=last, outputCol=out, withCentering=bool(p.get("with_centering", True)),
+                         withScaling=bool(p.get("with_scaling", True)), lower=low / 100, upper=high / 100)], out
+
+
+def _polynomial(p: Mapping, spec: FeatureSpec, last: str, out: str):
+    return [PolynomialExpansion(inputCol=last, outputCol=out, degree=int(p.get("degree", 2)))], out
+
+
+def _pca(p: Mapping, spec: FeatureSpec, last: str, out: str):
+    k = int(p.get("n_components") or max(1, spec.width()))
+    centred = f"{out}_centred"
+    return [StandardScaler(inputCol=last, outputCol=centred, withMean=True, withStd=False), PCA(k=k, inputCol=centred, outputCol=out)], out
+
+
+#: Steps on the assembled vector.
+VECTOR_STEPS = {"StandardScaler": _scaled, "RobustScaler": _robust, "PolynomialFeatures": _polynomial, "PCA": _pca}
+
+
 def build_pipeline(cfg: ModelConfig, setting: Mapping, spec: FeatureSpec, seed: int,
                    n_classes: int = 2) -> Pipeline:
     """``@preprocessor`` steps, then the estimator with the setting applied.
@@ -122,17 +153,19 @@ def build_pipeline(cfg: ModelConfig, setting: Mapping, spec: FeatureSpec, seed:
     is all zeros; PCA keeps all components of the assembled vector.
     """
     setting = dict(setting)
-    steps = setting.pop("@preprocessor", None) or []
-    if isinstance(steps, str):
-        steps = [steps]
+    steps = steps_of(setting.pop("@preprocessor", None), "@preprocessor")
+    by_name = {s.name: s.params for s in steps}
     stages = []
-    if "DualImputer" in steps:
-        stages.append(DualImputer(categorical=list(spec.categorical), numerical=list(spec.numeric)))
+    if "DualImputer" in by_name:
+        p = by_name["DualImputer"]
+        stages.append(DualImputer(categorical=list(spec.categorical), numerical=list(spec.numeric),
+                                  strategy_categorical=p.get("strategy_categorical", "most_frequent"),
+                                  strategy_numerical=p.get("strategy_numerical", "median")))
     codes = [f"__code_{c}" for c in spec.categorical]
     for c, out in zip(spec.categorical, codes):
         stages.append(StringIndexer(inputCol=c, outputCol=out, handleInvalid="keep", stringOrderType="alphabetAsc"))
     cat_features = codes
-    if "OneHotEncoder" in steps and codes:
+    if "OneHotEncoder" in by_name and codes:
         onehot = [f"__ohe_{c}" for c in spec.categorical]
         # the indexer's code for unknown values is the last category: dropping it leaves zeros
         stages.append(OneHotEncoder(inputCols=codes, outputCols=onehot, dropLast=True, handleInvalid="error"))
@@ -142,14 +175,9 @@ def build_pipeline(cfg: ModelConfig, setting: Mapping, spec: FeatureSpec, seed:
     stages.append(VectorAssembler(inputCols=[*spec.numeric, *spec.vectors, *cat_features], outputCol="__assembled",
                                   handleInvalid="keep"))
     last = "__assembled"
-    if "PCA" in steps:
-        k = max(1, spec.width())
-        stages.append(StandardScaler(inputCol=last, outputCol="__centred", withMean=True, withStd=False))
-        stages.append(PCA(k=k, inputCol="__centred", outputCol="__pca"))
-        last = "__pca"
-    if "StandardScaler" in steps:
-        stages.append(StandardScaler(inputCol=last, outputCol="__scaled", withMean=True, withStd=True))
-        last = "__scaled"
+    for k, step in enumerate(s for s in steps if s.name in VECTOR_STEPS):  # in the order given
+        made, last = VECTOR_STEPS[step.name](step.params, spec, last, f"__step{k}")
+        stages += made
     params = {**cfg.init, **setting}
     if cfg.estimator == "NeuralNetwork":
         est = _mlp(params, seed, spec.width(), n_classes)

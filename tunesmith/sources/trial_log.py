@@ -9,7 +9,8 @@ columns a query needs.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,13 @@ TRIAL_LOG_SCHEMA = T.StructType([
     T.StructField("method_name", T.StringType()),
     T.StructField("time_regressor", T.StringType()),
     T.StructField("score_regressor", T.StringType()),
+    # what a search needs to go on from its log; null in rows of other origin
+    T.StructField("grid_id", T.LongType()),
+    T.StructField("draw_seed", T.LongType()),
+    T.StructField("draw", T.LongType()),
+    T.StructField("phase", T.StringType()),
+    T.StructField("model_ord", T.IntegerType()),
+    T.StructField("error", T.StringType()),
 ])
 
 RUN_KEYS = ("method", "task", "seed")
@@ -48,10 +56,47 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def append_trials(trials: DataFrame, path: str) -> None:
-    """S3: append trial rows to the log (one write per batch of iterations)."""
+    """S3: append trial rows to the log (one write per trial of a running search, or per batch)."""
     conform(trials).write.mode("append").partitionBy("task").parquet(path)
 
 
+def log_exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def compact_trials(spark: SparkSession, path: str, out: str) -> None:
+    """The log once more at ``out``, with few files for each task instead of one for each trial."""
+    spark.read.schema(TRIAL_LOG_SCHEMA).parquet(path).repartitionByRange("task", "method", "seed", "iteration") \
+        .sortWithinPartitions("method", "seed", "iteration").write.partitionBy("task").parquet(out)
+
+
+@dataclass(frozen=True)
+class RunLog:
+    """One run (method, task, seed) of the log at ``path``: each trial is appended when it ends, and read to go on."""
+
+    path: str
+    task: str
+    method: str
+    seed: int
+    method_name: str = ""
+    time_regressor: str = ""
+    score_regressor: str = ""
+
+    def append(self, spark: SparkSession, trials: list[dict]) -> None:
+        """Rows given as {trial-log column: value}; the run's own columns are filled in."""
+        own = dict(task=self.task, method=self.method, seed=int(self.seed), method_name=self.method_name,
+                   time_regressor=self.time_regressor, score_regressor=self.score_regressor)
+        rows = [tuple((own | t).get(f.name) for f in TRIAL_LOG_SCHEMA.fields) for t in trials]
+        append_trials(spark.createDataFrame(rows, TRIAL_LOG_SCHEMA).coalesce(1), self.path)
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """The run's stored trials; none where there is no log yet."""
+        if not log_exists(spark, self.path):
+            return spark.createDataFrame([], TRIAL_LOG_SCHEMA)
+        return scan_trials(spark, self.path, {"task": self.task, "method": self.method, "seed": int(self.seed)})
+
+
 def scan_trials(spark: SparkSession, path: str, where: Mapping[str, object] | None = None) -> DataFrame:
     """The log filtered by a key-equality document (``None`` = all rows), e.g. ``{"task": "12"}``."""
     df = spark.read.schema(TRIAL_LOG_SCHEMA).parquet(path)
@@ -76,7 +121,7 @@ FIXTURE_CONFIGS = [
 ]
 
 
-def raw_trials_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_trials_from_events(spark: SparkSession, sf_dir: str, more: Sequence[str] = ()) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_type").alias("method"),
@@ -89,6 +134,7 @@ def raw_trials_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 17 == 0, F.lit(0.0)).otherwise(F.col("value") / (1 + F.col("value"))).alias("score"),
         (F.col("event_id") % 17 != 0).alias("success"),
         F.col("props"),
+        *more,
     )
 
 
