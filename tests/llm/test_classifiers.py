@@ -172,22 +172,103 @@ def test_licences_and_inheritance(spark):
     assert licenses.scan(spark.createDataFrame([], "id long, path string, text string")).count() == 0
 
 
-def test_notice_cosines_against_brute_force():
-    t = licenses.Templates(licenses.TEMPLATES)
-    t.weigh(100, {i: i % 7 for i in range(len(t.terms))})
-    line = "This code is Licensed under the Apache License, Version 2.0 by somebody"
+def plain_notices(t, line, least):
+    """Every stretch as long as a template, and the whole line, by dictionaries; overlaps resolved by cosine."""
     words = licenses.tokens(line)
     idf = {w: t.idf[t.terms.index(w)] if w in t.terms else t.rest for w in words}
-    vector = {w: words.count(w) * idf[w] for w in words}
-    norm = np.sqrt(sum(x * x for x in vector.values()))
-    cosines = [sum(vector.get(w, 0) * t.vectors[k, i] for i, w in enumerate(t.terms)) / norm for k in range(len(t.names))]
-    (_, k, cosine, at, n), = t.notices([line], 0.5)
-    assert k == int(np.argmax(cosines)) and abs(cosine - max(cosines)) < 1e-9 and at == 0 and n == len(words)
+    found = []
+    spans = [(0, len(words), None)] + [(i, i + m, j) for j, m in enumerate(t.sizes) for i in range(len(words) - m + 1)]
+    for a, b, own in spans:
+        vector = {w: words[a:b].count(w) * idf[w] for w in words[a:b]}
+        norm = np.sqrt(sum(x * x for x in vector.values()))
+        cosines = [sum(vector.get(w, 0) * t.vectors[k, i] for i, w in enumerate(t.terms)) / norm for k in range(len(t.names))]
+        k = int(np.argmax(cosines))
+        bar = least if own is None else licenses.STRETCH if b - a >= 5 else licenses.SHORT_STRETCH
+        if cosines[k] >= bar and (own is None or cosines[own] >= bar):
+            found.append((-round(cosines[k], 12), k, a, b))
+    kept, taken = [], set()
+    for cosine, k, a, b in sorted(found):
+        if not taken & set(range(a, b)):
+            taken |= set(range(a, b))
+            kept.append((a, k, -cosine, b - a))
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("line", [
+    "This code is Licensed under the Apache License, Version 2.0 by somebody",
+    "some words before it and some more words here and there Released under the MIT License and words after it too",
+    "Copyright 2020 the authors. All rights reserved. Use of this source code is governed by a BSD-style license found below",
+    "the of and the in a is the under license with rights the reserved by all of the"])
+def test_notice_cosines_against_brute_force(line):
+    t = licenses.Templates(licenses.TEMPLATES)
+    t.weigh(100, {i: i % 7 for i in range(len(t.terms))})
+    got = [(k, cosine, n) for _, k, cosine, _, n in t.notices([line], 0.6)]
+    want = [(k, cosine, n) for _, k, cosine, n in plain_notices(t, line, 0.6)]
+    assert [(k, n) for k, _, n in got] == [(k, n) for k, _, n in want]
+    assert np.allclose([c for _, c, _ in got], [c for _, c, _ in want])
+
+
+def test_notices_inside_lines_and_several_in_a_file(spark):
+    prose = "gora hontar melka dorvin"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"
+    rows = [
+        (1, "x/a", f"{prose} " * 4 + "Released under the MIT License"),
+        (2, "x/b", f"{prose} " * 6 + "Licensed under the Apache License, Version 2.0 " + f"{prose} " * 6),
+        (3, "x/c", f"{prose} " * 15 + gpl + f" {prose}" * 15),
+        (4, "x/d", "All rights reserved."), (5, "x/e", f"{prose}\n(c) somebody, all rights reserved, {prose}\n" * 2),
+        (6, "x/f", f"{prose}\nReleased under the MIT License\n{prose} " + f"{prose} " * 3 + "Licensed under CC BY 4.0\n"),
+        (7, "x/g", f"{prose} all the rights of the license under the version " * 3), *[(10 + i, f"y/{i}", f"{prose} the of and in to {prose}") for i in range(60)]]
+    got = scan(spark, rows)
+    names = {p: [n.license for n in got[p].notices] for p in got}
+    assert names["x/a"] == ["MIT"] and names["x/b"] == ["Apache-2.0"] and names["x/c"] == ["GPL-3.0"]
+    assert names["x/d"] == ["All-rights-reserved"] and names["x/e"] == ["All-rights-reserved"] * 2 and [n.line for n in got["x/e"].notices] == [1, 3]
+    assert names["x/f"] == ["MIT", "CC-BY-4.0"] and names["x/g"] == [] and all(names[f"y/{i}"] == [] for i in range(60))
+
+
+def test_licences_of_odd_files(spark, edge):
+    prose = "word " * 30_000
+    rows = [(1, "a/LICENSE", "Released under the MIT License"), (1, "a/LICENSE", "Released under the MIT License"), (2, "a/x", None), (3, "a/y", ""),
+            (4, "a/z", prose + "Licensed under CC BY 4.0"), (5, None, "Released under the MIT License"), (None, "b/q", "x" * 60_000),
+            (6, "c/LICENSE", "Released under the MIT License"), (7, "c/COPYING", "Released under the MIT License"), (8, "c/f", "plain")]
+    df = spark.createDataFrame([(*r, "own", "dir") for r in rows], "id long, path string, text string, origin string, dir string")
+    got = sorted((str(r.id), str(r.path), str(r.license), r.origin, str(r.licence_path)) for r in licenses.scan(df).collect())
+    assert got == sorted([("1", "a/LICENSE", "MIT", "own", "a/LICENSE")] * 2 + [("2", "a/x", "MIT", "inherited", "a/LICENSE"), ("3", "a/y", "MIT", "inherited", "a/LICENSE"),
+                         ("4", "a/z", "CC-BY-4.0", "own", "a/z"), ("5", "None", "MIT", "own", "None"), ("None", "b/q", "None", "none", "None"),
+                         ("6", "c/LICENSE", "MIT", "own", "c/LICENSE"), ("7", "c/COPYING", "MIT", "own", "c/COPYING"), ("8", "c/f", "MIT", "inherited", "c/COPYING")])
+
+
+def test_inheritance_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    notices = ["Released under the MIT License", "Licensed under CC BY 4.0", "Licensed under the Apache License, Version 2.0"]
+    rows, seen = [], set()
+    for i in range(160):
+        path = "/".join(rng.choice(list("ab"), rng.integers(0, 5)).tolist() + [f"f{i}"])
+        if rng.random() < 0.2:
+            path = path.rsplit("/", 1)[0] + "/LICENSE" if "/" in path else "LICENSE"
+            if path in seen:
+                continue
+            seen.add(path)
+            rows.append((i, path, notices[rng.integers(3)]))
+        else:
+            rows.append((i, path, "nothing of that kind"))
+    names = dict(zip(notices, ["MIT", "CC-BY-4.0", "Apache-2.0"]))
+    files = {p: names[t] for _, p, t in rows if p.endswith("LICENSE")}
+    got = scan(spark, rows)
+    for _, p, t in rows:
+        parts, want = p.split("/")[:-1], (None, None, None)
+        for up in range(len(parts) + 1):
+            at = "/".join([*parts[:len(parts) - up], "LICENSE"])
+            if at in files:
+                want = (files[at], at, up)
+                break
+        if t in names:
+            want = (names[t], p, 0)
+        assert (got[p].license, got[p].licence_path, got[p].levels_up) == want, p
 
 
 def test_every_row_of_documents_has_a_licence_row(spark):
     found = catalog.QUERIES["op8_license_scan"](spark, SF01)
-    text = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", F.col("text").rlike("(?i)licensed under|released under the mit").alias("has"))
+    text = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", F.col("text").rlike("(?i)licensed under|released under the mit|all rights reserved").alias("has"))
     got = found.join(text, "doc_id").groupBy("has", (F.col("origin") == "own").alias("own")).count().collect()
     assert {(r.has, r.own) for r in got} == {(True, True), (False, False)}
 

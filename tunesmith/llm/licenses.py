@@ -1,7 +1,8 @@
 """Licence scan: TF-IDF cosine of notices and licence files to templates, then directory inheritance.
 
-A file's lines, and runs of neighbouring lines that look like a notice, are compared with the
-templates as sparse TF-IDF vectors; document frequencies are counted over all files. Files without
+A file's lines, runs of neighbouring lines that look like a notice, and every stretch of words as long as a template are
+compared with the templates as sparse TF-IDF vectors; document frequencies are counted over all files. Of
+overlapping notices the one with the highest cosine counts. Files without
 a notice of their own inherit from the licence file in the nearest ancestor directory, found by
 joining every ancestor path with the directories that have one.
 """
@@ -60,9 +61,12 @@ TEMPLATES: dict[str, list[str]] = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work. CC0 1.0 Universal"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
+    "All-rights-reserved": ["All rights reserved"],
 }
 
-COSINE = 0.6
+#: Least cosine of a line or run of lines; of a stretch of words anywhere; and of one of under five words, which common phrases
+#: ("all the rights") come near to.
+COSINE, STRETCH, SHORT_STRETCH = 0.6, 0.75, 0.9
 #: A file is a licence file by its base name, or if notices hold at least this share of its words.
 FILE_SHARE = 0.5
 FILE_NAME = r"(?i)^(licen[cs]e|copying|copyright|notice|unlicense)([-_.].*)?$"
@@ -102,6 +106,9 @@ class Templates:
             for t, n in c.items():
                 self.vectors[k, position[t]] = n * self.idf[position[t]]
         self.vectors /= np.linalg.norm(self.vectors, axis=1, keepdims=True)
+        # what each word adds to a stretch's dot product with a template
+        self.gains = self.vectors * self.idf
+        self.sizes = [sum(c.values()) for c in self.counts]
 
     def words(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(term or -1, hash, line number, part number) of every word; lines count through all parts."""
@@ -118,15 +125,10 @@ class Templates:
         part = np.searchsorted(np.cumsum([len(e) + 1 for e in encoded]), starts, side="right")
         return term, h, line, part
 
-    def notices(self, parts: list[str], least: float) -> list[tuple[int, int, float, int, int]]:
-        """(part, template, cosine, line, words) of each notice: lines, and runs of neighbouring lines, above ``least``."""
-        term, h, line, part = self.words(parts)
-        if not len(term):
-            return []
+    def _lines(self, term, line, part, least: float) -> list[tuple[int, int]]:
+        """(first, last) words of the lines, and runs of neighbouring lines, that may reach ``least``."""
         n = int(line[-1]) + 1
         known = term >= 0
-        if not known.any():
-            return []
         # a line's terms outside the templates add to its norm alone: at best (each word once) it reaches this cosine
         inside = np.bincount(line[known], self.idf[term[known]] ** 2, minlength=n)
         outside = np.bincount(line[~known], minlength=n) * self.rest ** 2
@@ -135,33 +137,62 @@ class Templates:
         likely = np.flatnonzero((bound >= least ** 2 / 4) & (inside > 0))
         first, last = np.searchsorted(line, likely, side="left"), np.searchsorted(line, likely, side="right")
         owner = part[first]
-        windows, run = [], []
-        for i, l in enumerate(likely):
-            windows.append((i, i))
-            if run and likely[run[-1]] == l - 1 and owner[run[-1]] == owner[i]:
-                run.append(i)
-            else:
-                if len(run) > 1:
-                    windows.append((run[0], run[-1]))
-                run = [i]
-        if len(run) > 1:
-            windows.append((run[0], run[-1]))
+        found = list(zip(first.tolist(), last.tolist()))
+        breaks = np.flatnonzero((np.diff(likely) != 1) | (np.diff(owner) != 0)) + 1
+        for run in np.split(np.arange(len(likely)), breaks):
+            if len(run) > 1:
+                found.append((int(first[run[0]]), int(last[run[-1]])))
+        return found
+
+    def _stretches(self, term, part, least: float) -> list[tuple[int, int, float]]:
+        """(first, last, least cosine) of all stretches as long as a template whose cosine with it may reach their bar, by words.
+
+        The dot product is a sum over words; the norm is at least that of as many different words.
+        """
+        known = term >= 0
+        at = np.where(known, term, 0)
+        norms = np.concatenate(([0.0], np.cumsum(np.where(known, self.idf[at], self.rest) ** 2)))
+        found = []
+        for k, size in enumerate(self.sizes):
+            if size > len(term):
+                continue
+            gains = np.concatenate(([0.0], np.cumsum(np.where(known, self.gains[k][at], 0.0))))
+            dot, norm = gains[size:] - gains[:-size], norms[size:] - norms[:-size]
+            bar = max(least, STRETCH if size >= 5 else SHORT_STRETCH)
+            starts = np.flatnonzero((dot * dot >= bar ** 2 * norm * (1 - 1e-9)) & (part[size - 1:] == part[:len(part) - size + 1]))
+            found += [(i, i + size, bar) for i in starts.tolist()]
+        return found
+
+    def notices(self, parts: list[str], least: float) -> list[tuple[int, int, float, int, int]]:
+        """(part, template, cosine, line, words) of each notice of at least ``least``, by place. Of notices that overlap the
+        one with the highest cosine stays; between equal ones the earlier template, then the earlier place."""
+        term, h, line, part = self.words(parts)
+        if not (term >= 0).any():
+            return []
+        bars: dict[tuple[int, int], float] = {(a, b): bar for a, b, bar in sorted(self._stretches(term, part, least), key=lambda x: -x[2])}
+        bars.update(dict.fromkeys(self._lines(term, line, part, least), least))
         out = []
-        for a, b in windows:
-            t, hh = term[first[a]:last[b]], h[first[a]:last[b]]
+        for (a, b), bar in bars.items():
+            t, hh = term[a:b], h[a:b]
             vector = np.bincount(t[t >= 0], minlength=len(self.terms)) * self.idf
             others = np.unique(hh[t < 0], return_counts=True)[1] * self.rest
             cosine = self.vectors @ vector / np.sqrt(vector @ vector + others @ others)
             k = int(np.argmax(cosine))
-            if cosine[k] >= least:
-                out.append((int(owner[a]), k, float(cosine[k]), int(likely[a]), len(t)))
-        return out
+            if cosine[k] >= bar:
+                out.append((-round(float(cosine[k]), 12), k, a, b, float(cosine[k])))
+        taken, kept = np.zeros(len(term), bool), []
+        for _, k, a, b, cosine in sorted(out):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                kept.append((a, int(part[a]), k, cosine, int(line[a]), b - a))
+        return [x[1:] for x in sorted(kept)]
 
 
 def own_notices(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = COSINE) -> DataFrame:
-    """(id, path, license, cosine, line, share) of every file's best notice (null license: none).
+    """(id, path, license, cosine, line, share, notices) of every file: its best notice (null license: none), and all of them.
 
-    ``files`` has id, path and text. ``share`` is the share of the file's words that stand in notices.
+    ``files`` has id, path and text. ``share`` is the share of the file's words that stand in notices; ``notices`` has
+    (license, cosine, line) of each, by place.
     """
     spark = files.sparkSession
     shared = spark.sparkContext.broadcast(templates)
@@ -189,36 +220,37 @@ def own_notices(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, l
         t.weigh(total, df)
         for batch in batches:
             for at, texts in text_groups(batch.column(2)):
-                best: dict[int, tuple] = {}
+                found: list[list[tuple]] = [[] for _ in texts]
                 held, words, lines = Counter(), Counter(), Counter()
                 for owner, parts in segments(texts):
                     of = t.words(parts)[3]
                     for p, n in zip(*np.unique(of, return_counts=True)):
                         words[owner[p]] += int(n)
                     before = np.concatenate(([0], np.cumsum([p.count("\n") + 1 for p in parts])))
-                    covered: dict[tuple[int, int], int] = {}
                     for p, k, cosine, line, n in t.notices(parts, least):
                         i = owner[p]
-                        here = lines[i] + line - int(before[p])
-                        key = (cosine, -here)
-                        if i not in best or key > best[i][0]:
-                            best[i] = (key, t.names[k], cosine, here)
-                        covered[i, line] = max(covered.get((i, line), 0), n)
-                    for (i, _), n in covered.items():
+                        found[i].append((k, cosine, lines[i] + line - int(before[p])))
                         held[i] += n
                     for p, i in enumerate(owner):
                         lines[i] += parts[p].count("\n")
-                rows = [best.get(i) for i in range(len(texts))]
+                best = [min(x, key=lambda r: (-round(r[1], 12), r[0], r[2]), default=None) for x in found]
+                flat = [x for xs in found for x in xs]
+                parts_of = [pa.array([t.names[k] for k, _, _ in flat], pa.string()), pa.array([c for _, c, _ in flat], pa.float64()),
+                            pa.array([n for _, _, n in flat], pa.int32())]
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]).astype(np.int32)),
+                                                  pa.StructArray.from_arrays(parts_of, ["license", "cosine", "line"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)),
-                     pa.array([r and r[1] for r in rows], pa.string()), pa.array([r and r[2] for r in rows], pa.float64()),
-                     pa.array([r and r[3] for r in rows], pa.int32()),
-                     pa.array([min(1.0, held[i] / max(words[i], 1)) for i in range(len(texts))], pa.float64())],
-                    names=["id", "path", "license", "cosine", "line", "share"])
+                     pa.array([r and t.names[r[0]] for r in best], pa.string()), pa.array([r and r[1] for r in best], pa.float64()),
+                     pa.array([r and r[2] for r in best], pa.int32()),
+                     pa.array([min(1.0, held[i] / max(words[i], 1)) for i in range(len(texts))], pa.float64()), listed],
+                    names=["id", "path", "license", "cosine", "line", "share", "notices"])
 
+    notice = T.StructType([T.StructField("license", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("line", T.IntegerType())])
     schema = T.StructType([
         T.StructField("id", files.schema["id"].dataType), T.StructField("path", T.StringType()), T.StructField("license", T.StringType()),
-        T.StructField("cosine", T.DoubleType()), T.StructField("line", T.IntegerType()), T.StructField("share", T.DoubleType())])
+        T.StructField("cosine", T.DoubleType()), T.StructField("line", T.IntegerType()), T.StructField("share", T.DoubleType()),
+        T.StructField("notices", T.ArrayType(notice))])
     return files.select("id", "path", F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
@@ -235,14 +267,16 @@ def ancestors(path: Column) -> Column:
 
 
 def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = COSINE, file_share: float = FILE_SHARE) -> DataFrame:
-    """One row per file: id, path, license, cosine, line, origin, licence_path, levels_up.
+    """One row per file: id, path, license, cosine, line, origin, licence_path, levels_up, notices.
 
     ``files`` has id, path and text. origin is 'own' (a notice in the file), 'inherited' (the licence
     file of the nearest ancestor directory, ``levels_up`` directories above the file's own) or 'none'.
     A directory with several licence files has the one with the highest cosine, then smallest path; a licence
     file needs a recognised notice. Null and empty texts have no notice; a null path neither gives
     nor inherits a licence; files that repeat stay rows; an empty table gives no rows; other columns are
-    not read. Between equal cosines the earlier template, then the earlier line counts.
+    not read. Between equal cosines the earlier template, then the earlier line counts. Very long texts are read
+    whole, in pieces of about a million characters; a notice that is cut between two pieces may be missed.
+    ``notices`` lists every notice of the file's own (license, cosine, line), by place.
     """
     found = materialize(own_notices(files, templates, least), "notices")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
@@ -265,4 +299,4 @@ def scan(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: f
         "id", "path", F.coalesce("license", "near.dir_license").alias("license"), F.coalesce("cosine", "near.dir_cosine").alias("cosine"),
         "line", F.when(own, "own").when(near, "inherited").otherwise("none").alias("origin"),
         F.when(own, F.col("path")).otherwise(F.col("near.licence_path")).alias("licence_path"),
-        F.when(own, 0).when(near, depth - F.col("near.depth")).alias("levels_up"))
+        F.when(own, 0).when(near, depth - F.col("near.depth")).alias("levels_up"), "notices")
