@@ -34,6 +34,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 3        # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.986 / 0.997 / 0.9996
 FINE_BANDS, FINE_ROWS = 8, 4  # for members of buckets with a failed link: 0.985 / 0.997 / 0.9998
 SALT = 64          # parts of a band's bucket on the first level
+BIT_WORDS = 8      # 64-bit words of the set of a line's rarest shingles
 SLOTS = 1 << 18    # shingle counts are kept by slots of their hash; they only order shingles, so a shared slot loses nothing
 
 _draw = random.Random(0x11E5)
@@ -144,8 +145,9 @@ def _end_of_step(*tables: DataFrame) -> None:
 
 
 def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """(s, h1, root, n, i): the rarest shingles of every line of ``members`` (h1, root): hash, the line's number of
-    shingles and the shingle's place from 0 in the order (count, hash).
+    """(s, h1, root, n, i, rest, b0.., slack): the rarest shingles of every line of ``members`` (h1, root): hash, the line's
+    number of shingles, the shingle's place from 0 in the order (count, hash), the shingles behind these, and the
+    set of these as bits, with how many of them share one.
 
     Lines of n and m shingles are alike only if they share o >= 4/9 (n + m) of them; their first common shingle
     in that order then is at places i <= n - o and j <= m - o. As o >= 4/5 n, the first n / 5 + 1 places are enough.
@@ -168,7 +170,13 @@ def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
     def head(rows: DataFrame) -> DataFrame:
         ranked = rows.withColumn("slot", slot).join(F.broadcast(counts), "slot")  # SLOTS rows
         ranked = ranked.select("s", "h1", "root", F.count(F.lit(1)).over(line).cast("int").alias("n"), (F.row_number().over(line.orderBy("f", "s")) - 1).alias("i"))
-        return ranked.where("5 * (n - i) >= 4 * n")
+        ranked = ranked.where("5 * (n - i) >= 4 * n")
+        bucket = F.expr(f"cast(shiftrightunsigned(s, 20) & {64 * BIT_WORDS - 1} as int)")
+        bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(s, 20) & 63 as int))")
+        sets = {f"b{j}": F.bit_or(F.when(F.floor(bucket / 64) == j, bit).otherwise(F.lit(0).cast("long"))).over(line) for j in range(BIT_WORDS)}
+        ranked = ranked.select("*", F.count(F.lit(1)).over(line).cast("int").alias("p"), *[c.alias(name) for name, c in sets.items()])
+        slack = F.col("p") - sum((F.bit_count(b) for b in list(sets)[1:]), F.bit_count("b0"))
+        return ranked.select("s", "h1", "root", "n", "i", (F.col("n") - F.col("p")).alias("rest"), *sets, slack.cast("int").alias("slack"))
 
     out = materialize(head(plain).union(head(others)), "line-prefixes")
     release(counts)
@@ -180,6 +188,10 @@ def _sharing_rare(prefixes: DataFrame) -> DataFrame:
 
     The smaller line's shingle is among its first m / 9 + 1 places (o >= 8/9 m), so shingles that a family of
     lines shares later on meet no partner. A shingle's largest component is not joined with itself.
+
+    Alike lines share o shingles, and of those behind the prefix of the line whose prefix ends first at most its
+    rest; so the prefixes have at least o less the larger rest in common. That many cannot be, if the common bits of the two sets
+    and the shingles that share a bit are fewer: the join drops such pairs before their texts are read.
     """
     by_root = prefixes.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -187,8 +199,10 @@ def _sharing_rare(prefixes: DataFrame) -> DataFrame:
     rows = materialize(prefixes.join(main, "s").withColumn("other", F.col("root") != F.col("main")).drop("main"), "line-shared")
     _end_of_step(prefixes)
     small = rows.where("9 * (n - i) >= 8 * n")
+    common = " + ".join(f"bit_count(x.b{j} & y.b{j})" for j in range(BIT_WORDS))
     close = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & F.expr(
-        "y.n <= x.n and 9 * (x.n - x.i) >= 4 * (x.n + y.n) and 9 * (y.n - y.i) >= 4 * (x.n + y.n)")
+        "y.n <= x.n and 9 * (x.n - x.i) >= 4 * (x.n + y.n) and 9 * (y.n - y.i) >= 4 * (x.n + y.n)"
+        f" and 9 * ({common} + least(x.slack, y.slack) + greatest(x.rest, y.rest)) >= 4 * (x.n + y.n)")
     found = None
     for y, x in ((small.where("other"), rows), (small.where("not other"), rows.where("other"))):
         part = x.alias("x").join(y.alias("y"), close).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
