@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tunesmith.llm import catalog, language, line_dedup, packing, simhash, toxicity
 from tunesmith.llm.features import free_names
-from tunesmith.session import materialize
+from tunesmith.session import materialize, release
 from tunesmith.sources.tables import table
 
 
@@ -74,10 +74,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; what a stage returns is written as Parquet and read again."""
+    """The stages in order over ``documents``; what a stage returns is written as Parquet and read again.
+
+    A stage's table goes when the next one is written. For nulls, ties, repeated rows, very long texts, empty tables
+    and further columns see the stages; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"pipeline-{name}")
+            release(before)
     return docs
