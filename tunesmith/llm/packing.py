@@ -91,9 +91,8 @@ def pack(pieces: DataFrame, capacity: int, length_col: str = "length", rank_part
     schema = "l long, first_rank long, slots long, first_sequence long, offset long"
     # a run of equal slots is cut into pieces before it becomes rows, so that no task holds a long run
     cut = F.sequence(F.lit(0).cast("long"), F.col("slots") - 1, F.lit(SLOT_ROWS).cast("long"))
-    pieces_of_runs = sum(-(-r[2] // SLOT_ROWS) for r in runs)
     slots = spark.createDataFrame(runs, schema).select("*", F.explode(cut).alias("from")) \
-        .repartition(max(1, -(-pieces_of_runs // 64))) \
+        .repartition(max(1, -(-sum(counts.values()) // SLOT_ROWS))) \
         .select("l", "first_rank", "first_sequence", "offset",
                 F.explode(F.sequence(F.col("from"), F.least("slots", F.col("from") + SLOT_ROWS) - 1)).alias("k")) \
         .select(F.col("l").alias("_l"), (F.col("first_rank") + F.col("k")).alias("_r"),
