@@ -55,8 +55,7 @@ def full_grid_scoring(spark, sf_dir):
     picks = G.draw(spark, sp, 200, 7).select("grid_id", F.col("ix").alias("digits"), "draw")
     picks = G.positions(picks, F.col("draw")).withColumnRenamed("ix", "k")
     hist = ix_features(picks.join(hist_scores, "k").select("grid_id", F.col("digits").alias("ix"), F.col("score").alias("label")))
-    model = M.forest_regressor().fit(hist)
-    scorer = M.ForestScorer(model)
+    scorer = M.fit_score_surrogate("forest", hist, "label")
     scored = A.score(scorer.mu_sigma(ix_features(grid)), 0.8)
     best = A.argmax(scored, "ei", "grid_id").first()
     return sp.size, best

@@ -74,3 +74,38 @@ def test_adaboost_time_model(spark):
     lo, hi = hist.agg(F.min("label"), F.max("label")).first()
     st = pred.agg(F.count("seconds"), F.min("seconds"), F.max("seconds")).first()
     assert st[0] == grid.count() and lo - 1e-9 <= st[1] and st[2] <= hi + 1e-9
+
+
+def test_boxes_give_the_leaves_of_the_trees(spark, monkeypatch):
+    sp, grid, hist = _history(spark)
+    scorer = M.ForestScorer(M.forest_regressor(num_trees=30, max_depth=8, min_instances=1).fit(hist))
+    assert scorer.boxes is not None
+    by_boxes = {r["grid_id"]: (r["mu"], r["sigma"]) for r in scorer.mu_sigma(grid).collect()}
+    scorer.boxes = None
+    by_trees = {r["grid_id"]: (r["mu"], r["sigma"]) for r in scorer.mu_sigma(grid).collect()}
+    assert by_boxes == by_trees and len(by_boxes) == sp.size
+    # values between and beyond the splits, and equal to them
+    odd = grid.select("grid_id", F.transform("ix", lambda x: x + F.when(F.col("grid_id") % 3 == 0, 0.5).when(F.col("grid_id") % 3 == 1, -20.0).otherwise(0.0)).alias("v"))
+    odd = odd.withColumn("features", array_to_vector("v"))
+    again = M.ForestScorer(scorer.model)
+    got = {r["grid_id"]: r["mu"] for r in again.mu_sigma(odd).collect()}
+    want = {r["grid_id"]: r["prediction"] for r in scorer.model.transform(odd).collect()}
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(M, "BOX_WORDS", 0)
+    assert M.ForestScorer(scorer.model).boxes is None
+
+
+def test_a_forest_of_stumps_without_a_split(spark):
+    _, grid, hist = _history(spark)
+    flat = hist.withColumn("label", F.lit(0.25))
+    scorer = M.ForestScorer(M.forest_regressor(num_trees=3).fit(flat))
+    assert {(r["mu"], r["sigma"]) for r in scorer.mu_sigma(grid).collect()} == {(0.25, 0.0)}
+
+
+def test_adaboost_losses(spark):
+    from tunesmith.operators.boosting import AdaBoostR2
+    _, grid, hist = _history(spark)
+    for loss in ("linear", "square", "exponential"):
+        model = AdaBoostR2(n_estimators=12, loss=loss).fit(hist)
+        err = model.predict(hist).join(hist, "grid_id").agg(F.avg(F.abs(F.col("prediction") - F.col("label")))).first()[0]
+        assert len(model.trees) >= 2 and err < 0.5

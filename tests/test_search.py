@@ -209,7 +209,7 @@ def test_settings_side_by_side_are_faster(spark):
     from tunesmith.operators import space as G
     sp = G.load_space(G.space_from_dict(spark, "m", {"a": list(range(16))}), "m")
     # a setting's jobs use one of eight cores, as small fits do
-    data = spark.range(0, 1_000_000, 1, 1)
+    data = spark.range(0, 300_000, 1, 1)
 
     def objective(grid_id, setting):
         total = 0
@@ -336,7 +336,7 @@ def test_bayesian_search_beats_random_search_on_a_planted_optimum(spark):
     best = {True: [], False: []}
     for seed in range(10):
         for random in (True, False):
-            s = Search(objective=objective, seed=seed, n_iter=4, random_search=random, parallel=1, timeout_score=-1.0).open(spark, sp)
+            s = Search(objective=objective, seed=seed, n_iter=3, random_search=random, parallel=1, timeout_score=-1.0).open(spark, sp)
             s.run(starting_points=8, start_seed=100 + seed)
             best[random].append(s.best_trial().score)
     assert median(best[False]) > median(best[True])

@@ -1,7 +1,7 @@
 """Exact quantiles of many groups and columns in two scans.
 
 1. A quantile sketch of each group and column (one partially aggregated state) brackets every wanted rank between
-   two values: the sketch's answers a little below and a little above it.
+   two values: the sketch's answers a little below and a little above it. Groups of few rows need none.
 2. One more scan counts the values below each bracket and keeps only those inside, by value: about ``4 / ACCURACY`` of the
    rows, or one row where a value repeats. A prefix scan over the kept counts finds the two order statistics.
 
@@ -40,16 +40,17 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], pro
     keys = [f"__k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], *[present(df, c).alias(f"__c{i}") for i, c in enumerate(cols)])
     wanted = [(i, float(p)) for i in range(len(cols)) for p in probs]
-    # 1. brackets
+    # 1. brackets, if any group is large enough to need them
+    sketch = not by or rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > accuracy).limit(1).count() > 0
     aggs = []
     for i in range(len(cols)):
         inner = sorted({q for _, p in wanted for q in (p - margin, p + margin) if 0.0 < q < 1.0})
         aggs += [F.count(f"__c{i}").alias(f"__n{i}"), F.min(f"__c{i}").alias(f"__min{i}"), F.max(f"__c{i}").alias(f"__max{i}")]
-        aggs += [F.percentile_approx(f"__c{i}", [*inner], accuracy).alias(f"__q{i}")] if inner else []
+        aggs += [F.percentile_approx(f"__c{i}", [*inner], accuracy).alias(f"__q{i}")] if inner and sketch else []
     stats = rows.groupBy(*keys).agg(*aggs)
     for j, (i, p) in enumerate(wanted):
-        low = F.lit(float("-inf")) if p - margin <= 0 else F.col(f"__q{i}")[inner.index(p - margin)]
-        high = F.lit(float("inf")) if p + margin >= 1 else F.col(f"__q{i}")[inner.index(p + margin)]
+        low = F.lit(float("-inf")) if p - margin <= 0 or not sketch else F.col(f"__q{i}")[inner.index(p - margin)]
+        high = F.lit(float("inf")) if p + margin >= 1 or not sketch else F.col(f"__q{i}")[inner.index(p + margin)]
         few = F.col(f"__n{i}") <= accuracy  # neighbouring ranks lie further apart than the margin: all values stay
         stats = stats.withColumns({f"__lo{j}": F.when(few, float("-inf")).otherwise(low), f"__hi{j}": F.when(few, float("inf")).otherwise(high)})
     bounds = [f"__{side}{j}" for j in range(len(wanted)) for side in ("lo", "hi")]

@@ -74,7 +74,9 @@ def random_search(spark, sf_dir):
     df, spec = embedding_data(spark, sf_dir)
     cfg = live_config(spark, df, spec)
     s = ModelSearch(cfg, spec, inner_cv=3, n_iter=RANDOM_TRIALS, random_search=True, seed=SEED, n_classes=10).fit(df, refit=False)
-    return _trial_frame(s.trial_rows("embeddings", "RANDOMIZED", SEED, "RANDOMIZED", "", "forest"))
+    rows = _trial_frame(s.trial_rows("embeddings", "RANDOMIZED", SEED, "RANDOMIZED", "", "forest"))
+    s.close()
+    return rows
 
 
 def part_objective(spark: SparkSession, sf_dir: str):
@@ -148,6 +150,17 @@ def bayes_search(spark, sf_dir):
     return _trial_frame(s.log.rows(spark))
 
 
+@query("dense_classifier")
+def dense_classifier(spark, sf_dir):
+    """Two dense networks of one hidden layer on the embeddings, cross-validated like any other model."""
+    df, spec = embedding_data(spark, sf_dir)
+    cfg = ModelConfig("NeuralNetwork", {"layer_size": [16, 32], "n_layers": [1], "epochs": [5]})
+    s = ModelSearch(cfg, spec, inner_cv=3, n_iter=2, random_search=True, seed=SEED, n_classes=10).fit(df, refit=False)
+    rows = _trial_frame(s.trial_rows("embeddings", "RANDOMIZED", SEED, "RANDOMIZED"))
+    s.close()
+    return rows
+
+
 @query("multi_model_search")
 def multi_model_search(spark, sf_dir):
     """The live forest space and logistic regression; 1 preparation round each, then rounds where the
