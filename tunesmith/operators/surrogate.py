@@ -260,9 +260,18 @@ SMALL_HISTORY = 100_000  # rows up to which a history is fitted from one partiti
 
 def held(hist: DataFrame) -> DataFrame:
     """A cached history, in one partition if it is small: boosting runs hundreds of jobs over it, whose tasks would
-    otherwise each hold a few rows."""
-    few = hist.limit(SMALL_HISTORY + 1).count() <= SMALL_HISTORY
-    return (hist.coalesce(1) if few else hist).cache()
+    otherwise each hold a few rows.
+
+    The history is computed once, by as many tasks as its plan asks for; only its finished rows go to the one partition.
+    (``coalesce`` would run the last stage of the plan, all its hash tables included, in a single task.)
+    """
+    rows = hist.cache()
+    if rows.limit(SMALL_HISTORY + 1).count() > SMALL_HISTORY:
+        return rows
+    one = rows.repartition(1).cache()
+    one.count()  # filled from the cached rows, which then can go
+    rows.unpersist()
+    return one
 
 
 def fit_score_surrogate(name: str, hist: DataFrame, label: str, seed: int = 42):
