@@ -209,3 +209,28 @@ def test_lines_of_a_table_with_clashing_names(spark):
     got = line_dedup.deduplicate_lines(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.dropped) for r in got.collect()) == [(1, rows[0][1], 5), (2, "third", 6)]
+
+
+def test_lines_that_share_a_few_rare_shingles_are_no_candidates(spark):
+    """pipeline, op7: chance neighbours grew with the square of the lines; alike pairs of all sizes stay candidates."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(45)]
+    base = [[rng.choice(words) for _ in range(rng.randrange(60, 130))] for _ in range(150)]
+    texts = []
+    for k, line in enumerate(base):
+        other = list(line)
+        if k % 2:
+            other = other[:len(other) - len(other) * (k % 11) // 44]  # shorter by up to a fourth
+        for at in rng.sample(range(len(other)), len(other) * (k % 7) // 90):
+            other[at] = "".join(rng.choices("qrstuvwxyz", k=6))
+        texts += [" ".join(line), " ".join(other) + " q"]
+    texts += ["short one here", "short one here.", "tiny"]
+    sets = [shingles(t) for t in texts]
+    pairs = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2)}
+    alike = {(a, b) for a, b in pairs if (c := len(sets[a] & sets[b])) and c >= 0.8 * (len(sets[a]) + len(sets[b]) - c)}
+    df = spark.createDataFrame(list(enumerate(texts)), "h1 long, norm string")
+    prefixes = line_dedup._prefixes(df.select("h1", F.col("h1").alias("root")), df)
+    got = {(r.a, r.b) for r in line_dedup._sharing_rare(prefixes).collect()}
+    strangers = {(a, b) for a, b in got if a // 2 != b // 2}
+    assert len(alike) > 80 and alike <= got
+    assert len(strangers) < 100

@@ -178,22 +178,30 @@ def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
 def _sharing_rare(prefixes: DataFrame) -> DataFrame:
     """(a, b): every pair of lines of different components that may be alike by ``_prefixes``.
 
-    The smaller line's shingle is among its first m / 9 + 1 places (o >= 8/9 m), so shingles that a family of
-    lines shares later on meet no partner. A shingle's largest component is not joined with itself.
+    Of the o >= 4/9 (n + m) shingles that alike lines of n >= m shingles share, the first l are at places i < n - o + l and
+    j < m - o + l. So the shared ones among these places are counted, and l of them are asked for: chance neighbours
+    that share one rare shingle, whose number grows with the square of the input, are never compared. l is m / 36, or less
+    where the places of the longer line end at its prefix (i <= n / 5); the smaller line's places then are among its first 5/36 m + 1.
+    A shingle's largest component is not joined with itself.
     """
     by_root = prefixes.groupBy("s", "root").agg(F.count(F.lit(1)).alias("c"))
     main = by_root.groupBy("s").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1")
     main = materialize(main.select("s", "main"), "line-shared")
     rows = materialize(prefixes.join(main, "s").withColumn("other", F.col("root") != F.col("main")).drop("main"), "line-shared")
     _end_of_step(prefixes)
-    small = rows.where("9 * (n - i) >= 8 * n")
+    small = rows.where("36 * (n - i) >= 31 * n")
+    least = "greatest(1, least(y.n div 36, (4 * (x.n + y.n) + 8) div 9 + 1 - (4 * x.n + 4) div 5))"
+    # one way round for lines of equal size, or they would count twice
     close = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") != F.col("y.root")) & F.expr(
-        "y.n <= x.n and 9 * (x.n - x.i) >= 4 * (x.n + y.n) and 9 * (y.n - y.i) >= 4 * (x.n + y.n)")
+        "(y.n < x.n or y.n = x.n and y.h1 < x.h1) and 5 * y.n >= 4 * x.n"
+        f" and x.i < x.n - (4 * (x.n + y.n) + 8) div 9 + {least} and y.i < y.n - (4 * (x.n + y.n) + 8) div 9 + {least}")
     found = None
     for y, x in ((small.where("other"), rows), (small.where("not other"), rows.where("other"))):
-        part = x.alias("x").join(y.alias("y"), close).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
+        part = x.alias("x").join(y.alias("y"), close).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"),
+                                                             F.expr(least).alias("l"))
         found = part if found is None else found.union(part)
-    found = materialize(found.distinct(), "line-rare")
+    found = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("l").alias("l")).where("shared >= l")
+    found = materialize(found.select("a", "b"), "line-rare")
     release(main, rows)
     return found
 
