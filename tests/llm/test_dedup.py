@@ -234,3 +234,20 @@ def test_lines_that_share_a_few_rare_shingles_are_no_candidates(spark):
     strangers = {(a, b) for a, b in got if a // 2 != b // 2}
     assert len(alike) > 80 and alike <= got
     assert len(strangers) < 100
+
+
+def test_shingle_counts_keep_their_resolution_as_lines_grow(spark):
+    """pipeline, op7: with a fixed number of slots, rare shingles of a large table looked as frequent as others."""
+    def slots(chars):
+        return line_dedup._slots(spark.createDataFrame([("x" * 50_000,)] * (chars // 50_000), "norm string"))
+
+    assert slots(50_000) == line_dedup.LEAST_SLOTS
+    assert 1.9 * slots(4_000_000) < slots(8_000_000) < 2.1 * slots(4_000_000)
+    assert slots(8_000_000) * line_dedup.SHINGLES_A_SLOT >= 8_000_000
+    rows = [0] * 3 + [4095] * 2 + [4096] * 9 + [12_000] * 700 + [16_383]
+    counts = line_dedup._counts_by_block(spark.createDataFrame([(x,) for x in rows], "slot int"), 16_384)
+    got = {r.block: r.f for r in counts.collect()}
+    assert sorted(got) == [0, 1, 2, 3] and {len(f) for f in got.values()} == {4096}
+    level = {s: got[s // 4096][s % 4096] for s in (0, 1, 4095, 4096, 12_000, 16_383)}
+    assert level[1] == level[16_383] == 0 < level[4095] < level[0] < level[4096] < level[12_000]
+    assert sum(sum(f) for f in got.values()) == sum(level.values())

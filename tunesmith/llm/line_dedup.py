@@ -34,7 +34,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 3        # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.986 / 0.997 / 0.9996
 FINE_BANDS, FINE_ROWS = 8, 4  # for members of buckets with a failed link: 0.985 / 0.997 / 0.9998
 SALT = 64          # parts of a band's bucket on the first level
-SLOTS = 1 << 18    # shingle counts are kept by slots of their hash; they only order shingles, so a shared slot loses nothing
+# Shingle counts are kept by slots of their hash; they only order shingles, so a shared slot loses nothing. But where slots hold
+# many shingles each, rare ones look frequent and chance neighbours share a prefix: so their number follows that of the shingles.
+SHINGLES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 18, 1 << 25
+BLOCK = 1 << 12    # slots a row of the table of counts, a byte each: 32 MB at most
 
 _draw = random.Random(0x11E5)
 _MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS + FINE_BANDS * FINE_ROWS)]
@@ -143,6 +146,21 @@ def _end_of_step(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+def _slots(texts: DataFrame) -> int:
+    """Slots for the shingle counts of the lines, a multiple of ``BLOCK``."""
+    shingles = texts.agg(F.sum(F.length("norm"))).first()[0] or 0
+    return -(-min(max(shingles // SHINGLES_A_SLOT, LEAST_SLOTS), MOST_SLOTS) // BLOCK) * BLOCK
+
+
+def _counts_by_block(found: DataFrame, slots: int) -> DataFrame:
+    """(block, f): the rows of every slot as a byte on a logarithmic scale, exact up to 8; slots without rows as 0."""
+    every = found.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"), F.lit(0).alias("c"))
+    counts = found.select("slot", F.lit(1).alias("c")).union(every).groupBy("slot").agg(F.sum("c").alias("c"))
+    level = F.least(F.floor(6 * F.log2(F.greatest("c", F.lit(1)))), F.lit(127)).cast("byte")
+    counts = counts.select(F.shiftright("slot", BLOCK.bit_length() - 1).alias("block"), F.struct("slot", level.alias("f")).alias("x"))
+    return counts.groupBy("block").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["f"]).alias("f"))
+
+
 def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
     """(s, h1, root, n, i): the rarest shingles of every line of ``members`` (h1, root): hash, the line's number of
     shingles and the shingle's place from 0 in the order (count, hash).
@@ -160,13 +178,14 @@ def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
     plain = at.select("h1", "root", _shingle_hash(F.col("u"), F.col("i")).alias("s")).distinct()
     others = texts.where(surrogates).select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x")) \
         .select("h1", "root", F.xxhash64(F.encode("x", "UTF-16BE")).alias("s"))
-    slot = F.pmod("s", F.lit(SLOTS)).cast("int").alias("slot")
-    counts = plain.select(slot).union(others.select(slot)).groupBy("slot").agg(F.count(F.lit(1)).alias("f"))
-    counts = materialize(counts, "line-counts")
+    slots = _slots(texts)
+    slot = F.pmod("s", F.lit(slots)).cast("int")
+    counts = materialize(_counts_by_block(plain.select(slot.alias("slot")).union(others.select(slot.alias("slot"))), slots), "line-counts")
     line = Window.partitionBy("h1")
 
     def head(rows: DataFrame) -> DataFrame:
-        ranked = rows.withColumn("slot", slot).join(F.broadcast(counts), "slot")  # SLOTS rows
+        ranked = rows.withColumn("block", F.shiftright(slot, BLOCK.bit_length() - 1)).join(F.broadcast(counts), "block")
+        ranked = ranked.select("s", "h1", "root", F.get("f", F.pmod(slot, F.lit(BLOCK))).alias("f"))
         ranked = ranked.select("s", "h1", "root", F.count(F.lit(1)).over(line).cast("int").alias("n"), (F.row_number().over(line.orderBy("f", "s")) - 1).alias("i"))
         return ranked.where("5 * (n - i) >= 4 * n")
 
