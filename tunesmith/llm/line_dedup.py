@@ -10,9 +10,11 @@
 4. Links are verified by the exact Jaccard similarity of the shingle sets. Where a link fails, a pair of
    the bucket may be alike that was not linked; so the members of such buckets get finer bands of
    fresh minima, whose stars are verified likewise.
-5. Where a bucket still holds several components, its lines are joined on their rarest shingles (prefix
-   filter), which misses no alike pair; pairs of one component are not enumerated. So every alike
-   pair that shares a band of step 3 ends in one component.
+5. Where a bucket of either kind still holds several components, the lines outside its largest one meet
+   all lines of other components there. Sketches of the shingle sets bound a pair's difference from below
+   inside that join, so only pairs that may be alike leave it. Lines of buckets with very many such
+   lines, and lines too long for a sketch, are joined on their rarest shingles instead (prefix filter).
+   Neither misses an alike pair, so every one that shares a band of step 3 ends in one component.
 6. Distributed union-find; of each component the first line in the order of documents stays.
 """
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 import gc
 import random
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 3        # a pair of similarity 0.8 / 0.85 / 0.9 shares a band with probability 0.986 / 0.997 / 0.9996
 FINE_BANDS, FINE_ROWS = 8, 4  # for members of buckets with a failed link: 0.985 / 0.997 / 0.9998
 SALT = 64          # parts of a band's bucket on the first level
+WORDS = 16         # longs of a line's sketch
+SKETCHED = WORDS * 64 * 9 // 4  # shingles; the sketches of longer lines differ in too few bits to tell them apart
+OUTSIDE = 1 << 14  # lines of a bucket outside its largest component that are met one by one; of more, rare shingles are joined
+MEETINGS = 1 << 24  # pairs of a bucket that are met in one task
 # Shingle counts are kept by slots of their hash; they only order shingles, so a shared slot loses nothing. But where slots hold
 # many shingles each, rare ones look frequent and chance neighbours share a prefix: so their number follows that of the shingles.
 SHINGLES_A_SLOT, LEAST_SLOTS, MOST_SLOTS = 8, 1 << 18, 1 << 25
@@ -85,6 +92,19 @@ def shingle_set(norm: Column) -> Column:
     return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.array_distinct(found))
 
 
+def _surrogates(norm: Column) -> Column:
+    return norm.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
+def _hash_set(norm: Column) -> Column:
+    """The distinct shingles of a line as hashes of their UTF-16, whose units are characters but for surrogates."""
+    # as a lambda's variable the encoded line is made once, not for every shingle
+    units = F.transform(F.array(F.encode(norm, "UTF-16BE")),
+                        lambda u: F.transform(F.sequence(F.lit(0), _last_start(u)), lambda i: _shingle_hash(u, i)))
+    others = F.transform(shingle_set(norm), lambda x: F.xxhash64(F.encode(x, "UTF-16BE")))
+    return F.array_distinct(F.when(_surrogates(norm), others).otherwise(units[0]))
+
+
 def _bands(lines: DataFrame, bands: int, rows: int, masks: list[int]) -> DataFrame:
     """(band, h1): hashed bands of the MinHash signature of every distinct line."""
     starts = lines.select("h1", F.encode("norm", "UTF-16BE").alias("u"))
@@ -110,33 +130,66 @@ def _pairs(stars: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets are similar enough."""
-    left = pairs.join(lines.select(F.col("h1").alias("a"), F.col("norm").alias("na")), "a")
-    both = left.join(lines.select(F.col("h1").alias("b"), F.col("norm").alias("nb")), "b")
+    """The pairs (a, b) of lines whose shingle sets, as 64-bit hashes, are similar enough."""
+    # the pairs are hashed, or every join would sort the texts of all lines
+    left = pairs.hint("shuffle_hash").join(lines.select(F.col("h1").alias("a"), F.col("norm").alias("na")), "a")
+    both = left.hint("shuffle_hash").join(lines.select(F.col("h1").alias("b"), F.col("norm").alias("nb")), "b")
     # the row numbers keep the filter from being pushed below, where it would compute sets and intersections again
     number = F.monotonically_increasing_id()
-    sets = both.select("a", "b", shingle_set(F.col("na")).alias("x"), shingle_set(F.col("nb")).alias("y"), number.alias("r1"))
+    sets = both.select("a", "b", _hash_set(F.col("na")).alias("x"), _hash_set(F.col("nb")).alias("y"), number.alias("r1"))
     sizes = sets.select("a", "b", "r1", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("n"),
                         number.alias("r2"))
     return sizes.where((F.col("c") >= SIMILARITY * (F.col("n") - F.col("c"))) & (F.col("r1") >= 0) & (F.col("r2") >= 0)).select("a", "b")
 
 
-def _open_lines(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """(h1, root): the lines of all buckets whose members are in more than one component, lone lines as their own root.
+def _open_buckets(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(band, h1, root, other, parts, hot): the lines of all buckets whose members are in more than one component, lone lines as
+    their own root.
 
-    A bucket with one link has two lines, which were compared.
+    ``other`` says that a line is outside the bucket's largest component, ``hot`` that very many are; in ``parts`` the rest is met.
+    A bucket of two lines has one link, which was compared.
     """
+    lines = links.select("band", "h1").union(links.select("band", F.col("hub").alias("h1"))).distinct()
     low = roots.select(F.col("node").alias("h1"), F.col("root").alias("r"))
-    ends = links.join(low, "h1", "left").select("band", "h1", "hub", F.coalesce("r", "h1").alias("root"))
-    ends = ends.join(low.select(F.col("h1").alias("hub"), "r"), "hub", "left") \
-        .select("band", "h1", "root", "hub", F.coalesce("r", "hub").alias("hub_root"))
-    ends = materialize(ends, "line-ends")
-    split = ends.groupBy("band").agg(F.count(F.lit(1)).alias("links"), F.max(F.col("root") != F.col("hub_root")).alias("open")) \
-        .where("open and links > 1").select("band")
-    ends_of = ends.join(split, "band", "left_semi")
-    out = materialize(ends_of.select("h1", "root").union(ends_of.select("hub", "hub_root")).distinct(), "line-open")
-    release(ends)
-    return out
+    members = materialize(lines.join(low, "h1", "left").select("band", "h1", F.coalesce("r", "h1").alias("root")), "line-members")
+    by_root = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    split = by_root.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"),
+                                        (F.sum("c") - F.max("c")).alias("out")).where("out > 0 and m > 2")
+    split = split.select("band", "main", F.ceil(F.col("m") * F.col("out") / MEETINGS).cast("int").alias("parts"), (F.col("out") > OUTSIDE).alias("hot"))
+    split = materialize(split, "line-split")
+    found = members.join(split, "band").select("band", "h1", "root", (F.col("root") != F.col("main")).alias("other"), "parts", "hot")
+    found = materialize(found, "line-open")
+    release(members, split)
+    return found
+
+
+def _sketches(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """(h1, n, w0, w1, ...): of every line of ``members`` (h1) its number of shingles and, by slots of their hash, whether it is odd.
+
+    Where the slots of two lines differ, at least one shingle is in one line only.
+    """
+    rows = lines.join(members.hint("shuffle_hash"), "h1").select("h1", F.explode(_hash_set(F.col("norm"))).alias("s"))
+    bit, word = "shiftleft(1L, cast(s & 63 as int))", f"shiftrightunsigned(s, 6) % {WORDS}"
+    words = [F.expr(f"coalesce(bit_xor({bit}) filter (where {word} = {w}), 0L)").alias(f"w{w}") for w in range(WORDS)]
+    return rows.groupBy("h1").agg(F.count(F.lit(1)).cast("int").alias("n"), *words)
+
+
+def _meeting(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): every pair of lines of different components in a bucket of ``members`` that may be alike by the sketches.
+
+    Lines of n and m shingles are alike only if at most (n + m) / 9 are in one of them alone, so no more slots may differ.
+    Pairs of two lines longer than ``SKETCHED`` are left out. A pair leaves only the first of its buckets.
+    """
+    of_line = members.groupBy("h1").agg(F.collect_set("band").alias("bands"))
+    rows = members.join(sketches.join(of_line, "h1"), "h1")
+    x = rows.withColumn("part", F.pmod(F.xxhash64("h1"), F.col("parts").cast("long")).cast("int"))
+    y = rows.where("other").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    differ = " + ".join(f"bit_count(x.w{w} ^ y.w{w})" for w in range(WORDS))
+    close = F.expr(
+        "x.band = y.band and x.part = y.part and x.root <> y.root and (not x.other or x.h1 < y.h1)"
+        f" and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) and least(x.n, y.n) <= {SKETCHED}"
+        f" and 9 * ({differ}) <= x.n + y.n and not exists(x.bands, e -> e < x.band and array_contains(y.bands, e))")
+    return x.alias("x").join(y.alias("y"), close).select(F.least("x.h1", "y.h1").alias("a"), F.greatest("x.h1", "y.h1").alias("b"))
 
 
 def _end_of_step(*tables: DataFrame) -> None:
@@ -170,13 +223,14 @@ def _prefixes(members: DataFrame, lines: DataFrame) -> DataFrame:
     A line's shingles stay in its bucket: they are made for the counts and once more to be put in order, and
     only the prefixes leave the task.
     """
-    texts = lines.join(members, "h1").select("h1", "root", "norm")
+    texts = lines.join(members.hint("shuffle_hash"), "h1").select("h1", "root", "norm", F.monotonically_increasing_id().alias("r"))
     # units of UTF-16 are characters but for surrogates; both ways hash a shingle's UTF-16
-    surrogates = F.col("norm").rlike(r"[\x{10000}-\x{10FFFF}]")
-    units = texts.where(~surrogates).select("h1", "root", F.encode("norm", "UTF-16BE").alias("u"))
+    surrogates = _surrogates(F.col("norm"))
+    kept = F.col("r") >= 0  # the row number keeps the filters from being pushed below, where they would search all lines
+    units = texts.where(~surrogates & kept).select("h1", "root", F.encode("norm", "UTF-16BE").alias("u"))
     at = units.select("h1", "root", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
     plain = at.select("h1", "root", _shingle_hash(F.col("u"), F.col("i")).alias("s")).distinct()
-    others = texts.where(surrogates).select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x")) \
+    others = texts.where(surrogates & kept).select("h1", "root", F.explode(shingle_set(F.col("norm"))).alias("x")) \
         .select("h1", "root", F.xxhash64(F.encode("x", "UTF-16BE")).alias("s"))
     slots = _slots(texts)
     slot = F.pmod("s", F.lit(slots)).cast("int")
@@ -256,20 +310,27 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     open_bands = failed.select("band").distinct()
     members = links.join(open_bands, "band", "left_semi")
     members = materialize(members.select("h1").union(members.select(F.col("hub").alias("h1"))).distinct(), "line-members")
-    again = lines.join(members, "h1", "left_semi")
-    finer = materialize(_pairs(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:]))), "line-links")
+    again = lines.join(members.hint("shuffle_hash"), "h1", "left_semi")
+    finer_links = materialize(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:])), "line-links")
     _end_of_step(members)
-    more = materialize(_verified(finer.join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
+    more = materialize(_verified(_pairs(finer_links).join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
     roots = materialize(connected_components(edges.union(more)), "line-roots")
     _end_of_step(edges, more)
-    # what a hub did not stand for: lines of buckets with several components, by their rarest shingles
-    still = _open_lines(links, roots)
-    prefixes = _prefixes(still, lines)
-    rare = _sharing_rare(prefixes)
-    _end_of_step(still)
-    unseen = rare.join(_pairs(links), ["a", "b"], "left_anti").join(finer, ["a", "b"], "left_anti")
+    # what a hub did not stand for: lines of buckets with several components
+    both = links.union(finer_links)
+    still = _open_buckets(both, roots)
+    sketches = materialize(_sketches(still.select("h1").distinct(), lines), "line-sketches")
+    met = materialize(_meeting(still.where("not hot"), sketches), "line-met")
+    # those that are too many or too long, by their rarest shingles
+    rest = still.where("hot").select("h1", "root").union(still.join(sketches.where(f"n > {SKETCHED}"), "h1").select("h1", "root"))
+    rest = materialize(rest.distinct(), "line-rest")
+    _end_of_step(still, sketches)
+    found = [met]
+    if rest.limit(1).count():
+        found.append(_sharing_rare(_prefixes(rest, lines)))
+    unseen = reduce(DataFrame.union, found).distinct().join(_pairs(both), ["a", "b"], "left_anti")
     last = materialize(_verified(unseen, lines), "line-edges")
-    _end_of_step(links, finer, rare)
+    _end_of_step(links, finer_links, rest, *found)
     if last.limit(1).count():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(last)
         roots = materialize(connected_components(joined), "line-roots")
