@@ -105,14 +105,33 @@ def _hash_set(norm: Column) -> Column:
     return F.array_distinct(F.when(_surrogates(norm), others).otherwise(units[0]))
 
 
-def _bands(lines: DataFrame, bands: int, rows: int, masks: list[int]) -> DataFrame:
-    """(band, h1): hashed bands of the MinHash signature of every distinct line."""
-    starts = lines.select("h1", F.encode("norm", "UTF-16BE").alias("u"))
-    starts = starts.select("h1", "u", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
-    hashed = starts.select("h1", _shingle_hash(F.col("u"), F.col("i")).alias("s"))
-    signature = hashed.groupBy("h1").agg(*[F.min(F.col("s").bitwiseXOR(F.lit(m))).alias(f"m{j}") for j, m in enumerate(masks)])
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
-    return signature.select(F.explode(F.array(*keys)).alias("band"), "h1")
+def _signatures(lines: DataFrame, masks: list[int], whole: bool) -> DataFrame:
+    """(h1, m0, m1, ...): the minimum of a line's shingle hashes under each mask, by one pass over its shingles.
+
+    Unless ``whole``, only the lowest eighth or fourth of the range of hashes is looked at in lines that have many places;
+    a minimum is null where no shingle is there, else it is that of all shingles.
+    """
+    share = F.when(F.length("norm") < 128, F.lit((1 << 63) - 1)).when(F.length("norm") < 256, F.lit(-(1 << 62))).otherwise(F.lit(-(3 << 61)))
+    starts = lines.select("h1", F.encode("norm", "UTF-16BE").alias("u"), share.alias("to"))
+    starts = starts.select("h1", "u", "to", F.explode(F.sequence(F.lit(0), _last_start(F.col("u")))).alias("i"))
+    hashed = starts.select("h1", "to", _shingle_hash(F.col("u"), F.col("i")).alias("s"))
+    low = "" if whole else " filter (where (s ^ {0}L) <= to)"
+    return hashed.groupBy("h1").agg(*[F.expr(("min(s ^ {0}L)" + low).format(m)).alias(f"m{j}") for j, m in enumerate(masks)])
+
+
+def _bands(lines: DataFrame, bands: int, rows: int, masks: list[int]) -> tuple[DataFrame, list[DataFrame]]:
+    """(band, h1): hashed bands of the MinHash signature of every distinct line, and the stored tables that they are in."""
+    def keyed(signatures: DataFrame) -> DataFrame:
+        keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)]
+        full = reduce(Column.__and__, [F.col(f"m{j}").isNotNull() for j in range(len(masks))])
+        return signatures.select("h1", F.when(full, F.array(*keys)).alias("keys"))
+
+    stored = [materialize(keyed(_signatures(lines, masks, False)), "line-bands")]
+    missing = stored[0].where("keys is null").select("h1")  # lines that repeat a few shingles
+    if missing.limit(1).count():
+        again = lines.join(missing.hint("shuffle_hash"), "h1", "left_semi")
+        stored.append(materialize(keyed(_signatures(again, masks, True)), "line-bands"))
+    return reduce(DataFrame.union, stored).select(F.explode("keys").alias("band"), "h1"), stored
 
 
 def _stars(bands: DataFrame) -> DataFrame:
@@ -301,8 +320,11 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     occ = occurrences(docs, id_col, text_col)
     lines, name = _distinct_lines(occ)
+    _end_of_step(occ)
     cut = BANDS * ROWS
-    links = materialize(_stars(_bands(lines, BANDS, ROWS, _MASKS[:cut])), "line-links")
+    bands, stored = _bands(lines, BANDS, ROWS, _MASKS[:cut])
+    links = materialize(_stars(bands), "line-links")
+    _end_of_step(*stored)
     edges = materialize(_verified(_pairs(links), lines), "line-edges")
     # lines of buckets in which a link failed, once more in finer buckets
     kept = edges.select(F.col("a").alias("ea"), F.col("b").alias("eb"))
@@ -311,8 +333,9 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = links.join(open_bands, "band", "left_semi")
     members = materialize(members.select("h1").union(members.select(F.col("hub").alias("h1"))).distinct(), "line-members")
     again = lines.join(members.hint("shuffle_hash"), "h1", "left_semi")
-    finer_links = materialize(_stars(_bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:])), "line-links")
-    _end_of_step(members)
+    bands, stored = _bands(again, FINE_BANDS, FINE_ROWS, _MASKS[cut:])
+    finer_links = materialize(_stars(bands), "line-links")
+    _end_of_step(members, *stored)
     more = materialize(_verified(_pairs(finer_links).join(_pairs(links), ["a", "b"], "left_anti"), lines), "line-edges")
     roots = materialize(connected_components(edges.union(more)), "line-roots")
     _end_of_step(edges, more)
